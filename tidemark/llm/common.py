@@ -91,3 +91,24 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
             yield work(piece)
 
     return df.mapInArrow(run, schema)
+
+
+class Shipped:
+    """A bounded value that every task reads: broadcast once, with its classes inside, so executors need no package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        from pyspark import cloudpickle
+
+        self._held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self):
+        return {"_held": self._held, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            import pickle
+
+            self._value = pickle.loads(self._held.value)
+        return self._value

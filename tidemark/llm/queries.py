@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import pii, simhash, sketch
+from tidemark.llm import langid, mixing, pii, simhash, sketch
 from tidemark.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.run(table(spark, sf_dir, "documents"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.run(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.run(table(spark, sf_dir, "documents"))
 
@@ -20,5 +28,5 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_and_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_pii": op3_pii, "op8_simhash": op8_simhash, "op10_sketch": op10_sketch}
+QUERIES = {"op3_pii": op3_pii, "op6_mixing": op6_mixing, "op8_simhash": op8_simhash, "op9_langid": op9_langid, "op10_sketch": op10_sketch}
 ORACLE_SQL: dict[str, str] = {}
