@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, pii, simhash, sketch, toxicity, urlfilter
+from tidemark.llm import decontaminate, langid, mixing, pii, simhash, sketch, toxicity, urlfilter
 from tidemark.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,17 +27,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: `pages` has no list and no fetch dates. This log lists hosts that it does have; a page's date follows from its id.
 URL_LIST = (
+    ("spam-farm.example.com", "spam", "add", "2024-02-01"),
+    ("spam-farm.example.com", "spam", "remove", "2024-05-15"),
+    ("spam-farm.example.com", "spam", "add", "2024-09-01"),
     ("spam-farm.example.org", "spam", "add", "2024-02-01"),
-    ("spam-farm.example.org", "spam", "remove", "2024-05-15"),
-    ("spam-farm.example.org", "spam", "add", "2024-09-01"),
-    ("spam-farm.example.org", "malware", "add", "2024-08-10"),
+    ("spam-farm.example.com", "malware", "add", "2024-08-10"),
     ("cheap-pills.example.com", "pharma", "add", "2024-01-15"),
     ("cheap-pills.example.com", "pharma", "add", "2024-03-01"),
-    ("casino-win.example.net", "gambling", "add", "2024-01-01"),
-    ("casino-win.example.net", "gambling", "remove", "2024-10-01"),
+    ("casino-win.example.com", "gambling", "add", "2024-01-01"),
+    ("casino-win.example.com", "gambling", "remove", "2024-10-01"),
+    ("casino-win.example.org", "gambling", "add", "2024-03-01"),
     ("free-bets.example.com", "gambling", "add", "2024-04-01"),
-    ("ads-track.example.net", "ads", "add", "2024-01-01"),
-    ("adult-x.example.org", "adult", "add", "2024-07-01"),
+    ("ads-track.example.com", "ads", "add", "2024-01-01"),
+    ("ads-track.example.com", "ads", "remove", "2024-07-01"),
+    ("ads-track.example.org", "ads", "add", "2024-01-01"),
+    ("adult-x.example.net", "adult", "add", "2024-07-01"),
     ("tionsh.example.net", "spam", "add", "2024-06-01"),
     ("tionsh.example.net", "spam", "remove", "2024-06-30"),
     ("example.org", "suspended", "add", "2024-12-24"),
@@ -58,5 +66,5 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_and_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_pii": op3_pii, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_urlfilter": op7_urlfilter, "op8_simhash": op8_simhash, "op9_langid": op9_langid, "op10_sketch": op10_sketch}
+QUERIES = {"op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_urlfilter": op7_urlfilter, "op8_simhash": op8_simhash, "op9_langid": op9_langid, "op10_sketch": op10_sketch}
 ORACLE_SQL: dict[str, str] = {}
