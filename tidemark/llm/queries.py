@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, hmm, langid, mixing, pii, simhash, sketch, toxicity, urlfilter
+from tidemark.llm import decontaminate, hmm, langid, mixing, pii, quality, simhash, sketch, toxicity, urlfilter
 from tidemark.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.run(table(spark, sf_dir, "documents"))
 
@@ -70,5 +74,5 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_and_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_hmm": op2_hmm, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_urlfilter": op7_urlfilter, "op8_simhash": op8_simhash, "op9_langid": op9_langid, "op10_sketch": op10_sketch}
+QUERIES = {"op1_quality": op1_quality, "op2_hmm": op2_hmm, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_urlfilter": op7_urlfilter, "op8_simhash": op8_simhash, "op9_langid": op9_langid, "op10_sketch": op10_sketch}
 ORACLE_SQL: dict[str, str] = {}
