@@ -71,7 +71,12 @@ def fingerprint(observed: DataFrame, candles: DataFrame, pre_bars: int, recent_b
         ("recent", F.greatest(F.col("entry_index") - recent_bars + 1, zero), F.col("entry_index"), points[1]),
         ("episode", F.col("signal_index"), F.col("entry_index"), points[2]),
     ]
-    at = F.concat(*(F.transform(evenly(s, F.greatest(s, e), n), lambda i, k, v=v, n=n: F.struct(F.lit(v).alias("view"), k.alias("point"), (k == (0 if v == "episode" else n - 1)).alias("anchor"), i.alias("bar_index"))) for v, s, e, n in views))
+
+    def placed(view: str, start: Column, end: Column, n: int) -> Column:
+        anchor = 0 if view == "episode" else n - 1
+        return F.transform(evenly(start, F.greatest(start, end), n), lambda i, k: F.struct(F.lit(view).alias("view"), k.alias("point"), (k == anchor).alias("anchor"), i.alias("bar_index")))
+
+    at = F.concat(*(placed(*v) for v in views))
     rows = observed.select("observation_id", *SERIES, "wick_target", "direction_sign", F.explode(at).alias("p")).select("observation_id", *SERIES, "wick_target", "direction_sign", "p.*")
     value = mirrored_pct(F.col("close"), F.greatest("wick_target", F.lit(1e-12)), F.col("direction_sign"))
     found = rows.join(candles.select(*SERIES, "bar_index", "close"), [*SERIES, "bar_index"]).select("observation_id", "view", "point", "anchor", value.alias("v"))

@@ -79,7 +79,7 @@ def within_radius(pool: DataFrame, k: int, radius: float | None) -> DataFrame:
     if radius is None:
         return capped.withColumn("radius_failed", F.lit(False))
     any_near = F.max((F.col("distance") <= radius).cast("int")).over(Window.partitionBy("query_id")) == 1
-    return capped.withColumn("radius_failed", ~any_near).where((any_near & (F.col("distance") <= radius)) | (~any_near & (F.col("place") == 1)))
+    return capped.withColumn("radius_failed", ~any_near).where(F.when(F.col("radius_failed"), F.col("place") == 1).otherwise(F.col("distance") <= radius))
 
 
 def radius_of(pool: DataFrame, quantile: float) -> float:

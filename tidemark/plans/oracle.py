@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 FOLLOW_UP = 48
 AGES, HORIZONS, THRESHOLDS = (2, 6, 12), (6, 12, 24), (5.0, 20.0, 50.0)
 PANEL = {"6b": 6, "24b": 24, "48b": 48}
@@ -88,11 +90,6 @@ def average_pct_rank(value: str, by: str = "") -> str:
     return f"((rank() OVER ({p}ORDER BY {value}) + (count(*) OVER ({both}) - 1) / 2.0) / count(*) OVER ({'PARTITION BY ' + by if by else ''}))"
 
 
-def _query_row(what: str) -> str:
-    """The signal that is matched: the last filled one that started after enough others had ended, at its departure bar."""
-    return f"(SELECT {what} FROM q)"
-
-
 _SHAPE = (
     "sqrt((pow(abs(e.body_pct_of_range - q.body_pct_of_range) * 100.0 / 0.75, 2) + pow(abs(e.dominant_wick_pct_of_range - q.dominant_wick_pct_of_range) * 100.0 / 3.0, 2) + pow(abs(e.opposite_wick_pct_of_range - q.opposite_wick_pct_of_range) * 100.0 / 3.0, 2)"
     " + pow(abs(ln(greatest(e.range_pct_of_close, 1e-12) / greatest(q.range_pct_of_close, 1e-12)) / ln(1.5)), 2) + pow(abs(ln(greatest(e.range_vs_prior_20_median, 1e-12) / greatest(q.range_vs_prior_20_median, 1e-12)) / ln(1.5)), 2)"
@@ -181,16 +178,12 @@ CTES: dict[str, str] = {
 
 def _needed(text: str) -> list[str]:
     """The table expressions that a text names, and what these need, in order."""
-    import re
-
     wanted: set[str] = set()
     todo = [text]
     while todo:
-        words = set(re.findall(r"\b(?:FROM|JOIN|,)\s+(\w+)", t := todo.pop()))
-        for w in words & CTES.keys() - wanted:
+        for w in set(re.findall(r"(?:\bFROM|\bJOIN|,)\s+(\w+)", todo.pop())) & CTES.keys() - wanted:
             wanted.add(w)
             todo.append(CTES[w])
-        del t
     return [c for c in CTES if c in wanted]
 
 
