@@ -6,17 +6,21 @@ by return flag. Most queries run on signals with relaxed limits, of which the sm
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import average_percent_rank, rounded
+from tidemark.functions.storage import shared_dir, stored
 from tidemark.operators import evaluate, features, folds, knn, library, match, outcomes, panel, project, rollup, signals, stats, trace
-from tidemark.functions.storage import stored
+from tidemark.operators import models as supervised
 from tidemark.plans import oracle as O
 from tidemark.plans.oracle import AGES, FEATURES, FOLLOW_UP, HORIZONS, MATCH_K, PANEL, THRESHOLDS, r, sql
 from tidemark.sources import candles as C
+from tidemark.sources import ledger
+from tidemark.streaming import candles as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -771,3 +775,47 @@ def episode_weights(spark, d):
 def paired_bootstrap(spark, d):
     rows = _scored_events(spark, d).withColumn("a", F.pow(F.col("score") - F.col("label"), 2)).withColumn("b", F.col("a") * 0.9)
     return evaluate.paired_bootstrap(rows, "user_id", "a", "b")
+
+
+# Streams, the ledger and supervised models
+
+def _streamed(spark: SparkSession, e: DataFrame) -> DataFrame:
+    path = f"{shared_dir(spark)}/tidemark-source-{uuid.uuid4().hex}"
+    e.coalesce(1).write.parquet(path)
+    return spark.readStream.schema(e.schema).parquet(path)
+
+
+@query(sql(f"SELECT asset, timeframe, bucket AS open_time, {_ohlc}, bars FROM (SELECT asset, timeframe, open_time // {4 * HOUR} * {4 * HOUR} AS bucket, arg_min(open, open_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time) AS close, sum(volume) AS volume, count(*) AS bars FROM e GROUP BY 1, 2, 3) WHERE bucket + {4 * HOUR} <= (SELECT max(open_time) FROM e) - {HOUR}"))
+def stream_rollup(spark, d):
+    out = stream.rollup(_streamed(spark, hourly(spark, d)), "4 hours", "1 hour")
+    return stream.run_available(spark, out, f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}")
+
+
+@query(sql("SELECT asset, timeframe, signal_id, status, bar_index, departure_index, fill_index FROM traced WHERE status <> 'right_censored'"))
+def stream_trace(spark, d):
+    out = stream.follow(_streamed(spark, hourly(spark, d)), FOLLOW_UP, 1, RELAXED)
+    return stream.run_available(spark, out, f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}")
+
+
+@query(sql("SELECT asset, timeframe, signal_id, status, open_time AS snapshot_ms FROM traced"))
+def forecast_ledger(spark, d):
+    """Recorded twice, held once."""
+    e = hourly(spark, d)
+    rows = traced(e).select("asset", "timeframe", "signal_id", F.col("open_time").alias("snapshot_ms"), F.lit("v1").alias("model_version"), "status", F.lit(0).cast("long").alias("recorded_ms"))
+    path = f"{shared_dir(spark)}/tidemark-ledger-{uuid.uuid4().hex}"
+    ledger.append_once(rows, path)
+    ledger.append_once(rows.unionByName(rows.limit(5)), path)
+    return spark.read.parquet(path).select("asset", "timeframe", "signal_id", "status", "snapshot_ms")
+
+
+@query()
+def supervised_forecast(spark, d):
+    e = hourly(spark, d)
+    o, t = _touched(e)
+    bounds = outcomes.adverse_bounds(o, t, e, (6, 24))
+    wide = bounds.groupBy("observation_id").agg(*(F.max(F.when((F.col("horizon_bars") == h) & (F.col("fully_observed") | F.col("target_hit")), x)).alias(f"{n}_{h}") for h in (6, 24) for n, x in (("hit", F.col("target_hit").cast("double")), ("adverse", (F.col("max_adverse_lower_pct") + F.col("max_adverse_upper_pct")) / 2))))
+    found = features.of_observations(o, e, (6, 24), (3, 12), ("click", "error", "purchase", "signup", "view"))
+    rows = stored(folds.chrono_split(o.select("observation_id", "signal_open_time").join(found, "observation_id").join(wide, "observation_id"), "signal_open_time"), "supervised")
+    models = supervised.fit(rows.where("part = 'train'"), found.columns[1:], (6, 24))
+    scored = supervised.predict(rows.where("part <> 'train'"), models, (6, 24))
+    return scored.select("observation_id", "part", "chance_6", "chance_24", "adverse_forecast_6", "adverse_forecast_24")
