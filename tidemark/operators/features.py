@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import SERIES, mirrored_pct, missing_as_zero, ratio
+from tidemark.functions.columns import SERIES, mirrored_pct, missing_as_zero, overlapped, ratio
 
 
 def rolling(candles: DataFrame, windows: Sequence[int]) -> DataFrame:
     """Per bar and window (bars): return, standard deviation of one-bar returns, mean range, and mean volume now to one window ago."""
-    order = Window.partitionBy(*SERIES).orderBy("bar_index")
+    order = Window.partitionBy(*SERIES, "_block").orderBy("bar_index")
     change = (ratio(F.col("close"), F.lag("close").over(order)) - 1.0) * 100.0
-    rows = candles.select(*SERIES, "bar_index", "close", "volume", change.alias("change"), (ratio(F.col("high") - F.col("low"), F.col("close")) * 100.0).alias("range_pct"))
+    rows = overlapped(candles, 2 * max(*windows, 2) + 1).select(*SERIES, "_block", "_own", "bar_index", "close", "volume", change.alias("change"), (ratio(F.col("high") - F.col("low"), F.col("close")) * 100.0).alias("range_pct"))
     columns = []
     for w in windows:
         frame = order.rowsBetween(1 - max(w, 2), 0)
@@ -23,9 +23,10 @@ def rolling(candles: DataFrame, windows: Sequence[int]) -> DataFrame:
             ((ratio(F.col("close"), F.lag("close", w).over(order)) - 1.0) * 100.0).alias(f"return_{w}"), two("change", F.stddev_pop("change").over(frame)).alias(f"volatility_{w}"),
             two("range_pct", F.avg("range_pct").over(frame)).alias(f"range_{w}"), two("volume", F.avg("volume").over(frame)).alias(f"volume_{w}"),
         ]
-    wide = rows.select(*SERIES, "bar_index", *columns)
+    wide = rows.select(*SERIES, "_block", "_own", "bar_index", *columns)
     ago = [(F.col(f"volume_{w}") / F.greatest(F.lag(f"volume_{w}", w).over(order), F.lit(1e-12))).alias(f"volume_ratio_{w}") for w in windows]
-    return wide.select(*SERIES, "bar_index", *(f"{n}_{w}" for w in windows for n in ("return", "volatility", "range")), *ago)
+    found = wide.select(*SERIES, "_own", "bar_index", *(f"{n}_{w}" for w in windows for n in ("return", "volatility", "range")), *ago)
+    return found.where("_own").drop("_own")
 
 
 def of_observations(observed: DataFrame, candles: DataFrame, before: Sequence[int], recent: Sequence[int], assets: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import SERIES, iso_utc, ratio
+from tidemark.functions.columns import SERIES, iso_utc, overlapped, ratio
 
 FEATURES = (
     "body_pct_of_range", "dominant_wick_pct_of_range", "opposite_wick_pct_of_range", "range_pct_of_close",
@@ -41,15 +41,16 @@ def shapes(candles: DataFrame) -> DataFrame:
 
 def with_context(candles: DataFrame, return_bars: int) -> DataFrame:
     """candles with shapes and what came before each: CONTEXT_BARS whole bars, the bar itself left out, and a return over `return_bars`."""
-    series = Window.partitionBy(*SERIES).orderBy("bar_index")
+    series = Window.partitionBy(*SERIES, "_block").orderBy("bar_index")
     prior = series.rowsBetween(-CONTEXT_BARS, -1)
     whole = F.count(F.lit(1)).over(prior) == CONTEXT_BARS
     before = F.lag("close", return_bars).over(series)
-    return shapes(candles).select(
+    found = shapes(overlapped(candles, max(CONTEXT_BARS, return_bars))).select(
         "*", ratio(F.col("range"), F.when(whole, F.percentile("range", 0.5).over(prior))).alias("range_vs_prior_20_median"),
         ratio(F.col("volume"), F.when(whole, F.avg("volume").over(prior))).alias("volume_vs_prior_20_mean"),
         ((ratio(F.col("close"), before) - 1.0) * 100.0).alias("prior_1h_return_pct"),
     )
+    return found.where("_own").drop("_own", "_block")
 
 
 def sign_of(shape: Shape = STRICT) -> Column:
