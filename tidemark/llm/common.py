@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import shared_dir, stored
+
+__all__ = ["WORD", "Shipped", "byte_texts", "map_batches", "remainder", "shared_dir", "slices", "smallest_by_hash", "stored", "table", "tokens"]
+
 #: Java/SQL form of "one or more non-blank bytes"; bytes.split() in Python cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; NULL for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -3,7 +3,7 @@
 A text becomes a unit vector of hashed letter trigrams (non-letters of ASCII are blanks, runs of blanks one), with
 weights (1 + ln count) * idf. The rows of each language in a bounded sample are clustered by spherical k-means; a
 text gets the language of the centroid with the largest cosine. It is rejected where that cosine is further from
-the centroids than nearly all of the language's sample: below the sample's REJECT_QUANTILE times REJECT_SLACK.
+the centroids than nearly all of the language's sample: below its REJECT_QUANTILE times REJECT_SLACK.
 
 The sample: at most `per_language` labelled rows of each language, those with the smallest hash of the id. Its text
 is the only text that moves between tasks. The model has languages * CLUSTERS * DIMENSIONS numbers.
@@ -24,7 +24,9 @@ from tidemark.llm.common import Shipped, map_batches, remainder, smallest_by_has
 DIMENSIONS = 8192
 CLUSTERS = 4
 PER_LANGUAGE = 600
-REJECT_QUANTILE, REJECT_SLACK = 0.002, 0.25
+REJECT_QUANTILE, REJECT_SLACK = 0.05, 0.25
+#: a cluster with a smaller share of its language's sample is a few wrongly labelled rows, not a way to write it
+LEAST_SHARE = 0.02
 TEMPERATURE = 0.03
 UNKNOWN = "und"
 
@@ -55,7 +57,7 @@ def _vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
 
 
 def _clustered(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Centroids by spherical k-means, begun at the mean and then at the rows furthest from what there is."""
+    """Centroids by spherical k-means, begun near the mean and then at the rows furthest from what there is; tiny clusters are dropped."""
     mean = x.mean(axis=0)
     first = x[np.argmax(x @ mean)]
     centroids = [first]
@@ -66,7 +68,8 @@ def _clustered(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
         near = (x @ c.T).argmax(axis=1)
         c = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+    members = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c))
+    return c[(members >= LEAST_SHARE * len(x)) | (members == members.max())]
 
 
 @dataclass(frozen=True)

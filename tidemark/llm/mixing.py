@@ -116,8 +116,8 @@ def run(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs, all columns kept, each row as often as the mix takes it (0, 1 or 2 times)."""
     _, dealt = plan(docs, id_col, text_col, source_col)
-    limits = dealt.select(F.col("source").alias("_of"), F.col("repeats").alias("repeats_"), F.col("below").alias("below_"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    times = F.least(F.col("repeats_") + (place_of(id_col) < F.col("below_")).cast("long"), F.lit(int(MOST_REPEATS))).cast("int")
-    joined = docs.join(limits, F.col(source_col).eqNullSafe(F.col("_of"))).select(*own, times.alias("_times"))
-    return joined.select(*own, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_turn")).select(*own)
+    # the row travels as one value, so no column of it can be taken for one of ours
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).alias("from"), place_of(id_col).alias("place"))
+    joined = rows.join(dealt.select("source", "repeats", "below"), F.col("from").eqNullSafe(F.col("source")))
+    taken = joined.select("row", F.explode(F.array_repeat(F.lit(0), copies().cast("int"))).alias("turn"))
+    return taken.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -164,10 +164,12 @@ def redact(docs: DataFrame, text_col: str = "text", least_score: float = 0.0) ->
     Spans that overlap become one mark, that of the one that begins first (of the longest where several begin there).
     A NULL text stays NULL.
     """
-    marked = _with_spans(docs, text_col, "_spans")
-    text = F.col(text_col)
+    # the row travels as one value, so no column of it can be taken for one of ours
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    marked = _with_spans(rows, "text", "spans")
+    text = F.col("text")
     # sorted by start, longest first
-    order = F.array_sort(F.transform(F.filter("_spans", lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform(F.filter("spans", lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(acc, s):
@@ -176,4 +178,4 @@ def redact(docs: DataFrame, text_col: str = "text", least_score: float = 0.0) ->
         return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(s["start"] >= acc["at"], mark).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate(order, begin, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return marked.select(*(F.when(F.size("_spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return marked.select(*(F.when(F.size("spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

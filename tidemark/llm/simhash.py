@@ -143,8 +143,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of several rows with that same id one stays; rows whose component has no id at all (NULL ids only) stay as one.
     """
-    tagged = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    named = tagged.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("name"), "_row").alias("_id"), text_col)
-    found = components_of(fingerprints(named, "_id", text_col))
-    winners = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id._row").alias("_row"))
-    return tagged.join(winners, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # the row travels as one value, so no column of it can be taken for one of ours
+    tagged = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("n")), "rows")
+    named = tagged.select(F.struct(F.col("row")[id_col].isNull().alias("unnamed"), F.col("row")[id_col].alias("name"), "n").alias("id"), F.col("row")[text_col].alias("text"))
+    found = components_of(fingerprints(named, "id", "text"))
+    winners = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id.n").alias("n"))
+    return tagged.join(winners, "n", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))

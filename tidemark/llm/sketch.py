@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 #: one hash in SCALE is kept
-SCALE = 16
-FULL = 64
+SCALE = 8
+FULL = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(29)
 
