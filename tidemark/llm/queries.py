@@ -75,4 +75,37 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_hmm": op2_hmm, "op3_pii": op3_pii, "op4_decontaminate": op4_decontaminate, "op5_toxicity": op5_toxicity, "op6_mixing": op6_mixing, "op7_urlfilter": op7_urlfilter, "op8_simhash": op8_simhash, "op9_langid": op9_langid, "op10_sketch": op10_sketch}
-ORACLE_SQL: dict[str, str] = {}
+
+#: the sums by hash place of one source are a running window here; the operator never sorts documents
+_MIX_SQL = """
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+weighed AS (SELECT *, 2.0 * source_size AS ceiling, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM sizes),
+turns AS (SELECT *, row_number() OVER (ORDER BY ceiling / weight, source NULLS LAST) AS turn, 1.5 * sum(source_size) OVER () AS whole FROM weighed),
+water AS (SELECT *, (whole - coalesce(sum(ceiling) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM turns),
+targets AS (SELECT source, source_size, least(ceiling, weight * coalesce((SELECT level FROM water WHERE level < ceiling / weight ORDER BY turn LIMIT 1), 1e300)) AS target FROM water),
+rests AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS repeats FROM targets),
+places AS (SELECT source, place, CAST(sum(size) AS BIGINT) AS size FROM sized GROUP BY 1, 2),
+runs AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place) AS upto FROM places),
+edges AS (SELECT r.source, min(CASE WHEN p.upto > r.target - r.repeats * r.source_size THEN p.place END) AS edge FROM rests r JOIN runs p ON p.source IS NOT DISTINCT FROM r.source GROUP BY 1),
+below AS (SELECT r.*, CASE WHEN e.edge IS NULL THEN 1152921504606846976 ELSE e.edge + CASE WHEN p.upto - (r.target - r.repeats * r.source_size) < (r.target - r.repeats * r.source_size) - (p.upto - p.size) THEN 1 ELSE 0 END END AS below
+  FROM rests r JOIN edges e ON e.source IS NOT DISTINCT FROM r.source LEFT JOIN runs p ON p.source IS NOT DISTINCT FROM r.source AND p.place = e.edge)
+SELECT s.doc_id, s.size, b.source_size, b.target, s.size * least(b.repeats + CASE WHEN s.place < b.below THEN 1 ELSE 0 END, 2) AS taken FROM sized s JOIN below b ON b.source IS NOT DISTINCT FROM s.source
+"""
+
+
+def _url_sql() -> str:
+    entries = ", ".join(f"('{d}', '{c}', DATE '{day}', {'true' if a == 'remove' else 'false'})" for d, c, a, day in URL_LIST)
+    return f"""
+WITH log(domain, category, day, ends) AS (VALUES {entries}),
+turns AS (SELECT *, lag(ends) OVER (PARTITION BY domain, category ORDER BY day, ends) AS before FROM log),
+spans AS (SELECT * FROM (SELECT domain, category, ends, day AS valid_from, coalesce(lead(day) OVER (PARTITION BY domain, category ORDER BY day, ends), DATE '9999-12-31') AS valid_to FROM turns WHERE before IS NULL OR before <> ends) WHERE NOT ends AND valid_from < valid_to),
+asked AS (SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '') AS host, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on FROM pages),
+held AS (SELECT a.page_id, s.domain, s.category FROM asked a JOIN spans s ON (a.host = s.domain OR a.host LIKE '%.' || s.domain) AND s.valid_from <= a.fetched_on AND a.fetched_on < s.valid_to)
+SELECT a.page_id, a.host, strftime(a.fetched_on, '%Y-%m-%d') AS fetched_on, h.page_id IS NOT NULL AS blocked, coalesce(h.domain, '') AS domain, coalesce(h.categories, '') AS categories FROM asked a
+LEFT JOIN (SELECT page_id, arg_max(domain, length(domain)) AS domain, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM held GROUP BY 1) h USING (page_id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_mixing": _MIX_SQL, "op7_urlfilter": _url_sql()}
