@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import SERIES
 
-BLOCK, FAN = 64, 64
+BLOCK, FAN = 32, 32
 #: what a request can watch; each is a value that grows towards a hit
 TRACKS = ("high", "neg_low", "close", "neg_close")
 
@@ -27,8 +27,8 @@ def _blocks(candles: DataFrame, block: int) -> DataFrame:
 
 
 def _supers(blocks: DataFrame, fan: int) -> DataFrame:
-    """(series, super, blocks): at most `fan` blocks with the largest value of each track."""
-    return blocks.groupBy(*SERIES, F.expr(f"block div {fan}").alias("super")).agg(F.collect_list(F.struct(F.col("block").alias("i"), *TRACKS)).alias("blocks"))
+    """(series, super, blocks, tracks): at most `fan` blocks with the largest value of each track, and the largest of all."""
+    return blocks.groupBy(*SERIES, F.expr(f"block div {fan}").alias("super")).agg(F.collect_list(F.struct(F.col("block").alias("i"), *TRACKS)).alias("blocks"), *(F.max(t).alias(t) for t in TRACKS))
 
 
 def _watched(x: Column) -> Column:
@@ -61,11 +61,15 @@ def first_hits(requests: DataFrame, candles: DataFrame, block: int = BLOCK, fan:
     here = asked.join(bars, [*SERIES, "block"], "left").withColumn("hit", _first(F.col("bars"), F.col("from"), F.col("last"))).drop("bars")
     end = F.expr(f"last div {block}")
     near = F.when(F.col("hit").isNull(), _first(F.col("blocks"), F.col("block") + 1, end))
-    near = here.join(supers, [*SERIES, "super"], "left").withColumn("found", near).drop("blocks")
+    parts = supers.select(*SERIES, "super", "blocks")
+    near = here.join(parts, [*SERIES, "super"], "left").withColumn("found", near).drop("blocks")
 
     open_ = near.where("hit IS NULL AND found IS NULL").withColumn("end", F.expr(f"last div {block * fan}")).where("end > super")
-    later = open_.withColumn("super", F.explode(F.sequence(F.col("super") + 1, "end"))).join(supers, [*SERIES, "super"])
-    far = later.groupBy("rid").agg(F.min(_first(F.col("blocks"), F.lit(0), end)).alias("far"))
+    # many rows, so only the largest values are met; the blocks of the one super block that is found come after
+    reaches = _watched(F.struct(*TRACKS)) >= F.col("level")
+    later = open_.withColumn("super", F.explode(F.sequence(F.col("super") + 1, "end"))).join(supers.drop("blocks"), [*SERIES, "super"]).where(reaches)
+    first = later.groupBy("rid", *SERIES, "track", "level", "last").agg(F.min("super").alias("super"))
+    far = first.join(parts, [*SERIES, "super"]).select("rid", _first(F.col("blocks"), F.lit(0), end).alias("far"))
 
     down = near.join(far, "rid", "left").withColumn("block", F.coalesce("found", "far")).drop("super", "found", "far").join(bars, [*SERIES, "block"], "left")
     return down.select("rid", F.coalesce("hit", _first(F.col("bars"), F.col("from"), F.col("last"))).alias("hit")).where("hit IS NOT NULL")

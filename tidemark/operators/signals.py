@@ -43,14 +43,19 @@ def with_context(candles: DataFrame, return_bars: int) -> DataFrame:
     """candles with shapes and what came before each: CONTEXT_BARS whole bars, the bar itself left out, and a return over `return_bars`."""
     series = Window.partitionBy(*SERIES, "_block").orderBy("bar_index")
     prior = series.rowsBetween(-CONTEXT_BARS, -1)
-    whole = F.count(F.lit(1)).over(prior) == CONTEXT_BARS
-    before = F.lag("close", return_bars).over(series)
+    # the window only gathers: the median is taken of rows that a filter on the shape has left
+    earlier = [F.lag("range", k).over(series) for k in range(1, CONTEXT_BARS + 1)]
     found = shapes(overlapped(candles, max(CONTEXT_BARS, return_bars))).select(
-        "*", ratio(F.col("range"), F.when(whole, F.percentile("range", 0.5).over(prior))).alias("range_vs_prior_20_median"),
-        ratio(F.col("volume"), F.when(whole, F.avg("volume").over(prior))).alias("volume_vs_prior_20_mean"),
-        ((ratio(F.col("close"), before) - 1.0) * 100.0).alias("prior_1h_return_pct"),
+        "*", F.array(*earlier).alias("_ranges"), F.avg("volume").over(prior).alias("_volume"), F.lag("close", return_bars).over(series).alias("_close"),
+    )
+    ordered, half = F.array_sort("_ranges"), CONTEXT_BARS // 2
+    middle = (ordered[half - 1] + ordered[half]) / 2
+    whole = F.col("_ranges")[CONTEXT_BARS - 1].isNotNull()
+    return found.where("_own").select(
+        *candles.columns, "range", "body_pct_of_range", "lower_wick_pct_of_range", "upper_wick_pct_of_range", "range_pct_of_close",
+        ratio(F.col("range"), F.when(whole, middle)).alias("range_vs_prior_20_median"), ratio(F.col("volume"), F.when(whole, F.col("_volume"))).alias("volume_vs_prior_20_mean"),
+        ((ratio(F.col("close"), F.col("_close")) - 1.0) * 100.0).alias("prior_1h_return_pct"),
     )
-    return found.where("_own").drop("_own", "_block")
 
 
 def sign_of(shape: Shape = STRICT) -> Column:
