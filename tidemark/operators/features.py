@@ -89,3 +89,44 @@ def as_vectors(long: DataFrame, key: str = "observation_id") -> DataFrame:
     """Fingerprints as one array per observation, views in the order pre, recent, episode."""
     order = F.when(F.col("view") == "pre", 0).when(F.col("view") == "recent", 1).otherwise(2)
     return long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "point", "value"))).alias("_v")).select(key, F.transform("_v", lambda x: x["value"]).alias("vector"))
+
+
+def resampled(values: Column, points: int) -> Column:
+    """An array of any length read at `points` even places, linearly between its elements. One element is repeated, an empty array stays empty."""
+    n = F.size(values)
+
+    def at(k: Column) -> Column:
+        x = k * (n - 1) / float(points - 1)
+        low = F.floor(x).cast("int")
+        high = F.least(low + 1, n - 1)
+        return F.get(values, low) + (x - low) * (F.get(values, high) - F.get(values, low))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)).otherwise(F.array().cast("array<double>"))
+
+
+def future_curve(path_rows: DataFrame, snapshots: DataFrame, horizons: Sequence[int], least_move: float = 0.02, most_ratio: float = 25.0) -> DataFrame:
+    """Long (episode_id, offset_bars, horizon_bars, distance, log_ratio, falls): where a route stood `horizon_bars` after each snapshot.
+
+    From the fill on the distance is 0; `falls` says that it is below the snapshot's move.
+    """
+    ends = path_rows.groupBy("episode_id").agg(F.max("offset_bars").alias("_end"))
+    asked = snapshots.select("episode_id", "offset_bars", "current_move_pct", F.explode(F.array(*map(F.lit, horizons))).alias("horizon_bars")).join(ends, "episode_id")
+    later = path_rows.select("episode_id", F.col("offset_bars").alias("_at"), F.greatest("normalized_close_pct", F.lit(0.0)).alias("_later"))
+    rows = asked.withColumn("_at", F.col("offset_bars") + F.col("horizon_bars")).join(later, ["episode_id", "_at"], "left")
+    distance = F.when(F.col("_at") >= F.col("_end"), 0.0).otherwise(F.col("_later"))
+    ratio_ = F.least(distance / F.greatest("current_move_pct", F.lit(least_move)), F.lit(most_ratio))
+    return rows.select("episode_id", "offset_bars", "horizon_bars", distance.alias("distance"), F.log1p(ratio_).alias("log_ratio"), (distance < F.col("current_move_pct")).alias("falls"))
+
+
+def decoded_distance(log_ratio: Column, current_move: Column, least_move: float = 0.02) -> Column:
+    """The distance that a curve's log ratio stands for."""
+    return F.expm1(F.greatest(log_ratio, F.lit(0.0))) * F.greatest(current_move, F.lit(least_move))
+
+
+def composed(blocks: dict[str, str], weights: dict[str, float]) -> Column:
+    """One vector of several blocks' vectors (name -> array column), each times its weight; blocks without a weight are left out."""
+    return F.concat(*(_times(F.col(c), weights[b]) for b, c in blocks.items() if weights.get(b)))
+
+
+def _times(vector: Column, weight: float) -> Column:
+    return F.transform(vector, lambda x: x * weight)

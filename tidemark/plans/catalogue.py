@@ -386,6 +386,31 @@ def sequence_fingerprint(spark, d):
     return features.fingerprint(_observed(e), e, 24, 12)
 
 
+@query(sql(
+    f"SELECT episode_id, offset_bars, horizon_bars, {r('distance')}, {r('ln(1 + least(distance / greatest(move, 0.02), 25.0))', 'log_ratio')}, distance < move AS falls FROM curves",
+    asked="SELECT s.episode_id, s.offset_bars, s.current_move_pct AS move, h.horizon_bars, e.signal_to_fill_bars AS fill FROM states s JOIN episodes e USING (episode_id), (VALUES (1), (3), (8)) h(horizon_bars) WHERE s.candidate",
+    curves="SELECT a.*, CASE WHEN a.offset_bars + a.horizon_bars >= a.fill THEN 0.0 ELSE greatest(p.normalized_close_pct, 0.0) END AS distance FROM asked a LEFT JOIN paths p ON p.episode_id = a.episode_id AND p.offset_bars = a.offset_bars + a.horizon_bars",
+))
+def future_curves(spark, d):
+    e = hourly(spark, d)
+    t = traced(e)
+    p = stored(library.paths(t, e), "paths")
+    return features.future_curve(p, library.states(p, library.episodes(t, e)).where("candidate"), (1, 3, 8))
+
+
+@query(sql("SELECT vec_id, 2 * size(embedding) AS width, " + r("list_sum(embedding) * 2.0 + list_sum(embedding) * 0.5", "total") + " FROM vectors").replace("2 * size(embedding)", "CAST(2 * len(embedding) AS INT)"))
+def composed_vectors(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+    both = rows.select("vec_id", features.composed({"state": "v", "context": "v", "pre": "v"}, {"state": 2.0, "context": 0.5}).alias("v"))
+    return both.select("vec_id", F.size("v").alias("width"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(sql(f"SELECT vec_id, k AS point, {r('CAST(embedding[low + 1] AS DOUBLE) + (x - low) * (CAST(embedding[least(low + 1, len(embedding) - 1) + 1] AS DOUBLE) - CAST(embedding[low + 1] AS DOUBLE))', 'value')} FROM spots", spots="SELECT *, CAST(floor(x) AS INT) AS low FROM (SELECT vec_id, embedding, CAST(k AS INT) AS k, k * (len(embedding) - 1) / 9.0 AS x FROM vectors, (SELECT unnest(generate_series(0, 9)) AS k))"))
+def resampled_vectors(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+    return rows.select("vec_id", F.posexplode(features.resampled(F.col("v"), 10)).alias("point", "value"))
+
+
 # Statistics
 
 def _scales_sql(variant: str) -> str:
