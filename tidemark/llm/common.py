@@ -29,13 +29,17 @@ def remainder(id_col: str | Column, modulus: int) -> Column:
 def smallest_by_hash(rows: DataFrame, group: str, per_group: int, id_col: str, salt: str = "") -> DataFrame:
     """At most `per_group` rows of each group, those with the smallest hash of the id: a bounded sample that reruns repeat.
 
-    Equal hashes (repeated ids) fall in the order of the id, so the bound holds. Spark keeps only the first
-    `per_group` rows of a group in every task before it shuffles (WindowGroupLimit), so a hot group costs nothing.
+    Counts per group come first, and only rows whose hash is among about the first 2 * per_group of their group are
+    ranked, so a hot group is not gathered. Equal hashes (repeated ids) fall in the order of the id; groups that are
+    NULL are left out. One row per group is broadcast: groups are labels or languages.
     """
     from pyspark.sql import Window
 
-    by = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(salt), F.col(id_col)), F.col(id_col))
-    return rows.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= per_group).drop("_rank")
+    counts = rows.groupBy(group).agg(F.count("*").alias("_all"))
+    spot = F.pmod(F.xxhash64(F.lit(salt), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
+    few = rows.withColumn("_spot", spot).join(F.broadcast(counts), group).where(F.col("_spot") * F.col("_all") <= 2 * per_group + 100)
+    by = Window.partitionBy(group).orderBy("_spot", F.col(id_col))
+    return few.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= per_group).drop("_rank", "_spot", "_all")
 
 
 def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
