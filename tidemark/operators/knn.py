@@ -1,63 +1,87 @@
 """Exact nearest neighbours and what they say.
 
-Queries are a bounded table (they are checked against `most_queries` and then broadcast); every task works through its
-own candidates once, keeps the best of each query, and only those meet. What is shuffled is queries x depth rows per
-task, not queries x candidates.
+Queries and candidates are cut into blocks by a hash of their ids; every block of queries meets every block of
+candidates in one task, which keeps the best of each query, and only those meet. No number of queries is too large:
+more of them make more blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_QUERIES = 20_000
+QUERY_BLOCK = 16_384
+#: rows of a block of candidates: as few as fill the tasks, within these
+CANDIDATE_BLOCK = (1_024, 65_536)
+#: differences held at once
+_CELLS = 4 << 20
 
 
-def distances(queries: DataFrame, candidates: DataFrame, depth: int, metric: str = "euclidean", most_queries: int = MOST_QUERIES) -> DataFrame:
-    """(query_id, candidate_id, group_id, distance, place) of the `depth` nearest candidates of each query, ties by candidate_id.
+def _most(rows: DataFrame, by: Sequence[str]) -> int:
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _dealt(rows: DataFrame, own: str, id_col: str, blocks: int, other: str, copies: int) -> DataFrame:
+    """rows with the number of their block, once for each block of the other side."""
+    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    out = rows.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    # named anew: both sides can come from the same table
+    return out.select(*(F.col(c).alias(c) for c in out.columns))
 
-    queries: (query_id, vector); candidates: (candidate_id, group_id, vector). Candidates with the query's own id
-    are left out. metric: euclidean, manhattan_mean or cosine.
-    """
-    held = queries.select("query_id", "vector").limit(most_queries + 1).toPandas()
-    if len(held) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: ask in lots")
-    kind = {c: t for c, t in queries.select("query_id").dtypes + candidates.select("candidate_id", "group_id").dtypes}
-    ids, matrix = held.query_id.to_numpy(), np.array(held.vector.tolist(), np.float64).reshape(len(held), -1)
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def distances(queries: DataFrame, candidates: DataFrame, depth: int, metric: str = "euclidean", by: Sequence[str] = (), query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(by, query_id, candidate_id, group_id, distance, place) of the `depth` nearest candidates of each query, ties by candidate_id.
+
+    queries: (by, query_id, vector); candidates: (by, candidate_id, group_id, vector). Only rows of the same `by` meet,
+    and candidates with the query's own id are left out. metric: euclidean, manhattan_mean or cosine.
+    """
+    by = list(by)
+    queries, candidates = queries.select(*by, "query_id", "vector"), candidates.select(*by, "candidate_id", "group_id", "vector")
+    kind = dict(queries.dtypes) | dict(candidates.dtypes)
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the largest group decides: blocks of the others are smaller
+    most = _most(candidates, by)
+    nq = max(1, -(-_most(queries, by) // query_block))
+    nc = max(1, -(-most // min(max(most // tasks, CANDIDATE_BLOCK[0]), CANDIDATE_BLOCK[1])))
+
+    def near(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        names = [*by, "query_id", "candidate_id", "group_id", "distance"]
+        if not len(asked) or not len(held):
+            return pd.DataFrame({n: [] for n in names})
+        ids, matrix = asked.query_id.to_numpy(), np.array(asked.vector.tolist(), np.float64).reshape(len(asked), -1)
         best: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.array(pdf.vector.tolist(), np.float64)
-            own = pdf.candidate_id.to_numpy()
+        for at in range(0, len(held), 2048):
+            pdf = held.iloc[at : at + 2048]
+            x, own, group = np.array(pdf.vector.tolist(), np.float64), pdf.candidate_id.to_numpy(), pdf.group_id.to_numpy()
             parts = [best] if best is not None else []
-            for begin in range(0, len(ids), 64):
-                q = matrix[begin : begin + 64]
+            step = max(1, _CELLS // max(1, x.size))
+            for begin in range(0, len(ids), step):
+                q = matrix[begin : begin + step]
                 if metric == "euclidean":
                     d = np.sqrt(((q[:, None, :] - x[None]) ** 2).sum(axis=2))
                 elif metric == "manhattan_mean":
                     d = np.abs(q[:, None, :] - x[None]).mean(axis=2)
                 else:
                     d = 1 - (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None], 1e-12)
-                d = np.where(ids[begin : begin + 64, None] == own[None], np.inf, d)
+                d = np.where(ids[begin : begin + step, None] == own[None], np.inf, d)
                 k = min(depth, d.shape[1])
                 # ties at the edge stay: the order by id is settled where all parts meet
                 edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
                 rows, cols = np.nonzero((d <= edge) & np.isfinite(d))
-                parts.append(pd.DataFrame({"query_id": ids[begin + rows], "candidate_id": own[cols], "group_id": pdf.group_id.to_numpy()[cols], "distance": d[rows, cols]}))
+                parts.append(pd.DataFrame({"query_id": ids[begin + rows], "candidate_id": own[cols], "group_id": group[cols], "distance": d[rows, cols]}))
             best = pd.concat(parts).sort_values(["query_id", "distance", "candidate_id"], kind="stable").groupby("query_id").head(depth)
-        if best is not None:
-            yield best
-
-    schema = f"query_id {kind['query_id']}, candidate_id {kind['candidate_id']}, group_id {kind['group_id']}, distance double"
-    met = candidates.select("candidate_id", "group_id", "vector").mapInPandas(near, schema)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "candidate_id"))
+        for name, value in zip(by, key):
+            best[name] = value
+        return best[names]
+
+    schema = ", ".join([f"{c} {kind[c]}" for c in (*by, "query_id", "candidate_id", "group_id")] + ["distance double"])
+    keys = [*by, "_q", "_c"]
+    met = _dealt(queries, "_q", "query_id", nq, "_c", nc).groupBy(*keys).cogroup(_dealt(candidates, "_c", "candidate_id", nc, "_q", nq).groupBy(*keys)).applyInPandas(near, schema)
+    place = F.row_number().over(Window.partitionBy(*by, "query_id").orderBy("distance", "candidate_id"))
     return met.withColumn("place", place).where(F.col("place") <= depth)
 
 
