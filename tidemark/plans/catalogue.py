@@ -753,6 +753,18 @@ def eligible_history(spark, d):
     return folds.eligible_history(_observed(e), f, 12 * HOUR).groupBy("fold", "role").agg(F.count("*").alias("observations"))
 
 
+def _walked(vectors: DataFrame, f: DataFrame, depth: int = 128, k: int = 25) -> DataFrame:
+    """(fold, query_id, score, label, neighbours) of the queries of all folds; vectors: observations with label and vector."""
+    roles = folds.eligible_history(vectors, f, 12 * HOUR)
+    asked = roles.where("role = 'query'").select("fold", F.col("observation_id").alias("query_id"), "vector", "label")
+    history = roles.where("role = 'history'").select("fold", F.col("observation_id").alias("candidate_id"), F.col("signal_id").alias("group_id"), "vector")
+    # windows do not overlap, so a query is in one fold
+    near = knn.distances(asked, history, depth, by=["fold"])
+    chosen = knn.weights(knn.first_of_groups(near, k), "inverse")
+    voted = knn.vote(chosen.join(vectors.select(F.col("observation_id").alias("candidate_id"), "label"), "candidate_id"))
+    return voted.withColumnRenamed("prediction", "score").join(asked.select("fold", "query_id", "label"), "query_id")
+
+
 @query()
 def walk_forward_knn(spark, d):
     """Per fold: nearest-neighbour forecasts of a target touch, learnt only from history that had matured."""
@@ -765,18 +777,7 @@ def walk_forward_knn(spark, d):
     names = ["entry_distance_pct", "peak_distance_pct", "drawdown_pct"]
     wide = scales.groupBy().agg(*(F.max(F.when(F.col("name") == n, F.col(x))).alias(f"{x}_{n}") for n in names for x in ("center", "scale")))
     vectors = rows.crossJoin(F.broadcast(wide)).select("observation_id", "signal_id", "signal_open_time", "entry_close_time", "label", F.array(*((F.col(n) - F.col(f"center_{n}")) / F.col(f"scale_{n}") for n in names)).alias("vector"))
-    out = None
-    # folds are few and known: one exact search each
-    for fold in f.orderBy("fold").limit(4).collect():
-        roles = folds.eligible_history(vectors, spark.createDataFrame([fold], f.schema), 12 * HOUR)
-        near = knn.distances(roles.where("role = 'query'").select(F.col("observation_id").alias("query_id"), "vector"), roles.where("role = 'history'").select(F.col("observation_id").alias("candidate_id"), F.col("signal_id").alias("group_id"), "vector"), 128)
-        chosen = knn.weights(knn.first_of_groups(near, 25), "inverse")
-        voted = knn.vote(chosen.join(rows.select(F.col("observation_id").alias("candidate_id"), "label"), "candidate_id"))
-        one = voted.join(rows.select(F.col("observation_id").alias("query_id"), "label"), "query_id").select(F.lit(fold.fold).alias("fold"), "query_id", "prediction", "label", "neighbours")
-        out = one if out is None else out.unionByName(one)
-    empty = "fold int, query_id string, prediction double, label double, neighbours long"
-    scored = (out if out is not None else spark.createDataFrame([], empty)).withColumnRenamed("prediction", "score")
-    return evaluate.brier(scored, "fold")
+    return evaluate.brier(_walked(vectors, f), "fold")
 
 
 @query(sql("SELECT signal_id, open_time FROM placed, (SELECT unnest(generate_series(0, 19)) AS k) WHERE n <= 20 OR i = CAST(floor(k * (n - 1) / 19) AS BIGINT) GROUP BY 1, 2", placed="SELECT *, row_number() OVER (ORDER BY open_time, signal_id) - 1 AS i, count(*) OVER () AS n FROM relaxed"))
