@@ -145,27 +145,63 @@ def test_simhash_links_large_buckets_exactly(spark, paired):
     assert all(got[i] == find(i) for i in range(len(prints)))
 
 
-def test_decontamination_finds_every_item_within_its_budget():
-    def least(p, t):
-        row = [0] * (len(t) + 1)
-        for i, c in enumerate(p, 1):
-            new = [i]
-            for j, e in enumerate(t, 1):
-                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != e)))
-            row = new
-        return min(row)
+def _least(p, t):
+    """The least edit distance of p to any substring of t."""
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, e in enumerate(t, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != e)))
+        row = new
+    return min(row)
+
+
+def _edited(rng, text, n):
+    text = list(text)
+    for _ in range(n):
+        k, kind = rng.randrange(max(1, len(text))), rng.randrange(3)
+        text[k : k + (kind != 0)] = [] if kind == 2 else [rng.choice("qxz ")]
+    return "".join(text)
 
+
+def test_decontamination_finds_every_item_within_its_budget():
     rng = random.Random(9)
-    items = [(k, decontaminate.normal(" ".join(rng.choice(WORDS["en"]) for _ in range(18)))) for k in range(8)]
+    sizes = [1, 2, 5, 9, 10, 11, 15, 19, 20, 21, 30, 47, 80, 150, 299, 300]
+    items = []
+    for k, n in enumerate(sizes * 2):
+        unit = " ".join(rng.choice(WORDS["en"]) for _ in range(60))
+        # every second item repeats itself
+        made = unit if k < len(sizes) else (unit[: rng.randint(2, 14)] * n)
+        items.append((k, decontaminate.normal(made[:n]) or "a"))
     finder = decontaminate.Finder(items)
-    for _ in range(60):
+    found = 0
+    for trial in range(240):
         key, item = rng.choice(items)
-        budget, text = int(len(item) * 0.1), list(item)
-        for _ in range(rng.choice((0, budget // 2, budget, budget + 3))):
-            text[rng.randrange(len(text))] = rng.choice("qxz")
-        doc = " ".join(rng.choice(WORDS["de"]) for _ in range(30)) + " " + "".join(text) + " und so weiter"
-        want = least(item, decontaminate.normal(doc))
-        assert {k: d for k, d, _ in finder.hits(doc)}.get(key) == (want if want <= budget else None)
+        budget = int(len(item) * 0.1)
+        other = " ".join(rng.choice(WORDS["de"]) for _ in range(12))
+        core = _edited(rng, item, rng.choice((0, budget // 2, budget, budget, budget + 2)))
+        doc = decontaminate.normal([core + " " + other, other + " " + core, other + " " + core + " " + other, core][trial % 4])
+        got = {k: d for k, d, _ in finder.hits(doc)}
+        for k, it in items if trial % 8 == 0 else [(key, item)]:
+            want, allowed = _least(it, doc), int(len(it) * 0.1)
+            if allowed == 0:
+                want = 0 if re.search(("" if not it[0].isalnum() else r"(?<![^\W_])") + re.escape(it) + ("" if not it[-1].isalnum() else r"(?![^\W_])"), doc) else 1
+            assert got.get(k) == (want if want <= allowed else None), (it, doc)
+            found += want <= allowed
+    assert found > 150
+
+
+def test_decontamination_of_repeating_and_short_items(spark):
+    finder = decontaminate.Finder([(1, "abcdefghijklmnabcdefg"), (2, "short answer: 42"), (3, "no")])
+    assert list(finder.hits("abcdefghiXXlmnabcdefg and then nothing")) == [(1, 2, 21)]
+    assert [k for k, *_ in finder.hits("The short  answer: 42, not 43. No.")] == [2, 3]
+    docs = spark.createDataFrame([(1, "it is yes or no"), (2, "a long passage of some words stands here"), (2, "a long passage of some words stands here"), (3, None), (4, "")], "doc_id string, text string")
+    items = spark.createDataFrame([(7, "yes"), (7, "a long passage of some words"), (7, "A long  passage of some words"), (8, ""), (None, "stands here")], "item_id short, text string").withColumn("text2", F.lit(1))
+    rows = [tuple(r) for r in decontaminate.find(docs, items).collect()]
+    assert sorted(rows, key=str) == sorted([("1", 7, 0, 3, 9), *[("2", 7, 0, 28, 28), ("2", None, 0, 11, 40)] * 2], key=str)
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, items).collect()) == ["3", "4"]
+    assert decontaminate.keep_clean(docs.limit(0), items).count() == 0 == decontaminate.find(docs.limit(0), items).count()
+    assert decontaminate.keep_clean(docs, items.limit(0)).count() == 5
 
 
 def test_decontamination_query(spark, docs):

@@ -6,8 +6,9 @@ node of p pieces may have p - 1 edits, because if every child exceeded its own a
 The root is the whole item with budget k, so nothing within the budget is missed, and chance hits end at the first
 node, of two pieces. Distances are computed by Myers' bit-parallel recurrence.
 
-Texts and items are compared lower-cased with runs of blanks as one. The budget is ERROR_RATE of an item's length.
-Items shorter than LEAST_CHARS say nothing about where a text comes from and are not looked for.
+Texts and items are compared lower-cased with runs of blanks as one. The budget is ERROR_RATE of an item's length, rounded
+down. An item too short to have one must stand there exactly and as whole words: "no" is not found in "nothing". Every
+item that has a character is looked for; items equal in id and normalised text count once.
 
 Items are shipped to the tasks in lots of at most LOT_CHARS; a larger benchmark takes more passes, never more memory.
 """
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import Shipped, map_batches
 
 ERROR_RATE = 0.1
-LEAST_CHARS = 20
 LOT_CHARS = 2_000_000
 
 
@@ -110,60 +111,78 @@ class Finder:
             self.automaton.make_automaton()
         self.empty = not pieces
 
-    def hits(self, text: str | None) -> Iterator[tuple[object, int, int]]:
-        """(item, least distance, end in the normal text), once for each item found within its budget."""
+    def found(self, text: str | None) -> dict[int, tuple[int, int]]:
+        """Number of each item within its budget to its least distance and where that occurrence ends in the normal text."""
+        found: dict[int, tuple[int, int]] = {}
         if self.empty:
-            return
+            return found
         text = normal(text)
-        found: dict[int, tuple[int, int]] = {}
         tried: set[tuple[int, int]] = set()
         for stop, (size, uses) in self.automaton.iter(text):
             at = stop + 1 - size
             for number, begin, node in uses:
-                if number in found and abs(found[number][1] - at) <= 2 * self.items[number][1] and found[number][0] == 0:
+                if number in found and found[number][0] == 0:
+                    continue
+                if node is None and not _whole(text, at, stop + 1):
                     continue
                 distance, end = 0, stop + 1
+                # where the item would begin if nothing before the piece was edited, perhaps before the text does
+                start = at - begin
                 while node is not None:
                     # the piece stands where it was hit, so the node's text begins and ends within its edits of this
-                    low = max(0, at - (begin - node.begin) - node.edits)
-                    high = stop + 1 + node.end - begin - size + node.edits
+                    low = max(0, start + node.begin - node.edits)
+                    high = start + node.end + node.edits
                     if node.parent is None:
-                        if (number, low) in tried:
+                        if (number, start) in tried:
                             break
-                        tried.add((number, low))
+                        tried.add((number, start))
                     distance, end = node.pattern.best(text[low:high])
                     end += low
                     if distance > node.edits:
                         break
                     node = node.parent
                 else:
-                    if number not in found or distance < found[number][0]:
+                    if number not in found or (distance, end) < found[number]:
                         found[number] = distance, end
-        for number, (distance, end) in sorted(found.items()):
+        return found
+
+    def hits(self, text: str | None) -> Iterator[tuple[object, int, int]]:
+        """(item, least distance, end in the normal text), once for each item found within its budget."""
+        for number, (distance, end) in sorted(self.found(text).items()):
             yield self.items[number][0], distance, end
 
 
+def _whole(text: str, begin: int, end: int) -> bool:
+    """Whether text[begin:end] neither begins nor ends inside a word."""
+    before = begin > 0 and text[begin - 1].isalnum() and text[begin].isalnum()
+    return not before and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
 def lots(items: DataFrame, item_col: str = "item_id", text_col: str = "text", lot_chars: int = LOT_CHARS) -> Iterator[list[tuple[object, str]]]:
     """The items by lots of bounded size: each is one collect of rows whose total length is bounded."""
-    rows = items.select(F.col(item_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text") >= LEAST_CHARS)
+    rows = items.select(F.col(item_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text") > 0).distinct()
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     # a lot's expected size is half the bound
     n = max(1, -(-2 * total // lot_chars)) if total > lot_chars else 1
+    # texts that are one when normalised fall into one lot
+    alike = F.lower(F.regexp_replace("text", r"\s+", ""))
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == k)
-        lot = [(r.key, normal(r.text)) for r in part.collect()]
-        yield sorted(((key, t) for key, t in lot if len(t) >= LEAST_CHARS), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1]))
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("key", alike), F.lit(n)) == k)
+        lot = {(r.key, normal(r.text)) for r in part.collect()}
+        yield sorted(((key, t) for key, t in lot if t), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1]))
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", error_rate: float = ERROR_RATE) -> DataFrame:
     """(id, item, distance, item_chars, end): one row per document and item that it holds within the item's budget.
 
-    end: where the best occurrence ends in the normalised text. Documents without a hit, NULL and empty ones have no
-    row; repeated rows have repeated hits.
+    end: where the best occurrence ends in the normalised text, the first of equally good ones. Documents without a hit,
+    NULL and empty ones have no row; repeated documents have repeated hits. Items of NULL or empty text are nowhere;
+    several items of one id are each found, with their own length. Without items or documents there are no rows. Other
+    columns of either table are not looked at.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    item_arrow = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
+    item_arrow = to_arrow_type(items.schema[item_col].dataType)
     asked = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     out = None
     for lot in lots(items, item_col, "text"):
@@ -173,10 +192,10 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         def work(batch: pa.RecordBatch, held=held, made=made) -> pa.RecordBatch:
             if not made:
                 made.append(Finder(held.value, error_rate))
-            rows = [(k, *hit) for k, text in enumerate(batch.column(1).to_pylist()) for hit in made[0].hits(text)]
+            finder = made[0]
+            rows = [(k, *finder.items[number][:2], *hit) for k, text in enumerate(batch.column(1).to_pylist()) for number, hit in sorted(finder.found(text).items())]
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-            chars = dict(held.value)
-            return pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], item_arrow), pa.array([r[2] for r in rows], pa.int32()), pa.array([len(chars[r[1]]) for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())], [id_col, item_col, "distance", "item_chars", "end"])
+            return pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], item_arrow), *(pa.array([r[k] for r in rows], pa.int32()) for k in (3, 2, 4))], [id_col, item_col, "distance", "item_chars", "end"])
 
         one = map_batches(asked, work, f"{id_col} {kind}, {item_col} {item_kind}, distance int, item_chars int, end int", "_text")
         out = one if out is None else out.unionByName(one)
@@ -184,7 +203,10 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", error_rate: float = ERROR_RATE) -> DataFrame:
-    """docs, all columns kept, without the rows that hold an item."""
+    """docs, all columns kept, without the rows that hold an item within its budget.
+
+    NULL and empty texts hold none and stay, as do all rows where there are no items. Repeated rows stay or go together.
+    """
     place = docs.columns.index(text_col)
     out = docs
     for lot in lots(items):
@@ -193,7 +215,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", error_
         def run(batches, held=held):
             finder = Finder(held.value, error_rate)
             for batch in batches:
-                clean = [next(finder.hits(t), None) is None for t in batch.column(place).to_pylist()]
+                clean = [not finder.found(t) for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
