@@ -296,21 +296,64 @@ def test_language_is_told_on_held_out_rows(spark, docs):
     assert got[1].rejected and got[2].lang_pred == got[3].lang_pred == "und" and got[4].lang_pred == "en" and not got[4].rejected
 
 
-def test_sketches(spark, docs):
-    rows = sorted(sketch.edited_and_next(docs).collect(), key=lambda r: r.doc_id)
-    texts = {r.doc_id: r.text for r in docs.collect()}
+def _shingled(text):
+    w = text.lower().split()
+    return {tuple(w[max(0, k - 4) : k + 1]) for k in range(len(w))}
+
+
+def test_sketches_equal_exact_overlaps(spark, docs):
+    rng = random.Random(2)
+    long = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in (300, 900, 4_000, 20_000)]
+    more = spark.createDataFrame([(200 + k, t, "en", "s1", 1) for k, t in enumerate([*long, long[2] + " " + long[3], "", None])], SCHEMA)
+    rows = sorted(sketch.edited_and_next(docs.union(more)).collect(), key=lambda r: r.doc_id)
+    texts = {r.doc_id: r.text or "" for r in docs.union(more).collect()}
     for k, r in enumerate(rows):
         text, after = texts[r.doc_id], texts[rows[(k + 1) % len(rows)].doc_id]
         cut = len(text) // 4
-        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()
-        assert r.near_next == 1 if text == after else r.near_edited > r.near_next
+        edited = text[: len(text) - cut] + after[:cut]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for near, other in ((r.near_edited, edited), (r.near_next, after)):
+            a, b = _shingled(text), _shingled(other)
+            exact = len(a & b) / len(a | b) if a | b else 1.0
+            # short texts are known whole; others by 256 hashes or more
+            assert near == pytest.approx(exact, abs=1e-12 if max(len(a), len(b)) <= sketch.LEAST else 0.1)
     assert rows[1].fingerprint == rows[120].fingerprint
-    rng = random.Random(2)
-    long = [" ".join(f"w{rng.randrange(5000)}" for _ in range(20_000)) for _ in range(2)]
-    part = sketch.sketch(long[0][: len(long[0]) // 20])
-    assert part.likeness(sketch.sketch(long[0]))[1] > 0.95 and part.likeness(sketch.sketch(long[1]))[1] < 0.05
-    both = sketch.sketch(long[0]).merged(sketch.sketch(long[1]))
-    assert np.array_equal(sketch.Sketch.parse(both.text()).hashes, both.hashes)
+    part = sketch.sketch(long[3][: len(long[3]) // 20])
+    assert part.contained(sketch.sketch(long[3])) > 0.95 and part.contained(sketch.sketch(long[2])) < 0.05
+    both = sketch.sketch(long[2]).merged(sketch.sketch(long[3]))
+    joined = sketch.sketch(long[2] + " x y z v " + long[3])
+    assert abs(len(np.setxor1d(both.hashes, joined.under(both.below).hashes))) < 8
+    assert np.array_equal(sketch.Sketch.parse(both.text()).hashes, both.hashes) and sketch.Sketch.parse(both.text()).below == both.below
+
+
+def test_sketches_of_short_texts_in_a_long_one_are_known_or_unknown():
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(3000)}" for _ in range(5000)]
+    held = sketch.sketch(" ".join(long))
+    found = []
+    for begin in range(0, 4900, 12):
+        share = sketch.sketch(" ".join(long[begin : begin + 12])).contained(held)
+        found.append(share)
+    # the first four shingles of a part reach back to other words in the long text
+    known = [s for s in found if s is not None]
+    assert all(s is None or 0 <= s <= 1 for s in found) and len(known) > 0.7 * len(found)
+    assert abs(np.mean(known) - 8 / 12) < 0.08
+    assert sketch.sketch("").contained(held) is None and held.contained(sketch.sketch("")) == 0.0
+    assert sketch.sketch(None).likeness(sketch.sketch("")) == 1.0 and sketch.sketch("").likeness(held) == 0.0
+
+
+def test_sketches_of_any_ids(spark):
+    texts = [None, "", "a b c", "a b c", "a b d", "q r s t u v w"]
+    rows = [(["k1", "k2", None, "k10"][i % 4], texts[i % 6]) for i in range(90)]
+    got = sketch.edited_and_next(spark.createDataFrame(rows, "doc_id string, text string"), ranges=7).collect()
+    assert len(got) == 90 and collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
+    assert sketch.edited_and_next(spark.createDataFrame([(None, "a b")], "doc_id date, text string")).first().near_next == 1.0
+    # in the order of ids every row has the next one's text at its end
+    ordered = spark.createDataFrame([(f"{i:03}", f"word{i} " * 8) for i in range(50)], "doc_id string, text string")
+    for r in sketch.edited_and_next(ordered, ranges=9).collect():
+        text, after = f"word{int(r.doc_id)} " * 8, f"word{(int(r.doc_id) + 1) % 50} " * 8
+        cut = len(text) // 4
+        assert r.edited_sha256 == hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()
 
 
 def test_mixing_meets_its_targets(spark, docs):
