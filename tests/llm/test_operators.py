@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -90,6 +91,54 @@ def test_pii_checksums_and_redaction(spark):
     assert got[1].startswith("iban <IBAN>") and "<IBAN>" not in got[2] and got[3] == "<EMAIL>, <IP>"
 
 
+def test_pii_scores_and_accounts_equal_a_plain_version(spark):
+    rng = random.Random(8)
+
+    def account(ok):
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+        return f"DE{(check if ok else check % 96 + 2 if check % 96 + 2 != check else 3):02}{body}"
+
+    pieces = ["iban", "konto", "mail", "version", "server", "host", "word", "card", "order", "é😀", "a.b@c.de", "10.2.3.4", "4111 1111 1111 1111", "+49 30 1234567"]
+    texts = [" ".join(account(rng.random() < 0.7) if rng.random() < 0.2 else rng.choice(pieces) for _ in range(rng.randint(1, 60))) for _ in range(80)] + ["x" * 5000 + " server 1.2.3.4 " + "y" * 5000 + " 1.2.3.4 version"]
+    for row in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        text = texts[row.doc_id]
+        want = sorted((m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9])DE[0-9]{20}(?![A-Za-z0-9])", text) if int("".join(str(int(c, 36)) for c in m[0][4:] + m[0][:4])) % 97 == 1)
+        assert sorted((s.start, s.end) for s in row.spans if s.kind == "iban" and " " not in s.value) == want
+        for s in row.spans:
+            kind = next(k for k in pii.KINDS if k.name == s.kind)
+            near = (text[max(0, s.start - 40) : s.start] + " " + text[s.end : s.end + 40]).lower()
+            score = kind.base_score + (0.1 + (0.9 - kind.base_score) / 2 if re.search(kind.raising, near) else 0) - (0.2 if kind.lowering and re.search(kind.lowering, near) else 0)
+            assert text[s.start : s.end] == s.value and s.score == pytest.approx(min(score, 1.0))
+
+
+def test_pii_redacts_as_a_plain_version(spark):
+    rng = random.Random(6)
+    pieces = ["a.b@c.de", "10.2.3.4", "4111 1111 1111 1111", "+4111 1111 1111 1111", "word", "é😀", " ", "x" * 1500]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    for r in pii.redact(df).collect():
+        out, at, text = [], 0, texts[r.doc_id]
+        for s in sorted(spans[r.doc_id], key=lambda s: (s.start, -s.end, s.kind)):
+            if s.start >= at:
+                out.append(text[at : s.start] + f"<{s.kind.upper()}>")
+            at = max(at, s.end)
+        assert r.text == "".join(out) + text[at:]
+
+
+def test_pii_of_a_text_with_very_many_spans(spark):
+    text = " ".join(f"user{k}@example.org, 10.0.{k % 256}.1" for k in range(16_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.find(df.limit(0)).count()
+    begun = time.monotonic()
+    got = pii.digest(pii.find(df)).first()
+    assert (got.n_email, got.n_ip) == (16_000, 16_000) and time.monotonic() - begun < 6
+    begun = time.monotonic()
+    clean = pii.redact(df).first().text
+    assert clean.count("<EMAIL>, <IP>") == 16_000 and time.monotonic() - begun < 8
+
+
 def test_simhash_equals_brute_force(spark, docs):
     rows = {r.doc_id: r for r in simhash.run(docs).collect()}
 

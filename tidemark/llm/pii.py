@@ -3,10 +3,14 @@
 Column expressions only; there is no Python, Arrow or RDD code on this path and no shuffle: every row is
 worked on where it is read. A NULL text is an empty one; repeated rows give repeated results; other columns
 of the input are carried (`redact`) or left out (`find`), never looked at.
+
+Very long texts with very many spans: places are running sums over pieces, taken in about sqrt(n) chunks, and what
+stands near a span is cut from the text's segments of SEGMENT code points, so no step goes over the text once a span.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +40,7 @@ KINDS = (
 )
 BASE = ("email", "ip", "card", "phone")
 CONTEXT_CHARS = 40
+SEGMENT = 1024
 #: the largest part of an address, the digits of a card and of a phone number
 MAX_OCTET, CARD_DIGITS, PHONE_DIGITS = 255, (13, 19), (9, 15)
 
@@ -91,25 +96,65 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where `use` names it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of some whole numbers what `merge` makes of 0 and all before it; one more entry has that of all."""
+    empty = F.expr("cast(array() as array<int>)")
+
+    def running(chunk, first):
+        start = F.struct(first.alias("at"), empty.alias("out"))
+        return F.aggregate(chunk, start, lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def chunked(held):
+        size = F.ceil(F.sqrt(F.size(held))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(held) / size).cast("int") - 1), lambda k: F.slice(held, k * size + 1, size))
+
+    def joined(chunks):
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), merge))
+        return _let(running(totals, F.lit(0)), lambda firsts: F.flatten(F.transform(chunks, lambda c, k: running(c, F.get(firsts, k)))))
+
+    # a last 0 asks for one entry more
+    return _let(F.array_append(values, F.lit(0)), lambda held: _let(chunked(held), joined))
+
+
 def _placed(matches: Column, pieces: Column) -> Column:
     """The matches with their places, from the text between them: array<struct<value, start, end>> in code points."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<value:string,start:int,end:int>>)").alias("out"))
 
-    def add(acc, x):
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(x["value"].alias("value"), begin.alias("start"), end.alias("end"))).alias("out"))
+    def place(m):
+        def with_pieces(p):
+            steps = F.zip_with(F.slice(p, F.lit(1), F.size(m)), m, lambda piece, value: F.length(piece) + F.length(value))
+
+            def out(ends):
+                return F.transform(m, lambda value, k: F.struct(value.alias("value"), (F.get(ends, k + 1) - F.length(value)).alias("start"), F.get(ends, k + 1).alias("end")))
 
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("value"))
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+            return _let(_before(steps, lambda a, b: a + b), out)
 
+        return _let(pieces, with_pieces)
 
-def _scored(text: Column, kind: Kind, placed: Column) -> Column:
+    return _let(matches, place)
+
+
+def _segments(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+
+
+def _cut(segments: Column, begin: Column, end: Column) -> Column:
+    """The text between two places, from the segments that it touches."""
+    first = F.floor(begin / SEGMENT).cast("int")
+    parts = F.slice(segments, first + 1, F.floor(end / SEGMENT).cast("int") - first + 1)
+    return F.when(end > begin, F.substring(F.array_join(parts, ""), begin - first * SEGMENT + 1, end - begin)).otherwise(F.lit(""))
+
+
+def _scored(segments: Column, kind: Kind, placed: Column) -> Column:
     """Confirmed spans with their scores: array<struct<kind, start, end, value, score>>."""
 
     def score(x):
         begin = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.concat(F.substring(text, begin + 1, x["start"] - begin), F.lit(" "), F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS))))
+        near = F.lower(F.concat(_cut(segments, begin, x["start"]), F.lit(" "), _cut(segments, x["end"], x["end"] + CONTEXT_CHARS)))
         value = F.lit(kind.base_score) + F.when(near.rlike(kind.raising), 0.1 + (0.9 - kind.base_score) / 2).otherwise(0.0)
         if kind.lowering:
             value = value - F.when(near.rlike(kind.lowering), 0.2).otherwise(0.0)
@@ -130,7 +175,7 @@ def _with_spans(df: DataFrame, text_col: str, out: str) -> DataFrame:
     for k in KINDS:
         m = F.col(f"_m_{k.name}")
         placed = _placed(m, F.split(text, k.pattern, -1))
-        spans.append(F.when(F.size(m) > 0, _scored(text, k, placed)).otherwise(F.expr(_NONE)))
+        spans.append(F.when(F.size(m) > 0, _let(_segments(text), lambda segments: _scored(segments, k, placed))).otherwise(F.expr(_NONE)))  # noqa: B023
     return found.select(*kept, F.concat(*spans).alias(out))
 
 
@@ -170,12 +215,20 @@ def redact(docs: DataFrame, text_col: str = "text", least_score: float = 0.0) ->
     text = F.col("text")
     # sorted by start, longest first
     order = F.array_sort(F.transform(F.filter("spans", lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def put(acc, s):
-        end = -s["end"]
-        mark = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(s["start"] >= acc["at"], mark).otherwise(acc["out"]).alias("out"))
+    def marks(segments):
+        def joined(spans):
+            def with_reach(reach):
+                # reach: how far the spans before one go; one that begins within them gets no mark of its own
+                def part(s, k):
+                    mark = F.concat(_cut(segments, F.get(reach, k), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+                    return F.when(s["start"] >= F.get(reach, k), mark).otherwise(F.lit(""))
+
+                return F.concat(F.array_join(F.transform(spans, part), ""), _cut(segments, F.element_at(reach, -1), F.length(text)))
+
+            return _let(_before(F.transform(spans, lambda s: -s["end"]), lambda a, b: F.greatest(a, b)), with_reach)
+
+        return _let(order, joined)
 
-    clean = F.aggregate(order, begin, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = _let(_segments(text), marks)
     return marked.select(*(F.when(F.size("spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
