@@ -1,14 +1,16 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting takes a bounded sample: at most `per_label` labelled rows of each label, those with the smallest hash of the
-id. Terms are words (lower-cased, outer punctuation cut off) that tell the labels apart: a rate ratio of LEAST_RATIO
-and a chi-square of LEAST_CHI2, at most MOST_TERMS of them. Examples are unit TF-IDF vectors of these terms, kept in
-blocks of BLOCK alike vectors. For each term the index has the largest weight in each block; a block whose bound does
-not exceed the k-th best cosine so far is not opened, so the k nearest are exact. Neighbours vote with the inverse of
-their distance and their label's share of all labelled rows to the sample's; votes become probabilities by a monotone
-fit to the sample's own leave-one-out votes.
-
-A text without any of the terms has no direction: it gets the sample's share of label 1 among such texts.
+id. Terms are all words of the sample (lower-cased, outer punctuation cut off). A term's weight in a text is
+(1 + ln n) * idf * gain, where gain = chi2 / (chi2 + HALF_GAIN) says how well the term tells the labels apart: with
+idf alone a few telling words drown in a long text. Examples are unit vectors, kept in blocks of BLOCK alike ones. For
+each term the index has the largest weight in each block; a block whose bound does not reach the k-th best cosine so
+far is not opened, so the k nearest are exact. Neighbours vote with the inverse of their distance and their label's
+share of all labelled rows to the sample's; votes become probabilities by a monotone fit to the sample's own
+leave-one-out votes.
+
+A text without any word of the sample has no direction: it gets the share of label 1 among examples without words,
+or among all labelled rows where there are none.
 """
 
 from __future__ import annotations
@@ -19,15 +21,18 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Shipped, map_batches, remainder, smallest_by_hash, stored
 
 PER_LABEL = 1500
-MOST_TERMS = 4096
-LEAST_RATIO, LEAST_CHI2, LEAST_DOCS = 3.0, 20.0, 5
+#: the chi-square at which a term has half of the weight that idf gives it
+HALF_GAIN = 20.0
 BLOCK = 64
+#: blocks opened before any is left out
+FIRST_BLOCKS = 4
 NEIGHBOURS = 15
 CLOSENESS = 0.05
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -42,53 +47,72 @@ def term_counts(text: str | None) -> Counter[str]:
     return found
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, .. for size[0] numbers, then the same of the next."""
+    if not len(size):
+        return np.zeros(0, np.int64)
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Index:
-    """Examples by term, with the largest weight of every block."""
+    """Examples by term and block, with the largest weight of every term in every block."""
 
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, counts: list[list[tuple[int, int]]], ids: list, labels: np.ndarray, weights: np.ndarray):
-        self.terms, self.idf = terms, idf
-        vectors = [self._unit(c) for c in counts]
+    def __init__(self, terms: dict[str, int], worth: np.ndarray, examples: list[Counter[str]], ids: list, labels: np.ndarray, weights: np.ndarray):
+        self.terms, self.worth = terms, worth
+        vectors = [self.unit(c) for c in examples]
         # alike vectors stand together: by their heaviest terms
-        order = sorted(range(len(vectors)), key=lambda k: (sorted(vectors[k], key=lambda tw: -tw[1])[:3], k))
+        order = sorted(range(len(vectors)), key=lambda k: (vectors[k][0][np.argsort(-vectors[k][1], kind="stable")[:3]].tolist(), k))
         self.ids, self.labels, self.weights = [ids[k] for k in order], labels[order], weights[order]
         self.vectors = [vectors[k] for k in order]
         self.blocks = -(-len(order) // BLOCK)
-        postings: dict[int, dict[int, tuple[list, list]]] = {}
-        for k, vector in enumerate(self.vectors):
-            for t, w in vector:
-                at, ws = postings.setdefault(t, {}).setdefault(k // BLOCK, ([], []))
-                at.append(k % BLOCK)
-                ws.append(w)
-        self.postings = {t: {b: (np.array(at), np.array(ws)) for b, (at, ws) in bs.items()} for t, bs in postings.items()}
-        self.most = {t: (np.array(list(bs)), np.array([ws.max() for _, ws in bs.values()])) for t, bs in self.postings.items()}
-
-    def _unit(self, counts: list[tuple[int, int]]) -> list[tuple[int, float]]:
-        raw = [(t, (1 + np.log(n)) * self.idf[t]) for t, n in sorted(counts)]
-        norm = float(np.sqrt(sum(w * w for _, w in raw)))
-        return [(t, float(w / norm)) for t, w in raw] if norm else []
-
-    def query(self, text: str | None) -> tuple[tuple[int, int], ...]:
+        sizes = np.array([len(t) for t, _ in self.vectors], np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.vectors)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
+        place = np.repeat(np.arange(len(order)), sizes)
+        by_term = np.lexsort((place, term))
+        self.place, self.weight = place[by_term].astype(np.int32), weight[by_term]
+        # one cell for each term and block where the term stands
+        cell = term[by_term] * max(self.blocks, 1) + self.place // BLOCK
+        begins = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cell_block = (cell[begins] % max(self.blocks, 1)).astype(np.int32)
+        self.cell_most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0)
+        self.cell_begin = np.append(begins, len(cell))
+        self.term_begin = np.searchsorted(cell[begins] // max(self.blocks, 1), np.arange(len(terms) + 1))
+
+    def unit(self, counts: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers, ascending, and weights of a text's unit vector; words that the sample lacks have no part in it."""
         get = self.terms.get
-        return tuple(sorted((t, n) for w, n in term_counts(text).items() if (t := get(w)) is not None))
-
-    def nearest(self, counts: tuple[tuple[int, int], ...], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest cosine, (cosine, place); of equal ones those that the index has first."""
-        vector = self._unit(list(counts))
-        bound = np.zeros(self.blocks)
-        for t, w in vector:
-            if t in self.most:
-                at, most = self.most[t]
-                bound[at] += w * most
+        held = sorted((t, n) for word, n in counts.items() if (t := get(word)) is not None)
+        at = np.fromiter((t for t, _ in held), np.int64, len(held))
+        raw = (1 + np.log(np.fromiter((n for _, n in held), float, len(held)))) * self.worth[at]
+        norm = float(np.sqrt(raw @ raw))
+        return (at[raw > 0], raw[raw > 0] / norm) if norm else (at[:0], raw[:0])
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
+        """The k examples of the largest positive cosine, (cosine, place); of equal ones those that the index has first."""
+        at, w = vector
+        n = self.term_begin[at + 1] - self.term_begin[at]
+        cells, held = _ranges(self.term_begin[at], n), np.repeat(w, n)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, held * self.cell_most[cells], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0]:
+        for opened in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            if len(best) == k:
+                opened = opened[bound[opened] >= best[-1][0] - 1e-9]
+            if not len(opened):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in vector:
-                if (held := self.postings.get(t, {}).get(b)) is not None:
-                    score[held[0]] += w * held[1]
-            opened = [(float(score[j]), int(b) * BLOCK + int(j)) for j in np.flatnonzero(score > 0)]
-            best = sorted([*best, *(x for x in opened if x[1] != but)], key=lambda x: (-round(x[0], 12), x[1]))[:k]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[opened] = True
+            inside = chosen[block]
+            begin = self.cell_begin[cells[inside]]
+            sizes = self.cell_begin[cells[inside] + 1] - begin
+            posts = _ranges(begin, sizes)
+            score = np.round(np.bincount(self.place[posts], np.repeat(held[inside], sizes) * self.weight[posts], len(self.ids)), 12)
+            found = np.flatnonzero(score > 0)
+            found = found[np.lexsort((found, -score[found]))][: k + 1]
+            best = sorted([*best, *((float(score[j]), int(j)) for j in found if j != but)], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -116,76 +140,74 @@ class Model:
     def __init__(self, index: Index | None, blank: float):
         self.index, self.blank = index, blank
         self.at, self.value = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self.seen: dict[tuple, tuple[float, list]] = {}
-        if index is not None and index.vectors:
-            full = [k for k, v in enumerate(index.vectors) if v]
-            if full:
-                votes = np.array([index.vote(index.nearest(index.own[k], but=k)) for k in full])
-                self.at, self.value = _monotone(np.append(votes, [0.0, 1.0]), np.append(index.labels[full], [0.0, 1.0]), np.append(index.weights[full], [1.0, 1.0]))
+        self.seen: dict[bytes, tuple[float, list]] = {}
+        full = [k for k, (t, _) in enumerate(index.vectors) if len(t)] if index is not None else []
+        if full:
+            votes = np.array([index.vote(index.nearest(index.vectors[k], but=k)) for k in full])
+            self.at, self.value = _monotone(np.append(votes, [0.0, 1.0]), np.append(index.labels[full], [0.0, 1.0]), np.append(index.weights[full], [1.0, 1.0]))
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
-        counts = self.index.query(text) if self.index is not None else ()
-        if not counts:
+        if self.index is None or not text:
             return self.blank, []
-        if counts not in self.seen:
-            near = self.index.nearest(counts)
+        # copies are common
+        key = xxhash.xxh3_128_digest(text)
+        if key not in self.seen:
+            near = self.index.nearest(self.index.unit(term_counts(text)))
             found = self.blank if not near else float(np.interp(self.index.vote(near), self.at, self.value)), [{"example": self.index.ids[p], "cosine": c, "label": int(self.index.labels[p])} for c, p in near[:3]]
             if len(self.seen) > 50_000:
                 self.seen.clear()
-            self.seen[counts] = found
-        return self.seen[counts]
+            self.seen[key] = found
+        return self.seen[key]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
-    """A model of the labelled documents. Rows with a NULL id or label and labels without a document are left out."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("label"))
+    """A model of the labelled documents.
+
+    Rows with a NULL id or label and labels without a document are left out. Repeated rows of either table count once;
+    an id with several texts gives an example of each, an id with both labels one of each label. Equal hashes fall in
+    the order of ids. Without any example the model scores everything 0. Other columns are not looked at.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("label")).distinct()
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = smallest_by_hash(known, "label", per_label, "id").distinct()
+    chosen = smallest_by_hash(known, "label", per_label, "id")
     # at most per_label rows of each of two labels
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").distinct()
 
     def words(batches):
         for pdf in batches:
-            rows = [(i, label, t, n) for i, label, text in zip(pdf.id, pdf.label, pdf.text) for t, n in [*term_counts(text).items(), ("", 0)]]
-            yield pd.DataFrame(rows, columns=["id", "label", "term", "n"])
+            counts = [term_counts(t) for t in pdf.text]
+            yield pd.DataFrame({"id": pdf.id, "label": pdf.label, "h": pdf.h, "terms": [list(c) for c in counts], "ns": [list(c.values()) for c in counts]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(sample.mapInPandas(words, f"id {kind}, label int, term string, n long"), "toxic-terms")
-    everyone = rows.where("term = ''").select("id", "label").collect()
-    size = Counter(r.label for r in everyone)
-    if not everyone:
+    rows = stored(sample.withColumn("h", F.xxhash64("text")).mapInPandas(words, f"id {kind}, label int, h long, terms array<string>, ns array<int>"), "toxic-examples")
+    # the bounded sample
+    held = rows.orderBy("id", "label", "h").collect()
+    if not held:
         return Model(None, 0.0)
-    weight = {c: totals[c] / size[c] for c in size}
-    terms = rows.where("term <> ''").groupBy("term").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+    examples = [Counter(dict(zip(r.terms, r.ns))) for r in held]
+    labels_of = np.array([r.label for r in held], float)
+    size = Counter(r.label for r in held)
+    weights = np.array([totals[r.label] / size[r.label] for r in held])
+    seen = {c: Counter() for c in (0, 1)}
+    for r in held:
+        seen[r.label].update(r.terms)
+    terms = {t: k for k, t in enumerate(sorted(seen[0].keys() | seen[1].keys()))}
+    a, b = (np.array([seen[c][t] for t in terms], float) for c in (1, 0))
     n1, n0 = size.get(1, 0), size.get(0, 0)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi2 = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / F.greatest((a + b) * (n1 + n0 - a - b) * float(max(n1 * n0, 1)), F.lit(1.0))
-    ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    telling = terms.where((a + b >= LEAST_DOCS) & (chi2 >= LEAST_CHI2) & (F.greatest(ratio, 1 / ratio) >= LEAST_RATIO)).withColumn("chi2", chi2)
-    chosen_terms = telling.orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).collect()
-    place = {r.term: k for k, r in enumerate(chosen_terms)}
-    idf = np.array([1 + np.log((n1 + n0) / (r.a + r.b)) for r in chosen_terms]) if chosen_terms else np.zeros(0)
-    # at most MOST_TERMS terms of a bounded number of examples
-    table = docs.sparkSession.createDataFrame([(t,) for t in place] or [("",)], "term string")
-    vectors: dict = {}
-    for r in rows.where("term <> ''").join(F.broadcast(table), "term").collect():
-        vectors.setdefault((r.id, r.label), Counter())[place[r.term]] += r.n
-    blanks = Counter({c: size[c] - sum(label == c for _, label in vectors) for c in size})
-    mass = {c: weight[c] * max(blanks[c], 0) for c in size}
-    blank = (mass.get(1, 0) + 0.01) / (sum(mass.values()) + 1)
-    keys = sorted(vectors)
-    counts = [sorted(vectors[k].items()) for k in keys]
-    labels_of = np.array([k[1] for k in keys], float)
-    index = Index(place, idf, counts, [k[0] for k in keys], labels_of, np.array([weight[k[1]] for k in keys]))
-    own = {k[0]: tuple(c) for k, c in zip(keys, counts)}
-    index.own = [own[i] for i in index.ids]
-    model = Model(index, blank)
-    index.own = []
-    return model
+    n = n1 + n0
+    chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n - a - b) * max(n1 * n0, 1), 1.0)
+    worth = (1 + np.log(n / np.maximum(a + b, 1))) * chi2 / (chi2 + HALF_GAIN)
+    index = Index(terms, worth, examples, [r.id for r in held], labels_of, weights)
+    mass = np.array([weights[[k for k, r in enumerate(held) if r.label == c and not r.terms]].sum() for c in (0, 1)])
+    return Model(index, float((mass[1] + totals.get(1, 0) / sum(totals.values())) / (mass.sum() + 1)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted, evidence), one row per input row; evidence: the three nearest examples. NULL and empty texts have no terms."""
+    """(id, score, predicted, evidence), one row per input row; evidence: the three nearest examples.
+
+    NULL and empty texts and those without a known word have no evidence and the model's score for blank texts. Of
+    equally near examples those that stand first in the index count; repeated rows get equal scores.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     held = Shipped(docs.sparkSession, model)
     evidence = f"array<struct<example:{kind},cosine:double,label:int>>"
@@ -204,5 +226,9 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 
 
 def run(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence), one row per row of docs; learns labels of rows that are not held out.
+
+    A NULL id is not held out and has no label. Repeated rows change no score. Nothing but the text is looked at to score.
+    """
     model = fit(docs, labels.where(~held_out()))
     return score(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted", "evidence")
