@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.storage import shared_dir, stored
 
-__all__ = ["WORD", "Shipped", "byte_texts", "map_batches", "remainder", "shared_dir", "slices", "smallest_by_hash", "stored", "table", "tokens"]
+__all__ = ["WORD", "Shipped", "byte_texts", "few", "map_batches", "remainder", "shared_dir", "slices", "smallest_by_hash", "stored", "table", "tokens"]
+
+#: rows of a table that is broadcast once its size is known
+MOST_BROADCAST = 100_000
 
 #: Java/SQL form of "one or more non-blank bytes"; bytes.split() in Python cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,20 +29,26 @@ def remainder(id_col: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(modulus))
 
 
+def few(df: DataFrame, name: str) -> DataFrame:
+    """df, stored; with a broadcast hint if it has at most MOST_BROADCAST rows. For tables of a few columns by label, language or source."""
+    held = stored(df, name)
+    return F.broadcast(held) if held.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else held
+
+
 def smallest_by_hash(rows: DataFrame, group: str, per_group: int, id_col: str, salt: str = "") -> DataFrame:
     """At most `per_group` rows of each group, those with the smallest hash of the id: a bounded sample that reruns repeat.
 
     Counts per group come first, and only rows whose hash is among about the first 2 * per_group of their group are
     ranked, so a hot group is not gathered. Equal hashes (repeated ids) fall in the order of the id; groups that are
-    NULL are left out. One row per group is broadcast: groups are labels or languages.
+    NULL are left out. The counts are broadcast only where they are few.
     """
     from pyspark.sql import Window
 
-    counts = rows.groupBy(group).agg(F.count("*").alias("_all"))
+    counts = few(rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_all")), "group-counts")
     spot = F.pmod(F.xxhash64(F.lit(salt), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
-    few = rows.withColumn("_spot", spot).join(F.broadcast(counts), group).where(F.col("_spot") * F.col("_all") <= 2 * per_group + 100)
+    near = rows.withColumn("_spot", spot).join(counts, group).where(F.col("_spot") * F.col("_all") <= 2 * per_group + 100)
     by = Window.partitionBy(group).orderBy("_spot", F.col(id_col))
-    return few.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= per_group).drop("_rank", "_spot", "_all")
+    return near.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= per_group).drop("_rank", "_spot", "_all")
 
 
 def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
