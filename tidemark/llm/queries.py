@@ -101,8 +101,8 @@ def _url_sql() -> str:
 WITH log(domain, category, day, ends) AS (VALUES {entries}),
 turns AS (SELECT *, lag(ends) OVER (PARTITION BY domain, category ORDER BY day, ends) AS before FROM log),
 spans AS (SELECT * FROM (SELECT domain, category, ends, day AS valid_from, coalesce(lead(day) OVER (PARTITION BY domain, category ORDER BY day, ends), DATE '9999-12-31') AS valid_to FROM turns WHERE before IS NULL OR before <> ends) WHERE NOT ends AND valid_from < valid_to),
-asked AS (SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '') AS host, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on FROM pages),
-held AS (SELECT a.page_id, s.domain, s.category FROM asked a JOIN spans s ON (a.host = s.domain OR a.host LIKE '%.' || s.domain) AND s.valid_from <= a.fetched_on AND a.fetched_on < s.valid_to)
+asked AS (SELECT page_id, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^/?#\\]]*\\]|[^/?#:@\\[]+)', 1), '\\.+$', ''), '') AS host, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on FROM pages),
+held AS (SELECT a.page_id, s.domain, s.category FROM asked a JOIN spans s ON (a.host = s.domain OR a.host LIKE '%.' || s.domain AND NOT regexp_matches(a.host, '^[0-9.]+$|^\\[')) AND s.valid_from <= a.fetched_on AND a.fetched_on < s.valid_to)
 SELECT a.page_id, a.host, strftime(a.fetched_on, '%Y-%m-%d') AS fetched_on, h.page_id IS NOT NULL AS blocked, coalesce(h.domain, '') AS domain, coalesce(h.categories, '') AS categories FROM asked a
 LEFT JOIN (SELECT page_id, arg_max(domain, length(domain)) AS domain, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM held GROUP BY 1) h USING (page_id)
 """

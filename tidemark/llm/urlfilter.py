@@ -1,12 +1,12 @@
 """URL lists as they stood when each page was fetched.
 
 A list is a log of dated entries (domain, category, action add or remove, day). They become validity intervals: an
-entry holds from the day it is added until the next remove of the same domain and category. A capture is judged by
-the entries of its host and of every domain above it that hold on its day. Column expressions only.
+entry holds from the day it is added until the next remove of the same domain and category. An as-of join puts each
+host and day against the intervals of the host and of every domain above it that hold on that day. Column expressions
+only.
 
-The list is matched with distinct hosts, not with captures, so a host with very many captures costs one row there;
-what comes back is one row per host. Captures are joined once by host, with nothing after it, so AQE can split a
-host that has a large share of them.
+Distinct hosts and days are matched, not captures, so a host with very many captures is spread over its days and
+costs one row for each; captures meet the result by host and day in a join with nothing after it, which AQE can split.
 """
 
 from __future__ import annotations
@@ -18,15 +18,16 @@ FOREVER = "9999-12-31"
 
 
 def host_of(url: Column) -> Column:
-    """The host of an absolute URL in lower case, without user, port and closing dot; NULL where there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    """The host of an absolute URL in lower case, without user, port and closing dot; an IPv6 host keeps its brackets. NULL where there is none."""
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:@\[]+)", 1)
     return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 
 def domains_of(host: Column) -> Column:
-    """The host and the domains above it, the longest first."""
+    """The host and the domains above it, the longest first; nothing is above an address."""
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.when(host.rlike(r"^[0-9.]+$|^\["), F.array(host)).otherwise(above)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -44,19 +45,18 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetched_on") -> DataFrame:
-    """(id, host, day, blocked, domain, categories), one row per capture.
+    """(id, host, day, blocked, domain, categories), one row per capture; repeated captures have repeated rows.
 
-    domain: the longest listed domain that holds; categories: all that hold, sorted, comma-joined; both empty where
-    none does. A URL without a host and a capture without a day are not blocked.
+    domain: the longest listed domain that holds; categories: all that hold, sorted, comma-joined (a NULL one is
+    `unknown`); both empty where none does. A URL without a host and a capture without a day are not blocked. Without
+    entries nothing is. Other columns of either table are not looked at.
     """
     asked = captures.select(F.col(id_col).alias("_id"), F.col(day_col).cast("date").alias("_day"), host_of(F.col(url_col)).alias("host"))
-    hosts = asked.where("host IS NOT NULL").select("host").distinct()
-    spans = intervals(entries)
-    hits = hosts.select("host", F.explode(domains_of(F.col("host"))).alias("domain")).join(spans, "domain")
-    listed = hits.groupBy("host").agg(F.collect_list(F.struct("domain", "category", "valid_from", "valid_to")).alias("spans"))
-    judged = asked.join(listed, "host", "left")
-    holding = F.filter(F.coalesce("spans", F.array()), lambda s: (s["valid_from"] <= F.col("_day")) & (F.col("_day") < s["valid_to"]))
-    judged = judged.select("_id", "host", "_day", holding.alias("held"))
-    longest = F.array_max(F.transform("held", lambda s: F.struct(F.length(s["domain"]).alias("n"), s["domain"].alias("domain"))))["domain"]
-    categories = F.array_join(F.array_sort(F.array_distinct(F.transform("held", lambda s: F.coalesce(s["category"], F.lit("unknown"))))), ",")
-    return judged.select(F.col("_id").alias(id_col), "host", F.col("_day").alias(day_col), (F.size("held") > 0).alias("blocked"), F.coalesce(longest, F.lit("")).alias("domain"), categories.alias("categories"))
+    wanted = asked.where("host IS NOT NULL AND _day IS NOT NULL").select("host", "_day").distinct()
+    wanted = wanted.select("host", "_day", F.explode(domains_of(F.col("host"))).alias("domain"))
+    held = wanted.join(intervals(entries), "domain").where((F.col("valid_from") <= F.col("_day")) & (F.col("_day") < F.col("valid_to")))
+    longest = F.max(F.struct(F.length("domain").alias("n"), "domain"))["domain"]
+    categories = F.array_join(F.array_sort(F.collect_set(F.coalesce("category", F.lit("unknown")))), ",")
+    listed = held.groupBy("host", "_day").agg(longest.alias("domain"), categories.alias("categories"))
+    judged = asked.join(listed, ["host", "_day"], "left")
+    return judged.select(F.col("_id").alias(id_col), "host", F.col("_day").alias(day_col), F.col("domain").isNotNull().alias("blocked"), F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("categories", F.lit("")).alias("categories"))
