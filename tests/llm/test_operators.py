@@ -326,15 +326,33 @@ def test_toxicity_learns_and_is_exact(spark, docs, labels):
     model = toxicity.fit(docs, labels)
     ix = model.index
     rng = random.Random(1)
-    for _ in range(40):
-        counts = tuple(sorted((t, rng.randint(1, 4)) for t in rng.sample(range(len(ix.terms)), min(2, len(ix.terms)))))
-        q = dict(ix._unit(list(counts)))
-        plain = sorted(((round(sum(q.get(t, 0) * w for t, w in v), 9), k) for k, v in enumerate(ix.vectors)), key=lambda x: (-x[0], x[1]))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    # every word of the sample is a term
+    assert set(ix.terms) == {w for i in ix.ids for w in toxicity.term_counts(texts[i])}
+    names = list(ix.terms)
+    for _ in range(60):
+        query = ix.unit(collections.Counter({t: rng.randint(1, 4) for t in rng.sample(names, rng.choice((1, 2, 5, 30)))}))
+        q = dict(zip(*query))
+        plain = sorted(((round(sum(q.get(t, 0) * w for t, w in zip(*v)), 9), k) for k, v in enumerate(ix.vectors)), key=lambda x: (-x[0], x[1]))
         want = [c for c, _ in plain if c > 0][: toxicity.NEIGHBOURS]
-        assert [round(c, 9) for c, _ in ix.nearest(counts)] == want
+        assert [round(c, 9) for c, _ in ix.nearest(query)] == want
     rows = {r.doc_id: r for r in toxicity.run(docs, labels).collect()}
     assert all(rows[i].predicted == int(i % 10 == 4) for i in range(120))
     assert all(0 <= r.score <= 1 for r in rows.values())
+    # votes, by hand: inverse distance times the label's weight
+    near = ix.nearest(ix.unit(toxicity.term_counts(texts[4])))
+    up = sum(ix.weights[p] / (1.05 - min(c, 1)) for c, p in near if ix.labels[p] == 1)
+    assert ix.vote(near) == pytest.approx(up / sum(ix.weights[p] / (1.05 - min(c, 1)) for c, p in near))
+    assert all(0 <= a <= b <= 1 for a, b in zip(model.value, model.value[1:]))
+    assert model.score(None) == model.score("") == model.score("☃ ☃☃") == (model.blank, []) and model.blank < 0.2
+
+
+def test_toxicity_counts_repeated_rows_once(spark, docs, labels):
+    more = spark.createDataFrame([(900, "", "en", "s1", 0), (901, None, "en", "s1", 0)], SCHEMA)
+    every, known = docs.union(more), labels.union(spark.createDataFrame([(900, 1, 0), (901, 1, 1)], labels.schema))
+    once = {r.doc_id: r.score for r in toxicity.run(every, known).collect()}
+    twice = toxicity.run(every.union(every).repartition(5), known.union(known)).collect()
+    assert len(twice) == 2 * len(once) and all(r.score == pytest.approx(once[r.doc_id], abs=1e-12) for r in twice)
 
 
 def test_language_is_told_on_held_out_rows(spark, docs):
@@ -430,12 +448,37 @@ def test_mixing_meets_its_targets(spark, docs):
     assert mixing.mix(docs).count() == sum(r.taken // r.size for r in rows)
 
 
+def test_mixing_tells_rows_of_one_place_apart(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("w" * rng.randint(1, 9) for _ in range(n))
+    for rows in (
+        [(None, words(rng.randint(3, 9)), "a") for _ in range(60)] + [(1, words(40), "a"), (2, words(200), "b")],
+        [(None, "one two three", "a")] * 60 + [(1, words(40), "a"), (2, words(200), "b")],
+        [(5, None, "a"), (5, "", "a"), (5, "x", "a"), (5, "x y", None), (None, None, None)] + [(7, words(5), "b")] * 30,
+    ):
+        docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, n long")
+        counts = []
+        for part in (1, 5):
+            got = mixing.run(docs.repartition(part)).collect()
+            counts.append(collections.Counter(map(tuple, got)))
+            assert len(got) == len(rows)
+            for target in {r.target for r in got}:
+                held = [r for r in got if r.target == target]
+                assert all(r.taken <= 2 * r.size for r in held) and abs(sum(r.taken for r in held) - target) <= max(r.size for r in held)
+        assert counts[0] == counts[1]
+        mixed = collections.Counter(mixing.mix(docs).select("text").rdd.map(lambda r: len((r.text or "").split())).collect())
+        assert {n: c for n, c in mixed.items() if n} == {n: c for n, c in ((n, sum(r.taken for r in got if r.size == n) // n) for n in {r.size for r in got} if n) if c}
+
+
 def test_url_lists_as_of_their_day(spark):
-    log = [("Bad.org", "spam", "add", "2024-01-10"), ("bad.org", "spam", "remove", "2024-02-01"), ("bad.org", "spam", "add", "2024-03-01"), ("bad.org", "spam", "add", "2024-03-05"), ("x.bad.org", "ads", "add", "2024-01-01"), (None, "spam", "add", "2024-01-01")]
+    log = [("Bad.org", "spam", "add", "2024-01-10"), ("bad.org", "spam", "remove", "2024-02-01"), ("bad.org", "spam", "add", "2024-03-01"), ("bad.org", "spam", "add", "2024-03-05"), ("x.bad.org", "ads", "add", "2024-01-01"), (None, "spam", "add", "2024-01-01"), ("[2001:db8::1]", None, "add", "2024-01-01"), ("0.7", "ads", "add", "2024-01-01"), ("x.org", "ads", "add", None)]
     entries = spark.createDataFrame(log, "domain string, category string, action string, day string").withColumn("day", F.col("day").cast("date"))
-    asked = [(1, "http://bad.org/a", "2024-01-09"), (2, "http://bad.org/a", "2024-01-10"), (3, "https://u@WWW.Bad.org:80/", "2024-02-01"), (4, "http://x.bad.org", "2024-03-02"), (5, "http://notbad.org", "2024-03-02"), (6, None, "2024-03-02"), (7, "mailto:a@bad.org", "2024-03-02"), (8, "http://bad.org", None)]
+    asked = [(1, "http://bad.org/a", "2024-01-09"), (2, "http://bad.org/a", "2024-01-10"), (3, "https://u@WWW.Bad.org:80/", "2024-02-01"), (4, "http://x.bad.org", "2024-03-02"), (5, "http://notbad.org", "2024-03-02"), (6, None, "2024-03-02"), (7, "mailto:a@bad.org", "2024-03-02"), (8, "http://bad.org", None), (9, "http://[2001:db8::1]:80/a", "2024-03-02"), (9, "http://[2001:db8::1]:80/a", "2024-03-02"), (10, "http://10.0.0.7/", "2024-03-02"), (11, "http://bad.org./", "2024-03-02")]
     got = {r.page_id: (r.blocked, r.domain, r.categories) for r in urlfilter.judge(spark.createDataFrame(asked, "page_id long, url string, fetched_on string"), entries).collect()}
-    assert got == {1: (False, "", ""), 2: (True, "bad.org", "spam"), 3: (False, "", ""), 4: (True, "x.bad.org", "ads,spam"), 5: (False, "", ""), 6: (False, "", ""), 7: (False, "", ""), 8: (False, "", "")}
+    assert got == {1: (False, "", ""), 2: (True, "bad.org", "spam"), 3: (False, "", ""), 4: (True, "x.bad.org", "ads,spam"), 5: (False, "", ""), 6: (False, "", ""), 7: (False, "", ""), 8: (False, "", ""), 9: (True, "[2001:db8::1]", "unknown"), 10: (False, "", ""), 11: (True, "bad.org", "spam")}
+    pages = spark.createDataFrame(asked, "page_id long, url string, fetched_on string").withColumn("host", F.lit(1)).withColumn("domain", F.lit("x"))
+    assert urlfilter.judge(pages, entries).count() == len(asked) and urlfilter.judge(pages.limit(0), entries).count() == 0
+    assert not any(r.blocked for r in urlfilter.judge(pages, entries.limit(0)).collect())
 
 
 def test_odd_rows_have_results(spark, odd, labels):
