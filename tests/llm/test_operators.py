@@ -272,6 +272,15 @@ def test_hmm_base_scores_and_exact_likelihood(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_hmm_scores_do_not_depend_on_layout(spark, docs):
+    more = docs.union(spark.createDataFrame([(None, None, None, None, None), (700, "a b " * 3000, "en", "s1", 1), (700, "a b " * 3000, "en", "s1", 1)], SCHEMA))
+    scores = []
+    for parts in (1, 7):
+        scores.append(sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in hmm.run(more.repartition(parts)).collect()))
+    for a, b in zip(*scores, strict=True):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-6)
+
+
 def test_hmm_counts_equal_plain_forward_backward():
     rng = np.random.default_rng(0)
     k, c = 3, 7
