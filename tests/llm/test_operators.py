@@ -307,21 +307,72 @@ def test_hmm_counts_equal_plain_forward_backward():
     assert total == pytest.approx(sum_) and np.allclose(start, counts.start) and np.allclose(move, counts.move) and np.allclose(emit, counts.emit)
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark):
-    texts = ["a b c a b d", "a b c", "d a b", "b c a", "x y"]
-    m = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    hashed = lambda w: np.array([{"<s>": 1, "</s>": 2}.get(w) or xxhash.xxh3_64_intdigest(w.encode())], np.uint64)
-
-    def p(u, v, w):
-        s = object.__new__(quality.Sequence)
-        s.word, s.before = hashed(w), hashed(v)
-        s.context, s.pair = quality._joined(hashed(u), s.before), quality._joined(s.before, s.word)
-        s.triple = quality._joined(s.context, s.word)
-        return 10 ** m.log_probabilities(s)[0]
-
-    words = sorted({*" ".join(texts).split(), "</s>", "unseen"})
-    for u, v in (("a", "b"), ("<s>", "<s>"), ("<s>", "a"), ("zz", "b"), ("zz", "qq"), ("x", "y")):
-        assert sum(p(u, v, w) for w in words) == pytest.approx(1, abs=1e-5)
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney over word tuples, as written in the literature."""
+
+    def __init__(self, texts):
+        three = collections.Counter()
+        for t in texts:
+            w = ["<s>", "<s>", *t.lower().split(), "</s>"]
+            three.update(zip(w, w[1:], w[2:]))
+        two = collections.Counter(g[1:] for g in three)
+        one = collections.Counter(g[1:] for g in two)
+        self.orders = [self._order(c) for c in (one, two, three)]
+        self.floor = 1 / (len(one) + 1)
+
+    @staticmethod
+    def _order(counts):
+        n1, n2, n3, n4 = (sum(c == k for c in counts.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+        off = [min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3))]
+        total, freed = collections.Counter(), collections.Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += off[min(c, 3) - 1]
+        return counts, off, total, freed
+
+    def p(self, gram):
+        if not gram:
+            return self.floor
+        counts, off, total, freed = self.orders[len(gram) - 1]
+        below = self.p(gram[1:])
+        if gram[:-1] not in total:
+            return below
+        c = counts[gram]
+        return (c - off[min(c, 3) - 1] if c else 0) / total[gram[:-1]] + freed[gram[:-1]] / total[gram[:-1]] * below
+
+    def mean(self, text):
+        w = ["<s>", "<s>", *text.lower().split(), "</s>"]
+        return -sum(math.log10(self.p(g)) for g in zip(w, w[1:], w[2:])) / (len(w) - 2)
+
+
+@pytest.mark.parametrize("frequent", [0, 7, 200_000])
+def test_kneser_ney_equals_a_plain_version(spark, frequent):
+    rng = random.Random(frequent)
+    words = WORDS["en"][:12] + WORDS["de"][:6]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(50)] + ["", "the the the"]
+    plain = PlainKneserNey(texts)
+    names = [*words, "</s>", "unseen"]
+    for context in (("the", "of"), ("<s>", "<s>"), ("qq", "der"), ("qq", "zz")):
+        assert sum(plain.p((*context, w)) for w in names) == pytest.approx(1)
+    m = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string"), frequent_grams=frequent, filter_bits=1 << 12)
+    asked = [*texts, None, "zz the zz of and", "nothing known here at all", "The OF  and " * 500]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(asked)], "doc_id long, text string, lang string")
+    got = {r.id: r for r in quality.surprise(docs, m, "doc_id", "text", "lang").collect()}
+    for k, t in enumerate(asked):
+        assert got[k].n_tokens == len((t or "").split()) and got[k].mean == pytest.approx(plain.mean(t or ""), rel=1e-9)
+
+
+def test_a_long_trusted_text_does_not_end_the_sample(spark):
+    rows = [(k, "en" if k % 2 else "de", " ".join(f"w{j}" for j in range(30 if k not in (4, 5) else 4000))) for k in range(60)] + [(70, "fr", "mot " * 5000), (71, "fr", "mot " * 6000)]
+    docs = spark.createDataFrame(rows, "id long, lang string, text string")
+    sample = quality.trusted_sample(docs, docs.select("id"), "id", "text", "lang", model_tokens=900).collect()
+    words = collections.Counter()
+    for r in sample:
+        words[r.lang] += len(r.text.split())
+    assert 240 <= words["en"] <= 300 and 240 <= words["de"] <= 300 and not {4, 5} & {r.id for r in sample}
+    assert len([r for r in sample if r.lang == "fr"]) <= 1
 
 
 def test_quality_keeps_clean_text_and_drops_noise(spark, docs, labels):
