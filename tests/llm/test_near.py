@@ -47,7 +47,7 @@ def _kept(texts):
     return {find(k) for k in range(len(texts))}
 
 
-@pytest.mark.parametrize("paired", [64, 2])
+@pytest.mark.parametrize("paired", [64, 8, 2])
 def test_near_copies_equal_all_pairs(spark, paired):
     texts = [*_rows(), "", None, "two words", "two words"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit(1))
@@ -56,6 +56,29 @@ def test_near_copies_equal_all_pairs(spark, paired):
     assert sorted(r.doc_id for r in left.collect()) == sorted(_kept(texts))
 
 
+def test_a_large_group_is_linked_through_all_it_has(spark, monkeypatch):
+    """One text in hundreds of edited copies, many of which are only near to a few of the others."""
+    monkeypatch.setattr(near, "BLOCK", 40)
+    monkeypatch.setattr(near, "SET_BLOCK", 16)
+    monkeypatch.setattr(near, "CLOSEST", 1)
+    rng = random.Random(12)
+    first = [f"w{rng.randrange(500)}" for _ in range(140)]
+    texts = []
+    for _ in range(240):
+        words = list(first)
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 6, 8))):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(500)}"
+        texts.append(" ".join(words))
+    # a second group that shares half of its words
+    other = first[:90] + [f"y{rng.randrange(500)}" for _ in range(50)]
+    for _ in range(40):
+        words = list(other)
+        words[rng.randrange(len(words))] = "z"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in near.keep_one(docs, paired=3).collect()} == _kept(texts)
+
+
 def test_stage_drops_edited_copies_that_fingerprints_keep(spark):
     texts = _rows()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
