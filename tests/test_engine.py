@@ -164,7 +164,7 @@ def test_small_statistics(spark):
     n = {r.g: r.effective_n for r in stats.effective_n(w, "g").collect()}
     assert n["x"] == 8 and n["y"] < 1.1
     q = spark.createDataFrame([("g", 1, 1.0, 1.0), ("g", 2, 5.0, 10.0), ("g", 3, 10.0, 1.0)], "g string, id int, value double, weight double")
-    assert stats.weighted_quantile_step(q, 0.5, ["g"], "id").first()["quantile"] == 5
+    assert stats.weighted_quantile_step(q, 0.5, ["g"]).first()["quantile"] == 5
     rng = np.random.default_rng(1)
     v, wt = rng.normal(size=40), rng.random(40)
     rows = spark.createDataFrame([("g", k, float(a), float(b)) for k, (a, b) in enumerate(zip(v, wt))], "g string, id int, value double, weight double")

@@ -75,14 +75,21 @@ def average_percent_rank(value: Column, partition: Sequence[str | Column] = ())
 def overlapped(candles: DataFrame, bars: int, block: int = 8192) -> DataFrame:
     """candles by `_block` of `block` bars, each with the `bars` bars before it, for which `_own` is false.
 
-    A window over (series, _block) then sees all that it looks back on, and one long series is many partitions.
+    A window over (series, _block) then sees all that it looks back on, and one long series is many partitions. A block
+    is no shorter than the look-back, so a bar is in two blocks at most.
     """
+    block = max(block, bars)
     own = F.expr(f"bar_index div {block}")
     late = F.pmod("bar_index", F.lit(block)) >= block - bars
     to = F.when(late, F.array(F.struct(own.alias("b"), F.lit(True).alias("o")), F.struct((own + 1).alias("b"), F.lit(False).alias("o")))).otherwise(F.array(F.struct(own.alias("b"), F.lit(True).alias("o"))))
     return candles.withColumn("_to", F.explode(to)).withColumns({"_block": F.col("_to.b"), "_own": F.col("_to.o")}).drop("_to")
 
 
+def single(df: DataFrame, what: str) -> DataFrame:
+    """df, with an error when it is read if it has more than one row: `what` must be one."""
+    return df.limit(2).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).where(F.when(F.col("_rows") > 1, F.raise_error(F.lit(f"there must be one {what}")).cast("boolean")).otherwise(F.lit(True))).drop("_rows")
+
+
 def rounded(df, digits: int = 6):
     """Every double rounded: what is compared with another engine carries no float noise. -0.0 is 0.0."""
     return df.select(*((F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))

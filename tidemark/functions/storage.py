@@ -2,24 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUNS: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one only where none is set."""
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a local master; on a cluster executors would not see it, so it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables; it is deleted when the driver ends, or by `clear`."""
+    path = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        if not _RUNS:
+            atexit.register(_clear_all)
+        _RUNS[path] = spark
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again. For tables that several later steps read, and before plans grow."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's tables. DataFrames that read them can no longer be used."""
+    path = run_dir(spark)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _RUNS.pop(path, None)
+
+
+def _clear_all() -> None:
+    for spark in list(_RUNS.values()):
+        # a session that has been stopped can delete nothing any more
+        if spark.sparkContext._jsc is not None:
+            clear(spark)

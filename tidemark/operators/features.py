@@ -11,7 +11,10 @@ from tidemark.functions.columns import SERIES, mirrored_pct, missing_as_zero, ov
 
 
 def rolling(candles: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """Per bar and window (bars): return, standard deviation of one-bar returns, mean range, and mean volume now to one window ago."""
+    """Per bar and window (bars): return, standard deviation of one-bar returns, mean range, and mean volume now to one window ago.
+
+    What needs bars from before the series began is NULL, the volume ratio too where one window ago had no mean yet.
+    """
     order = Window.partitionBy(*SERIES, "_block").orderBy("bar_index")
     change = (ratio(F.col("close"), F.lag("close").over(order)) - 1.0) * 100.0
     rows = overlapped(candles, 2 * max(*windows, 2) + 1).select(*SERIES, "_block", "_own", "bar_index", "close", "volume", change.alias("change"), (ratio(F.col("high") - F.col("low"), F.col("close")) * 100.0).alias("range_pct"))
@@ -24,7 +27,9 @@ def rolling(candles: DataFrame, windows: Sequence[int]) -> DataFrame:
             two("range_pct", F.avg("range_pct").over(frame)).alias(f"range_{w}"), two("volume", F.avg("volume").over(frame)).alias(f"volume_{w}"),
         ]
     wide = rows.select(*SERIES, "_block", "_own", "bar_index", *columns)
-    ago = [(F.col(f"volume_{w}") / F.greatest(F.lag(f"volume_{w}", w).over(order), F.lit(1e-12))).alias(f"volume_ratio_{w}") for w in windows]
+    # greatest() passes over NULL, which here must stay
+    before = lambda w: F.lag(f"volume_{w}", w).over(order)
+    ago = [F.when(before(w).isNotNull(), F.col(f"volume_{w}") / F.greatest(before(w), F.lit(1e-12))).alias(f"volume_ratio_{w}") for w in windows]
     found = wide.select(*SERIES, "_own", "bar_index", *(f"{n}_{w}" for w in windows for n in ("return", "volatility", "range")), *ago)
     return found.where("_own").drop("_own")
 
@@ -118,6 +123,11 @@ def future_curve(path_rows: DataFrame, snapshots: DataFrame, horizons: Sequence[
     return rows.select("episode_id", "offset_bars", "horizon_bars", distance.alias("distance"), F.log1p(ratio_).alias("log_ratio"), (distance < F.col("current_move_pct")).alias("falls"))
 
 
+def signed_log1p(value: Column) -> Column:
+    """ln(1 + |x|) with the sign of x."""
+    return F.signum(value) * F.log1p(F.abs(value))
+
+
 def decoded_distance(log_ratio: Column, current_move: Column, least_move: float = 0.02) -> Column:
     """The distance that a curve's log ratio stands for."""
     return F.expm1(F.greatest(log_ratio, F.lit(0.0))) * F.greatest(current_move, F.lit(least_move))

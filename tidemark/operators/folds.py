@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import running
+
 
 def chrono_split(rows: DataFrame, time: str, train: float = 0.6, validate: float = 0.2) -> DataFrame:
     """rows with `part`: train, validation or test by distinct times, so that one moment is never in two parts."""
-    times = rows.select(time).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy(time)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    place = F.row_number().over(order) - 1
+    times = running(rows.select(time).distinct(), [], [time])
+    place, n = F.col("_before"), F.col("_all")
     part = F.when(place < F.floor(n * train), "train").when(place < F.floor(n * (train + validate)), "validation").otherwise("test")
     return rows.join(times.select(time, part.alias("part")), time)
 
@@ -36,8 +36,7 @@ def eligible_history(observed: DataFrame, folds: DataFrame, horizon_ms: int, tim
 
 def evenly_spaced(rows: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """n rows at even distances in the order, the first and the last among them; all rows if there are not more."""
-    seq = Window.partitionBy(F.lit(0)).orderBy(*order)
-    at = rows.withColumn("_i", F.row_number().over(seq) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    at = running(rows, [], order).withColumnRenamed("_before", "_i").withColumnRenamed("_all", "_n")
     k = F.ceil(F.col("_i") * (n - 1) / (F.col("_n") - 1))
     hit = F.floor(k * (F.col("_n") - 1) / F.lit(n - 1)) == F.col("_i")
     return at.where((F.col("_n") <= n) | (hit & (k < n))).drop("_i", "_n")
@@ -47,13 +46,12 @@ def stratified_sample(rows: DataFrame, n: int, strata: Sequence[str | Column], o
     """About n rows: the same number of each stratum, evenly spaced by rank with halves rounded to even; missing ones come from the rest in order."""
     keys = [f"_s{k}" for k in range(len(strata))]
     named = rows.withColumns({k: F.col(s) if isinstance(s, str) else s for k, s in zip(keys, strata)})
-    own = Window.partitionBy(*keys)
     groups = named.select(*keys).distinct().agg(F.greatest(F.floor(F.lit(n) / F.count("*")), F.lit(1)).alias("_quota"))
-    at = named.withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(own)).crossJoin(F.broadcast(groups))
+    at = running(named, keys, order).withColumnRenamed("_before", "_i").withColumnRenamed("_all", "_n").crossJoin(F.broadcast(groups))
     spots = F.transform(F.sequence(F.lit(0), (F.least("_quota", "_n") - 1).cast("int")), lambda k: F.when(F.least("_quota", "_n") > 1, F.rint(k * (F.col("_n") - 1) / (F.least("_quota", "_n") - 1))).otherwise(0.0))
     taken = at.withColumn("_hit", F.array_contains(spots, F.col("_i").cast("double")))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_hit"), *order))
-    return taken.withColumn("_place", place).where(F.col("_place") <= n).drop(*keys, "_i", "_n", "_quota", "_hit", "_place")
+    # every task keeps its first n before the last ranking
+    return taken.orderBy(F.desc("_hit"), *order).limit(n).drop(*keys, "_i", "_n", "_quota", "_hit")
 
 
 def episode_weights(rows: DataFrame, key: str) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import running
+
 QUERY_BLOCK = 16_384
 #: rows of a block of candidates: as few as fill the tasks, within these
 CANDIDATE_BLOCK = (1_024, 65_536)
@@ -37,10 +39,12 @@ def distances(queries: DataFrame, candidates: DataFrame, depth: int, metric: str
     """(by, query_id, candidate_id, group_id, distance, place) of the `depth` nearest candidates of each query, ties by candidate_id.
 
     queries: (by, query_id, vector); candidates: (by, candidate_id, group_id, vector). Only rows of the same `by` meet,
-    and candidates with the query's own id are left out. metric: euclidean, manhattan_mean or cosine.
+    and candidates with the query's own id are left out, as are queries and candidates without a vector. metric:
+    euclidean, manhattan_mean or cosine.
     """
     by = list(by)
-    queries, candidates = queries.select(*by, "query_id", "vector"), candidates.select(*by, "candidate_id", "group_id", "vector")
+    queries = queries.where("vector IS NOT NULL").select(*by, "query_id", "vector")
+    candidates = candidates.where("vector IS NOT NULL").select(*by, "candidate_id", "group_id", "vector")
     kind = dict(queries.dtypes) | dict(candidates.dtypes)
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the largest group decides: blocks of the others are smaller
@@ -58,11 +62,14 @@ def distances(queries: DataFrame, candidates: DataFrame, depth: int, metric: str
             pdf = held.iloc[at : at + 2048]
             x, own, group = np.array(pdf.vector.tolist(), np.float64), pdf.candidate_id.to_numpy(), pdf.group_id.to_numpy()
             parts = [best] if best is not None else []
-            step = max(1, _CELLS // max(1, x.size))
+            step = max(1, _CELLS // max(1, x.size if metric == "manhattan_mean" else len(x)))
             for begin in range(0, len(ids), step):
                 q = matrix[begin : begin + step]
+                slack = 0.0
                 if metric == "euclidean":
-                    d = np.sqrt(((q[:, None, :] - x[None]) ** 2).sum(axis=2))
+                    # squares by products, which need no table of differences; who is near enough is measured again below
+                    size = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None]
+                    d, slack = size - 2 * (q @ x.T), 1e-9 * (size.max() + 1)
                 elif metric == "manhattan_mean":
                     d = np.abs(q[:, None, :] - x[None]).mean(axis=2)
                 else:
@@ -70,9 +77,10 @@ def distances(queries: DataFrame, candidates: DataFrame, depth: int, metric: str
                 d = np.where(ids[begin : begin + step, None] == own[None], np.inf, d)
                 k = min(depth, d.shape[1])
                 # ties at the edge stay: the order by id is settled where all parts meet
-                edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] + slack
                 rows, cols = np.nonzero((d <= edge) & np.isfinite(d))
-                parts.append(pd.DataFrame({"query_id": ids[begin + rows], "candidate_id": own[cols], "group_id": group[cols], "distance": d[rows, cols]}))
+                distance = np.sqrt(((q[rows] - x[cols]) ** 2).sum(axis=1)) if metric == "euclidean" else d[rows, cols]
+                parts.append(pd.DataFrame({"query_id": ids[begin + rows], "candidate_id": own[cols], "group_id": group[cols], "distance": distance}))
             best = pd.concat(parts).sort_values(["query_id", "distance", "candidate_id"], kind="stable").groupby("query_id").head(depth)
         for name, value in zip(by, key):
             best[name] = value
@@ -134,9 +142,13 @@ def support(weighted: DataFrame, value: str = "value") -> DataFrame:
 
 
 def support_levels(supported: DataFrame, calibration: DataFrame, column: str = "median_distance", levels: int = 5) -> DataFrame:
-    """Where each neighbourhood stands among calibration ones: the share that is not above it, and one of `levels` equal levels."""
-    ref = calibration.select(F.col(column).alias("_v")).withColumn("_ref", F.lit(1)).withColumn("query_id", F.lit(None).cast(supported.schema["query_id"].dataType))
-    both = supported.select("query_id", F.col(column).alias("_v")).withColumn("_ref", F.lit(0)).unionByName(ref)
+    """Where each neighbourhood stands among calibration ones: the share that is not above it, and one of `levels` equal levels.
+
+    A neighbourhood without a value has neither.
+    """
+    ref = calibration.select(F.col(column).alias("_v"), F.lit(1).alias("_ref"))
+    both = supported.select(F.col(column).alias("_v"), F.lit(0).alias("_ref")).unionByName(ref).where("_v IS NOT NULL")
     # values as one list: reference rows up to each value, ties included
-    share = F.sum("_ref").over(Window.partitionBy(F.lit(0)).orderBy("_v")) / F.sum("_ref").over(Window.partitionBy(F.lit(0)))
-    return both.withColumn("percentile", share).where("_ref = 0").select("query_id", "percentile", F.least(F.floor(F.col("percentile") * levels), F.lit(levels - 1)).cast("int").alias("level"))
+    places = running(both.groupBy("_v").agg(F.sum("_ref").alias("_n")), [], ["_v"], "_n").select("_v", ((F.col("_before") + F.col("_n")) / F.col("_all")).alias("percentile"))
+    found = supported.select("query_id", F.col(column).alias("_v")).join(places, "_v", "left")
+    return found.select("query_id", "percentile", F.least(F.floor(F.col("percentile") * levels), F.lit(levels - 1)).cast("int").alias("level"))

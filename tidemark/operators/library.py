@@ -62,7 +62,11 @@ def states(path_rows: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def thinned(found: DataFrame, exact_bars: int = 240, middle_bars: int = 1440, middle_step: int = 5, far_step: int = 15) -> DataFrame:
+# Fixed values of the grid: ages in bars up to which every bar and every fifth one is kept, and every fifteenth beyond.
+EXACT_BARS, MIDDLE_BARS, MIDDLE_STEP, FAR_STEP = 240, 1440, 5, 15
+
+
+def thinned(found: DataFrame, exact_bars: int = EXACT_BARS, middle_bars: int = MIDDLE_BARS, middle_step: int = MIDDLE_STEP, far_step: int = FAR_STEP) -> DataFrame:
     """Candidates on a grid that widens with age: every bar, then every middle_step-th, then every far_step-th."""
     off = F.col("offset_bars")
     return found.where(F.col("candidate") & ((off <= exact_bars) | ((off <= middle_bars) & (off % middle_step == 0)) | (off % far_step == 0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import factor_distance, log_distance
+from tidemark.functions.columns import factor_distance, log_distance, single
 from tidemark.operators.signals import FEATURES
 from tidemark.operators.stats import long, robust_scales
 
@@ -26,8 +26,8 @@ COMPONENTS = ("move_part", "peak_part", "drawdown_part", "age_part", "adaptive_p
 
 
 def _with_query(df: DataFrame, query: DataFrame) -> DataFrame:
-    """df with the one query row's columns as q_<name>."""
-    return df.crossJoin(F.broadcast(query.select(*(F.col(c).alias(f"q_{c}") for c in query.columns)).limit(1)))
+    """df with the one query row's columns as q_<name>; more than one query is an error."""
+    return df.crossJoin(F.broadcast(single(query.select(*(F.col(c).alias(f"q_{c}") for c in query.columns)), "query")))
 
 
 def shape_distance() -> Column:

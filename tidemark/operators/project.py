@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import average_percent_rank
+from tidemark.functions.columns import average_percent_rank, single
 from tidemark.operators.stats import MAD_TO_STD
 
+# With others other scenarios are chosen.
 DURATION_WEIGHT, MOVE_WEIGHT = 0.55, 0.45
 FAST, EXTREME = 0.25, 0.90
+#: how much the rank of the match counts beside the place in the cohort, and beside the distance to its middle
+RANK_SHARE, MIDDLE_RANK_SHARE = 0.18, 0.20
 LEAST_COHORT = 12
 
 
@@ -20,7 +23,7 @@ def projected_moves(matched: DataFrame, live: DataFrame) -> DataFrame:
 
     live: one row with current_move_pct and direction_sign.
     """
-    rows = matched.crossJoin(F.broadcast(live.select(F.col("current_move_pct").alias("q_move"), F.col("direction_sign").alias("q_sign")).limit(1)))
+    rows = matched.crossJoin(F.broadcast(single(live.select(F.col("current_move_pct").alias("q_move"), F.col("direction_sign").alias("q_sign")), "live state")))
     scale = F.try_divide(F.col("q_move"), F.col("current_move_pct"))
     far = F.greatest(F.col("future_peak_move_pct"), F.lit(0.0))
     rows = rows.withColumn("scale", scale).withColumn("historical_future_pct", far).withColumn("projected_future_pct", F.greatest(far * scale, F.lit(0.0)))
@@ -39,8 +42,8 @@ def _cohort(projected: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"{c}_mid", F.percentile(c, 0.5).over(every)).withColumn(f"{c}_sd", F.stddev_pop(c).over(every))
         rows = rows.withColumn(f"{c}_mad", F.percentile(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5).over(every) * MAD_TO_STD)
     off = lambda c: F.abs(F.col(c) - F.col(f"{c}_mid")) / F.greatest(F.col(f"{c}_mad"), F.col(f"{c}_sd"), F.lit(1e-6))
-    near = lambda p: F.abs(F.col("joint_percentile") - p) + 0.18 * F.col("match_percentile")
-    return rows.withColumn("cohort", F.count(F.lit(1)).over(every)).withColumns({"fast_score": near(FAST), "normal_score": off("_duration") + off("_move") + 0.20 * F.col("match_percentile"), "extreme_score": near(EXTREME)})
+    near = lambda p: F.abs(F.col("joint_percentile") - p) + RANK_SHARE * F.col("match_percentile")
+    return rows.withColumn("cohort", F.count(F.lit(1)).over(every)).withColumns({"fast_score": near(FAST), "normal_score": off("_duration") + off("_move") + MIDDLE_RANK_SHARE * F.col("match_percentile"), "extreme_score": near(EXTREME)})
 
 
 def scenarios(projected: DataFrame, least: int = LEAST_COHORT) -> DataFrame:
@@ -74,7 +77,7 @@ def candles(chosen: DataFrame, path_rows: DataFrame, live: DataFrame, digits: in
     Mirroring swaps highs and lows, so all four prices are projected first and the extremes taken then.
     live: one row with wick_target, direction_sign, start_ms, interval_ms.
     """
-    one = live.select(F.col("wick_target").alias("q_target"), F.col("direction_sign").alias("q_sign"), F.col("start_ms").alias("q_start"), F.col("interval_ms").alias("q_interval")).limit(1)
+    one = single(live.select(F.col("wick_target").alias("q_target"), F.col("direction_sign").alias("q_sign"), F.col("start_ms").alias("q_start"), F.col("interval_ms").alias("q_interval")), "live signal")
     # a handful of scenarios
     rows = path_rows.join(F.broadcast(chosen.select("scenario", "episode_id", F.col("offset_bars").alias("_at"), "scale")), "episode_id").where(F.col("offset_bars") > F.col("_at")).crossJoin(F.broadcast(one))
     price = lambda c: F.col("q_target") * (1.0 + F.col("q_sign") * F.col("scale") * F.col(f"normalized_{c}_pct") / 100.0)
@@ -85,7 +88,8 @@ def candles(chosen: DataFrame, path_rows: DataFrame, live: DataFrame, digits: in
 
 def path_metrics(projected: DataFrame, live: DataFrame) -> DataFrame:
     """Peak and loss of the candles as they are shown. live: one row with wick_target, direction_sign, current_move_pct."""
-    one = live.select(F.col("wick_target").alias("t"), F.col("direction_sign").alias("s"), F.col("current_move_pct").alias("m")).limit(1)
+    one = live.select(F.col("wick_target").alias("t"), F.col("direction_sign").alias("s"), F.col("current_move_pct").alias("m"))
+    one = single(one, "live state")
     rows = projected.crossJoin(F.broadcast(one))
     far = F.when(F.col("s") == 1, (F.col("high") / F.col("t") - 1.0) * 100.0).otherwise((1.0 - F.col("low") / F.col("t")) * 100.0)
     peak = rows.groupBy("scenario", "s", "m").agg(F.greatest(F.max(far), F.lit(0.0)).alias("peak"), F.count("*").alias("bars"))

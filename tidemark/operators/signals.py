@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import SERIES, iso_utc, overlapped, ratio
 
+# Fixed names, in this order: stores and matchers know a signal's context by them.
 FEATURES = (
     "body_pct_of_range", "dominant_wick_pct_of_range", "opposite_wick_pct_of_range", "range_pct_of_close",
     "range_vs_prior_20_median", "volume_vs_prior_20_mean", "aligned_prior_1h_return_pct",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import average_rank, clip
+from tidemark.functions.columns import clip
+from tidemark.operators.ranks import LOCAL_ROWS, by_value, quantiles, running
 
 #: makes the median absolute deviation of normal data their standard deviation (fixed value)
 MAD_TO_STD = 1.4826
@@ -18,7 +19,7 @@ def long(df: DataFrame, columns: Sequence[str], *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns))).alias("_x")).select(*keys, "_x.name", "_x.value")
 
 
-def robust_scales(values: DataFrame, variant: str = "first_usable", *by: str) -> DataFrame:
+def robust_scales(values: DataFrame, variant: str = "first_usable", *by: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(by, name, center, scale) of long values, NULLs left out. Two passes, because deviations need the median.
 
     first_usable: scaled MAD above 1e-12, else the standard deviation above 1e-12, else 1;
@@ -26,8 +27,10 @@ def robust_scales(values: DataFrame, variant: str = "first_usable", *by: str) ->
     raw: MAD unscaled above 1e-12, else the standard deviation above 1e-12, else 1.
     """
     keys = [*by, "name"]
-    center = values.groupBy(*keys).agg(F.percentile("value", 0.5).alias("center"), F.stddev_pop("value").alias("spread"))
-    mad = values.join(center, keys).groupBy(*keys, "center", "spread").agg(F.percentile(F.abs(F.col("value") - F.col("center")), 0.5).alias("mad"))
+    middle = quantiles(values, keys, "value", [0.5], local_rows).withColumnRenamed("q0", "center")
+    center = middle.join(values.groupBy(*keys).agg(F.stddev_pop("value").alias("spread")), keys)
+    off = values.join(center.select(*keys, "center"), keys).select(*keys, F.abs(F.col("value") - F.col("center")).alias("off"))
+    mad = center.join(quantiles(off, keys, "off", [0.5], local_rows).withColumnRenamed("q0", "mad"), keys)
     scaled = F.col("mad") * (1.0 if variant == "raw" else MAD_TO_STD)
     if variant == "largest":
         scale = F.greatest(scaled, F.col("spread"), F.lit(1e-6))
@@ -40,16 +43,14 @@ def robust_scales(values: DataFrame, variant: str = "first_usable", *by: str) ->
 
 def iqr_scales(values: DataFrame, *by: str) -> DataFrame:
     """(by, name, center, scale): median and interquartile range, 1 where that is not above 1e-9."""
-    q = values.groupBy(*by, "name").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    width = F.col("q")[2] - F.col("q")[0]
-    return q.select(*by, "name", F.col("q")[1].alias("center"), F.when(width > 1e-9, width).otherwise(1.0).alias("scale"))
+    width = F.col("q2") - F.col("q0")
+    return quantiles(values, [*by, "name"], "value", [0.25, 0.5, 0.75]).select(*by, "name", F.col("q1").alias("center"), F.when(width > 1e-9, width).otherwise(1.0).alias("scale"))
 
 
 def scaled(values: DataFrame, scales: DataFrame, limit: float, *by: str) -> DataFrame:
     """Long values as (value - center) / scale, held within +-limit; a missing value stands at the center."""
     z = clip(F.coalesce((F.col("value") - F.col("center")) / F.col("scale"), F.lit(0.0)), -limit, limit)
-    # one row per column name and group
-    return values.join(F.broadcast(scales), [*by, "name"]).withColumn("value", z).drop("center", "scale")
+    return values.join(scales, [*by, "name"]).withColumn("value", z).drop("center", "scale")
 
 
 def block_scaled(values: DataFrame, limit: float = 8.0) -> DataFrame:
@@ -64,32 +65,29 @@ def effective_n(weights: DataFrame, *by: str) -> DataFrame:
     return weights.groupBy(*by).agg((total * total / F.greatest(F.sum(F.col("weight") * F.col("weight")), F.lit(1e-12))).alias("effective_n"))
 
 
-def weighted_quantile_step(values: DataFrame, q: float, by: Sequence[str], order: str) -> DataFrame:
-    """The first value, in order, at which the weights reach q of their sum. Ties of value fall in the order of `order`."""
-    one = Window.partitionBy(*by)
-    run = values.where("value IS NOT NULL").withColumn("_upto", F.sum("weight").over(one.orderBy("value", order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("weight").over(one))
-    return run.where(F.col("_upto") >= q * F.col("_all")).groupBy(*by).agg(F.min_by("value", F.struct("value", order)).alias("quantile"))
+def weighted_quantile_step(values: DataFrame, q: float, by: Sequence[str], local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """The first value, in order, at which the weights reach q of their sum."""
+    sums = values.where("value IS NOT NULL").groupBy(*by, "value").agg(F.sum("weight").alias("weight"))
+    run = running(sums, by, ["value"], "weight", local_rows=local_rows)
+    return run.where(F.col("_before") + F.col("weight") >= q * F.col("_all")).groupBy(*by).agg(F.min("value").alias("quantile"))
 
 
-def weighted_quantile_linear(values: DataFrame, q: float, by: Sequence[str], order: str) -> DataFrame:
-    """Linear between the values' cumulative shares of weight, held at the first and the last value."""
-    one = Window.partitionBy(*by)
-    seq = one.orderBy("value", order)
-    run = values.where("value IS NOT NULL").withColumn("_share", F.sum("weight").over(seq.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("weight").over(one))
-    run = run.withColumn("_left", F.lag("_share").over(seq)).withColumn("_from", F.lag("value").over(seq)).withColumn("_top", F.max("value").over(one)).withColumn("_most", F.max("_share").over(one))
-    inside = F.col("_from") + (q - F.col("_left")) / (F.col("_share") - F.col("_left")) * (F.col("value") - F.col("_from"))
+def weighted_quantile_linear(values: DataFrame, q: float, by: Sequence[str], order: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Linear between the values' cumulative shares of weight, held at the first and the last value. Ties of value fall in the order of `order`."""
+    run = running(values.where("value IS NOT NULL"), by, ["value", order], "weight", "value", local_rows)
+    run = run.withColumn("_share", (F.col("_before") + F.col("weight")) / F.col("_all")).withColumn("_left", F.when(F.col("_previous").isNotNull(), F.col("_before") / F.col("_all")))
+    inside = F.col("_previous") + (q - F.col("_left")) / (F.col("_share") - F.col("_left")) * (F.col("value") - F.col("_previous"))
     at = F.when(F.col("_left").isNull() | (F.col("_share") <= F.col("_left")), F.col("value")).otherwise(inside)
-    reached = run.where((F.col("_share") >= q) | (F.col("_share") == F.col("_most")))
-    return reached.withColumn("_at", F.when(F.col("_share") >= q, at).otherwise(F.col("_top"))).groupBy(*by).agg(F.min_by("_at", F.struct("_share", "value", order)).alias("quantile"))
+    key = F.struct("_share", "value", order)
+    reached = F.min_by(F.when(F.col("_share") >= q, at), F.when(F.col("_share") >= q, key))
+    # sums of weights can end a little below one
+    return run.groupBy(*by).agg(F.coalesce(reached, F.max("value")).alias("quantile"))
 
 
-def auc(scored: DataFrame, *by: str) -> DataFrame:
+def auc(scored: DataFrame, *by: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Area under the ROC curve of (label 0/1, score), ties counted half; NULL where a class is missing."""
-    ranked = scored.withColumn("_rank", average_rank(F.col("score"), by))
-    n1, n0 = F.sum(F.col("label").cast("double")), F.sum(1.0 - F.col("label"))
-    return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("_rank") * F.col("label")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
-
-
-def quantiles(column: str, *qs: float) -> list[Column]:
-    """Exact quantiles, linear between neighbours."""
-    return [F.percentile(column, q).alias(f"p{round(q * 100)}") for q in qs]
+    placed = by_value(scored, by, "score", F.sum(F.col("label").cast("double")).alias("positive"), local_rows=local_rows)
+    n1 = F.sum("positive")
+    n0 = F.sum("n") - n1
+    ranks = F.sum(F.col("positive") * (F.col("_before") + (F.col("n") + 1) / 2.0))
+    return placed.groupBy(*by).agg(F.try_divide(ranks - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))

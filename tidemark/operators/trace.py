@@ -25,8 +25,7 @@ def first_fill_and_departure(signals: DataFrame, candles: DataFrame, fill_bars:
     """signals with series_bars, first_fill and first_departure: bar numbers within their caps, or NULL."""
     hits = first_hits(_requests(signals, fill_bars, departure_bars or fill_bars), candles).select("rid.signal_id", "rid.what", "hit")
     wide = hits.groupBy("signal_id").agg(F.max(F.when(F.col("what") == "fill", F.col("hit"))).alias("first_fill"), F.max(F.when(F.col("what") == "departure", F.col("hit"))).alias("first_departure"))
-    # one row per series
-    return signals.join(F.broadcast(series_length(candles)), list(SERIES)).join(wide, "signal_id", "left")
+    return signals.join(series_length(candles), list(SERIES)).join(wide, "signal_id", "left")
 
 
 def status(follow_up: int) -> Column:
@@ -76,7 +75,7 @@ def open_signals(traced: DataFrame, candles: DataFrame, latest: int = 400, most:
 
     newest = Window.partitionBy(*SERIES).orderBy(F.desc("open_time"), "signal_id")
     now = candles.groupBy(*SERIES).agg(F.max_by("close", "bar_index").alias("last_close"))
-    live = traced.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= latest).drop("_n").join(F.broadcast(now), list(SERIES))
+    live = traced.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= latest).drop("_n").join(now, list(SERIES))
     move = F.col("direction_sign") * (F.col("last_close") / F.col("wick_target") - 1.0) * 100.0
     kept = live.where(F.col("departure_index").isNotNull() & F.col("fill_index").isNull()).withColumn("current_move_pct", move).where("current_move_pct > 0")
     return kept.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most).select("signal_id", *SERIES, "direction", "status", "current_move_pct", F.col("_n").alias("newest_rank"))

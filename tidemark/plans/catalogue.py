@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import average_percent_rank, rounded
-from tidemark.functions.storage import shared_dir, stored
-from tidemark.operators import evaluate, features, folds, knn, library, match, outcomes, panel, project, rollup, signals, stats, trace
+from tidemark.functions.columns import rounded
+from tidemark.functions.storage import run_dir, stored
+from tidemark.operators import evaluate, features, folds, knn, library, match, outcomes, panel, project, ranks, rollup, signals, stats, trace
 from tidemark.operators import models as supervised
 from tidemark.plans import oracle as O
 from tidemark.plans.oracle import AGES, FEATURES, FOLLOW_UP, HORIZONS, MATCH_K, PANEL, THRESHOLDS, r, sql
@@ -357,7 +357,7 @@ def _rolling_sql(windows: tuple[int, ...]) -> str:
     for w in windows:
         frame = f"(PARTITION BY asset ORDER BY bar_index ROWS BETWEEN {max(w, 2) - 1} PRECEDING AND CURRENT ROW)"
         cols += [f"(close / nullif(lag(close, {w}) OVER (PARTITION BY asset ORDER BY bar_index), 0) - 1.0) * 100.0 AS return_{w}", *(f"CASE WHEN count({c}) OVER {frame} >= 2 THEN {f}({c}) OVER {frame} END AS {n}_{w}" for c, f, n in (("change", "stddev_pop", "volatility"), ("range_pct", "avg", "range"), ("volume", "avg", "volume")))]
-    ratio = ", ".join(f"volume_{w} / greatest(lag(volume_{w}, {w}) OVER (PARTITION BY asset ORDER BY bar_index), 1e-12) AS volume_ratio_{w}" for w in windows)
+    ratio = ", ".join(f"CASE WHEN lag(volume_{w}, {w}) OVER (PARTITION BY asset ORDER BY bar_index) IS NOT NULL THEN volume_{w} / greatest(lag(volume_{w}, {w}) OVER (PARTITION BY asset ORDER BY bar_index), 1e-12) END AS volume_ratio_{w}" for w in windows)
     names = ", ".join(r(f"{n}_{w}") for w in windows for n in ("return", "volatility", "range", "volume_ratio"))
     return sql(f"SELECT asset, timeframe, bar_index, {names} FROM rated", based=base, rolled=f"SELECT asset, timeframe, bar_index, {', '.join(cols)} FROM based", rated=f"SELECT *, {ratio} FROM rolled")
 
@@ -449,7 +449,7 @@ def _weighted(spark, d):
 
 @query(f"WITH x AS ({_weights}) SELECT event_type, arg_min(value, row(value, event_id)) AS quantile FROM (SELECT *, sum(weight) OVER (PARTITION BY event_type ORDER BY value, event_id ROWS UNBOUNDED PRECEDING) AS u, sum(weight) OVER (PARTITION BY event_type) AS a FROM x) WHERE u >= 0.75 * a GROUP BY 1")
 def weighted_quantile_step(spark, d):
-    return stats.weighted_quantile_step(_weighted(spark, d), 0.75, ["event_type"], "event_id")
+    return stats.weighted_quantile_step(_weighted(spark, d), 0.75, ["event_type"])
 
 
 @query(f"WITH x AS ({_weights}), y AS (SELECT *, sum(weight) OVER (PARTITION BY event_type ORDER BY value, event_id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY event_type) AS s FROM x), z AS (SELECT *, lag(s) OVER (PARTITION BY event_type ORDER BY value, event_id) AS ls, lag(value) OVER (PARTITION BY event_type ORDER BY value, event_id) AS lv FROM y) SELECT event_type, round(arg_min(CASE WHEN ls IS NULL THEN value ELSE lv + (0.9 - ls) / (s - ls) * (value - lv) END, row(s, value, event_id)), 6) + 0.0 AS quantile FROM z WHERE s >= 0.9 GROUP BY 1")
@@ -459,14 +459,12 @@ def weighted_quantile_interp(spark, d):
 
 @query(f"SELECT event_id, {r(O.average_pct_rank('value', 'event_type'), 'pct_rank')} FROM events WHERE value IS NOT NULL")
 def pct_rank_average(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").where("value IS NOT NULL").select("event_id", average_percent_rank(F.col("value"), ("event_type",)).alias("pct_rank"))
+    return spark.read.parquet(f"{d}/events.parquet").where("value IS NOT NULL").transform(lambda rows: ranks.ranked(rows, ["event_type"], "value")).select("event_id", F.col("percent_rank").alias("pct_rank"))
 
 
 @query("SELECT event_id, round(cume_dist() OVER (PARTITION BY event_type ORDER BY value), 6) + 0.0 AS percentile FROM events WHERE value IS NOT NULL")
 def empirical_percentile(spark, d):
-    from pyspark.sql import Window
-
-    return spark.read.parquet(f"{d}/events.parquet").where("value IS NOT NULL").select("event_id", F.cume_dist().over(Window.partitionBy("event_type").orderBy("value")).alias("percentile"))
+    return ranks.ranked(spark.read.parquet(f"{d}/events.parquet").where("value IS NOT NULL"), ["event_type"], "value").select("event_id", "percentile")
 
 
 #: a forecast to score: does an event's user spend more than usual, told from the value alone
@@ -806,7 +804,7 @@ def paired_bootstrap(spark, d):
 # Streams, the ledger and supervised models
 
 def _streamed(spark: SparkSession, e: DataFrame) -> DataFrame:
-    path = f"{shared_dir(spark)}/tidemark-source-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/source-{uuid.uuid4().hex}"
     e.coalesce(1).write.parquet(path)
     return spark.readStream.schema(e.schema).parquet(path)
 
@@ -814,13 +812,13 @@ def _streamed(spark: SparkSession, e: DataFrame) -> DataFrame:
 @query(sql(f"SELECT asset, timeframe, bucket AS open_time, {_ohlc}, bars FROM (SELECT asset, timeframe, open_time // {4 * HOUR} * {4 * HOUR} AS bucket, arg_min(open, open_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time) AS close, sum(volume) AS volume, count(*) AS bars FROM e GROUP BY 1, 2, 3) WHERE bucket + {4 * HOUR} <= (SELECT max(open_time) FROM e) - {HOUR}"))
 def stream_rollup(spark, d):
     out = stream.rollup(_streamed(spark, hourly(spark, d)), "4 hours", "1 hour")
-    return stream.run_available(spark, out, f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}")
+    return stream.run_available(spark, out, f"{run_dir(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query(sql("SELECT asset, timeframe, signal_id, status, bar_index, departure_index, fill_index FROM traced WHERE status <> 'right_censored'"))
 def stream_trace(spark, d):
     out = stream.follow(_streamed(spark, hourly(spark, d)), FOLLOW_UP, 1, RELAXED)
-    return stream.run_available(spark, out, f"{shared_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}")
+    return stream.run_available(spark, out, f"{run_dir(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query(sql("SELECT asset, timeframe, signal_id, status, open_time AS snapshot_ms FROM traced"))
@@ -828,7 +826,7 @@ def forecast_ledger(spark, d):
     """Recorded twice, held once."""
     e = hourly(spark, d)
     rows = traced(e).select("asset", "timeframe", "signal_id", F.col("open_time").alias("snapshot_ms"), F.lit("v1").alias("model_version"), "status", F.lit(0).cast("long").alias("recorded_ms"))
-    path = f"{shared_dir(spark)}/tidemark-ledger-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/ledger-{uuid.uuid4().hex}"
     ledger.append_once(rows, path)
     ledger.append_once(rows.unionByName(rows.limit(5)), path)
     return spark.read.parquet(path).select("asset", "timeframe", "signal_id", "status", "snapshot_ms")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import SERIES
+from tidemark.operators.ranks import running
 
 #: The raw file's columns, in their order (fixed by the data's publisher).
 RAW = T.StructType(
@@ -44,8 +45,8 @@ def read_parquet(spark: SparkSession, path: str, timeframe: str | None = None) -
 
 
 def write_parquet(candles: DataFrame, path: str) -> None:
-    """Partitioned by series and sorted by time in each file, so time ranges prune row groups."""
-    candles.repartition(*SERIES).sortWithinPartitions(*SERIES, "open_time").write.mode("overwrite").option("compression", "zstd").partitionBy(*SERIES).parquet(path)
+    """Partitioned by series and sorted by time in each file, so time ranges prune row groups; a long series is several files."""
+    candles.repartitionByRange(*SERIES, "open_time").sortWithinPartitions(*SERIES, "open_time").write.mode("overwrite").option("compression", "zstd").partitionBy(*SERIES).parquet(path)
 
 
 def from_ticks(rows: DataFrame, asset: Column, micros: Column, price: Column, order: Column, seconds: int, volume: Column | None = None) -> DataFrame:
@@ -66,11 +67,9 @@ def from_ticks(rows: DataFrame, asset: Column, micros: Column, price: Column, or
 def with_index(candles: DataFrame, interval_ms: int | None = None) -> DataFrame:
     """bar_index from 0 in each series: by arithmetic where the series is gapless (an interval is given), else by counting."""
     if interval_ms is None:
-        at = F.row_number().over(Window.partitionBy(*SERIES).orderBy("open_time")) - 1
-        return candles.withColumn("bar_index", at.cast("long"))
+        return running(candles, SERIES, ["open_time"]).withColumnRenamed("_before", "bar_index").drop("_all")
     first = candles.groupBy(*SERIES).agg(F.min("open_time").alias("_first"))
-    # one row per series
-    return candles.join(F.broadcast(first), list(SERIES)).withColumn("bar_index", F.floor((F.col("open_time") - F.col("_first")) / interval_ms).cast("long")).drop("_first")
+    return candles.join(first, list(SERIES)).withColumn("bar_index", F.floor((F.col("open_time") - F.col("_first")) / interval_ms).cast("long")).drop("_first")
 
 
 def contract_report(candles: DataFrame, interval_ms: int) -> DataFrame:
@@ -103,9 +102,8 @@ def missing_ranges(candles: DataFrame, interval_ms: int, begin: int | None = Non
         names = candles.select(*SERIES).distinct()
         edges = names.select(*SERIES, F.explode(F.array(F.lit(begin - interval_ms), F.lit(end))).alias("open_time"))
         times = times.where((F.col("open_time") >= begin) & (F.col("open_time") < end)).unionByName(edges)
-    after = F.lead("open_time").over(Window.partitionBy(*SERIES).orderBy("open_time"))
-    gaps = times.withColumn("gap_end", after).where(F.col("gap_end") - F.col("open_time") > interval_ms)
-    return gaps.select(*SERIES, (F.col("open_time") + interval_ms).alias("gap_start"), "gap_end", F.expr(f"(gap_end - open_time) div {interval_ms} - 1").alias("missing_bars"))
+    gaps = running(times, SERIES, ["open_time"], previous="open_time").where(F.col("open_time") - F.col("_previous") > interval_ms)
+    return gaps.select(*SERIES, (F.col("_previous") + interval_ms).alias("gap_start"), F.col("open_time").alias("gap_end"), F.expr(f"(open_time - _previous) div {interval_ms} - 1").alias("missing_bars"))
 
 
 def common_window(candles: DataFrame, interval_ms: int) -> DataFrame:

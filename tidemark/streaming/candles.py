@@ -123,7 +123,7 @@ def append_in_order(path: str, interval_ms: int) -> Callable[[DataFrame, int], N
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             last = spark.createDataFrame([], "asset string, timeframe string, _last long")
-        new = stored(batch.join(F.broadcast(last), list(SERIES), "left").where(F.col("_last").isNull() | (F.col("open_time") > F.col("_last"))), "stream-batch")
+        new = stored(batch.join(last, list(SERIES), "left").where(F.col("_last").isNull() | (F.col("open_time") > F.col("_last"))), "stream-batch")
         spans = new.groupBy(*SERIES, "_last").agg(F.min("open_time").alias("a"), F.max("open_time").alias("b"), F.count("*").alias("n"), F.count_distinct("open_time").alias("k"))
         broken = spans.where((F.col("n") != F.col("k")) | (F.col("b") - F.col("a") != (F.col("n") - 1) * interval_ms) | (F.col("_last").isNotNull() & (F.col("a") != F.col("_last") + interval_ms))).limit(1).collect()
         if broken:
