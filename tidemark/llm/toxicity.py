@@ -40,9 +40,10 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 def term_counts(text: str | None) -> Counter[str]:
     """How often each word stands in a text."""
-    found: Counter[str] = Counter()
-    for word, n in Counter((text or "").lower().split()).items():
-        if term := word if word.isalnum() else _EDGE.sub("", word):
+    found = Counter((text or "").lower().split())
+    for word in [w for w in found if not w.isalnum()]:
+        n = found.pop(word)
+        if term := _EDGE.sub("", word):
             found[term] += n
     return found
 
@@ -70,21 +71,26 @@ class Index:
         weight = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
         place = np.repeat(np.arange(len(order)), sizes)
         by_term = np.lexsort((place, term))
-        self.place, self.weight = place[by_term].astype(np.int32), weight[by_term]
+        self.place, self.weight = place[by_term], weight[by_term]
         # one cell for each term and block where the term stands
         cell = term[by_term] * max(self.blocks, 1) + self.place // BLOCK
         begins = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.cell_block = (cell[begins] % max(self.blocks, 1)).astype(np.int32)
+        self.cell_block = cell[begins] % max(self.blocks, 1)
         self.cell_most = np.maximum.reduceat(self.weight, begins) if len(begins) else np.zeros(0)
         self.cell_begin = np.append(begins, len(cell))
         self.term_begin = np.searchsorted(cell[begins] // max(self.blocks, 1), np.arange(len(terms) + 1))
 
     def unit(self, counts: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers, ascending, and weights of a text's unit vector; words that the sample lacks have no part in it."""
+        """Term numbers and weights of a text's unit vector; words that the sample lacks have no part in it."""
         get = self.terms.get
-        held = sorted((t, n) for word, n in counts.items() if (t := get(word)) is not None)
-        at = np.fromiter((t for t, _ in held), np.int64, len(held))
-        raw = (1 + np.log(np.fromiter((n for _, n in held), float, len(held)))) * self.worth[at]
+        at = np.array([get(word, -1) for word in counts], np.int64)
+        n = np.array(list(counts.values()), float)
+        known = at >= 0
+        at = at[known]
+        raw = (1 + np.log(n[known])) * self.worth[at]
+        # numbered by term, so that a text's words can come in any order
+        order = np.argsort(at)
+        at, raw = at[order], raw[order]
         norm = float(np.sqrt(raw @ raw))
         return (at[raw > 0], raw[raw > 0] / norm) if norm else (at[:0], raw[:0])
 
@@ -110,9 +116,13 @@ class Index:
             sizes = self.cell_begin[cells[inside] + 1] - begin
             posts = _ranges(begin, sizes)
             score = np.round(np.bincount(self.place[posts], np.repeat(held[inside], sizes) * self.weight[posts], len(self.ids)), 12)
+            if but >= 0:
+                score[but] = 0.0
             found = np.flatnonzero(score > 0)
-            found = found[np.lexsort((found, -score[found]))][: k + 1]
-            best = sorted([*best, *((float(score[j]), int(j)) for j in found if j != but)], key=lambda x: (-x[0], x[1]))[:k]
+            if len(found) > k:
+                # ties at the edge stay
+                found = found[score[found] >= np.partition(score[found], -k)[-k]]
+            best = sorted([*best, *zip(score[found].tolist(), found.tolist())], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
     def vote(self, near: list[tuple[float, int]]) -> float:
