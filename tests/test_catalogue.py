@@ -6,9 +6,7 @@ import pytest
 
 from tidemark.plans import catalogue
 
-DATA = "/root/testdata/sf0.001"
-CHOSEN = ("candle_rollup_complete_only", "missing_ranges", "relaxed_signals", "trace_status", "panel_labels", "episode_library", "candidate_states", "competing_outcomes", "weighted_quantile_interp", "auc", "subgroup_sets", "knn_distinct_group", "future_curves", "stratified_sample")
-
+DATA = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="module")
 def duck():
@@ -19,7 +17,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_equals_its_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

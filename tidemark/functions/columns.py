@@ -57,6 +57,50 @@ def iso_utc(ms: Column) -> Column:
     return F.format_string("%sT%02d:%02d:%02dZ", day.cast("string"), F.floor(rest / 3600).cast("long"), F.floor(F.pmod(rest, F.lit(3600)) / 60).cast("long"), F.pmod(rest, F.lit(60)))
 
 
+def _day(ms: Column) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))
+
+
+def _day_ms(day: Column) -> Column:
+    return F.date_diff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000
+
+
+def months_before(ms: Column, months: int) -> Column:
+    """The same time so many calendar months earlier; a day that month lacks is its last one. Twelve a year, so Feb 29 becomes Feb 28."""
+    return _day_ms(F.add_months(_day(ms), -months)) + F.pmod(ms, F.lit(86_400_000))
+
+
+def month_start(ms: Column, later: int = 0) -> Column:
+    """When the month of a time began, or one `later` months on."""
+    return _day_ms(F.add_months(F.trunc(_day(ms), "month"), later))
+
+
+def bucketed(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
+    """The label of the right-open interval that a value lies in; one label more than edges."""
+    out = F.when(value < edges[0], labels[0])
+    for edge, label in zip(edges[1:], labels[1:]):
+        out = out.when(value < edge, label)
+    return out.when(value.isNotNull(), labels[-1])
+
+
+# The groups that errors are reported by.
+AGE_EDGES, AGE_LABELS = (60, 360, 1_440, 10_080, 43_200), ("under_1h", "1h_6h", "6h_1d", "1d_7d", "7d_30d", "over_30d")
+DISTANCE_EDGES, DISTANCE_LABELS = (1, 3, 7, 15, 30), ("under_1pct", "1_3pct", "3_7pct", "7_15pct", "15_30pct", "over_30pct")
+
+
+def age_group(minutes: Column) -> Column:
+    return bucketed(minutes, AGE_EDGES, AGE_LABELS)
+
+
+def distance_group(pct: Column) -> Column:
+    return bucketed(pct, DISTANCE_EDGES, DISTANCE_LABELS)
+
+
+def tertile(percent_rank: Column, labels: tuple[str, str, str] = ("low", "middle", "high")) -> Column:
+    """Thirds of an average percent rank; both inner edges belong to the lower third."""
+    return F.when(percent_rank <= 1 / 3, labels[0]).when(percent_rank <= 2 / 3, labels[1]).when(percent_rank.isNotNull(), labels[2])
+
+
 def slug(number: float) -> str:
     """5.0 -> 5, 2.5 -> 2p5."""
     return f"{number:g}".replace(".", "p")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,20 +57,45 @@ def pinball(value: Column, forecast: Column, q: float) -> Column:
     return F.greatest(q * (value - forecast), (q - 1) * (value - forecast))
 
 
+def quantile_calibration(rows: DataFrame, actual: str, forecasts: dict[float, str], *by: str) -> DataFrame:
+    """(by, n, coverage_<q> and pinball_<q> for every quantile, interval_coverage, median_error) of quantile forecasts."""
+    qs = sorted(forecasts)
+    low, high, middle = forecasts[qs[0]], forecasts[qs[-1]], forecasts[min(qs, key=lambda q: abs(q - 0.5))]
+    share = lambda test: F.avg(test.cast("double"))
+    cover = [share(F.col(actual) <= F.col(forecasts[q])).alias(f"coverage_{round(q * 100)}") for q in qs]
+    loss = [F.avg(pinball(F.col(actual), F.col(forecasts[q]), q)).alias(f"pinball_{round(q * 100)}") for q in qs]
+    inside = share(F.col(actual).between(F.col(low), F.col(high))).alias("interval_coverage")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *cover, *loss, inside, F.percentile(F.abs(F.col(actual) - F.col(middle)), 0.5).alias("median_error"))
+
+
+# quantiles of a Poisson distribution of mean one (fixed values): cumulative probabilities of 0 to 5
+_POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+
+
 def paired_bootstrap(paired: DataFrame, episode: str, a: str, b: str, draws: int = 500, seed: int = 7) -> DataFrame:
     """Relative gain of b over a by episode-balanced means: estimate and 95 % interval from Poisson bootstrap weights.
 
-    Each episode draws its weights from its own hash, so reruns agree and no resample is ever laid out as rows.
+    Each episode draws its weights from its own hash, so reruns agree. A task sums its episodes for all draws at once;
+    no resample is laid out as rows.
     """
-    per = paired.groupBy(episode).agg(F.avg(a).alias("a"), F.avg(b).alias("b"))
-    u = lambda d: F.pmod(F.xxhash64(F.lit(seed), d, F.col(episode)), F.lit(1 << 30)) / float(1 << 30)
-    # quantiles of a Poisson distribution of mean one (fixed values): cumulative probabilities of 0 to 5
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
-    draw = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("_u", u(F.col("draw")))
-    count = sum(((F.col("_u") >= s).cast("int") for s in steps), F.lit(0))
-    weight = F.when(F.col("draw") == 0, 1).otherwise(count)
-    sums = draw.groupBy("draw").agg((1.0 - F.try_divide(F.sum(weight * F.col("b")), F.sum(weight * F.col("a")))).alias("gain"))
-    return sums.agg(F.max(F.when(F.col("draw") == 0, F.col("gain"))).alias("gain"), F.percentile(F.when(F.col("draw") > 0, F.col("gain")), 0.025).alias("low"), F.percentile(F.when(F.col("draw") > 0, F.col("gain")), 0.975).alias("high"))
+    per = paired.groupBy(episode).agg(F.avg(a).alias("a"), F.avg(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+
+    def summed(batches):
+        total = np.zeros((draws + 1, 2))
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for piece in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
+                    h = piece.column(0).to_numpy().view(np.uint64)[:, None] + np.arange(draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    weight = np.searchsorted(_POISSON, (h >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
+                    weight[:, 0] = 1.0
+                    total += weight.T @ np.column_stack([piece.column(1).to_numpy(), piece.column(2).to_numpy()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws + 1, dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], ["draw", "a", "b"])
+
+    sums = per.select(F.xxhash64(F.lit(seed), F.col(episode)).alias("h"), "a", "b").mapInArrow(summed, "draw int, a double, b double")
+    gains = sums.groupBy("draw").agg((1.0 - F.try_divide(F.sum("b"), F.sum("a"))).alias("gain"))
+    return gains.agg(F.max(F.when(F.col("draw") == 0, F.col("gain"))).alias("gain"), F.percentile(F.when(F.col("draw") > 0, F.col("gain")), 0.025).alias("low"), F.percentile(F.when(F.col("draw") > 0, F.col("gain")), 0.975).alias("high"))
 
 
 def selected(metrics: DataFrame, columns: Sequence[str], tie: str = "config") -> DataFrame:

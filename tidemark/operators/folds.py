@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import months_before
 from tidemark.operators.ranks import running
 
 
@@ -18,6 +19,31 @@ def chrono_split(rows: DataFrame, time: str, train: float = 0.6, validate: float
     return rows.join(times.select(time, part.alias("part")), time)
 
 
+def holdout_split(rows: DataFrame, holdout_months: int, embargo_ms: int, time: str = "signal_open_ms", resolved: str = "fill_close_ms") -> DataFrame:
+    """rows with `part`: holdout from the last signal less so many calendar months on; train where all was resolved `embargo_ms` before that.
+
+    Rows between the two are left out, so nothing that is learnt was still open when the holdout began.
+    """
+    last = rows.agg(F.max(time).alias("last"))
+    start = last.select(months_before(F.col("last"), holdout_months).alias("_start"))
+    both = rows.crossJoin(F.broadcast(start))
+    part = F.when(F.col(time) >= F.col("_start"), "holdout").when(F.col(resolved) <= F.col("_start") - embargo_ms, "train")
+    return both.withColumn("part", part).where("part IS NOT NULL").drop("_start")
+
+
+def calibration_tail(rows: DataFrame, share: float, horizon_ms: int, time: str = "signal_open_time", known: str = "entry_close_time", observed: str = "fully_observed") -> DataFrame:
+    """rows with `part`: calibration for the last `share` of distinct times, history for what was known before the first of these closed.
+
+    Only rows whose largest horizon was seen whole take part.
+    """
+    times = running(rows.select(time).distinct(), [], [time])
+    boundary = times.where(F.col("_before") == F.greatest(F.floor(F.col("_all") * (1.0 - share)), F.lit(1))).select(F.col(time).alias("_boundary"))
+    both = rows.where(F.col(observed)).crossJoin(F.broadcast(boundary))
+    first = both.where(F.col(time) >= F.col("_boundary")).agg(F.min(known).alias("_first"))
+    part = F.when(F.col(time) >= F.col("_boundary"), "calibration").when(F.col(known) + horizon_ms <= F.col("_first"), "history")
+    return both.crossJoin(F.broadcast(first)).withColumn("part", part).where("part IS NOT NULL").drop("_boundary", "_first")
+
+
 def rolling_folds(spark: SparkSession, begin_ms: int, end_ms: int, train_ms: int, window_ms: int, step_ms: int, embargo_ms: int) -> DataFrame:
     """(fold, test_start, test_end): windows after the first training span, the last one ending `embargo_ms` before the data do."""
     last = end_ms - embargo_ms - window_ms
@@ -46,7 +72,7 @@ def stratified_sample(rows: DataFrame, n: int, strata: Sequence[str | Column], o
     """About n rows: the same number of each stratum, evenly spaced by rank with halves rounded to even; missing ones come from the rest in order."""
     keys = [f"_s{k}" for k in range(len(strata))]
     named = rows.withColumns({k: F.col(s) if isinstance(s, str) else s for k, s in zip(keys, strata)})
-    groups = named.select(*keys).distinct().agg(F.greatest(F.floor(F.lit(n) / F.count("*")), F.lit(1)).alias("_quota"))
+    groups = named.select(*keys).distinct().agg(F.greatest(F.floor(F.try_divide(F.lit(n), F.count("*"))), F.lit(1)).alias("_quota"))
     at = running(named, keys, order).withColumnRenamed("_before", "_i").withColumnRenamed("_all", "_n").crossJoin(F.broadcast(groups))
     spots = F.transform(F.sequence(F.lit(0), (F.least("_quota", "_n") - 1).cast("int")), lambda k: F.when(F.least("_quota", "_n") > 1, F.rint(k * (F.col("_n") - 1) / (F.least("_quota", "_n") - 1))).otherwise(0.0))
     taken = at.withColumn("_hit", F.array_contains(spots, F.col("_i").cast("double")))

@@ -19,6 +19,8 @@ from tidemark.operators.ranks import running
 QUERY_BLOCK = 16_384
 #: rows of a block of candidates: as few as fill the tasks, within these
 CANDIDATE_BLOCK = (1_024, 65_536)
+#: what is added to a distance before it is inverted (fixed value)
+OFFSET = 0.20
 #: differences held at once
 _CELLS = 4 << 20
 
@@ -35,16 +37,20 @@ def _dealt(rows: DataFrame, own: str, id_col: str, blocks: int, other: str, copi
     return out.select(*(F.col(c).alias(c) for c in out.columns))
 
 
-def distances(queries: DataFrame, candidates: DataFrame, depth: int, metric: str = "euclidean", by: Sequence[str] = (), query_block: int = QUERY_BLOCK) -> DataFrame:
+def distances(queries: DataFrame, candidates: DataFrame, depth: int, metric: str = "euclidean", by: Sequence[str] = (), query_block: int = QUERY_BLOCK, penalties: Sequence[float] = ()) -> DataFrame:
     """(by, query_id, candidate_id, group_id, distance, place) of the `depth` nearest candidates of each query, ties by candidate_id.
 
     queries: (by, query_id, vector); candidates: (by, candidate_id, group_id, vector). Only rows of the same `by` meet,
     and candidates with the query's own id are left out, as are queries and candidates without a vector. metric:
-    euclidean, manhattan_mean or cosine.
+    euclidean, manhattan_mean or cosine. penalties: both sides have `categories` (array<string>); each that differs adds
+    the square of its penalty to the squared distance (euclidean only).
     """
+    if penalties and metric != "euclidean":
+        raise ValueError("penalties need the euclidean metric")
+    extra = ["categories"] if penalties else []
     by = list(by)
-    queries = queries.where("vector IS NOT NULL").select(*by, "query_id", "vector")
-    candidates = candidates.where("vector IS NOT NULL").select(*by, "candidate_id", "group_id", "vector")
+    queries = queries.where("vector IS NOT NULL").select(*by, "query_id", "vector", *extra)
+    candidates = candidates.where("vector IS NOT NULL").select(*by, "candidate_id", "group_id", "vector", *extra)
     kind = dict(queries.dtypes) | dict(candidates.dtypes)
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the largest group decides: blocks of the others are smaller
@@ -57,10 +63,12 @@ def distances(queries: DataFrame, candidates: DataFrame, depth: int, metric: str
         if not len(asked) or not len(held):
             return pd.DataFrame({n: [] for n in names})
         ids, matrix = asked.query_id.to_numpy(), np.array(asked.vector.tolist(), np.float64).reshape(len(asked), -1)
+        own_kinds = np.array(asked.categories.tolist(), object) if penalties else None
         best: pd.DataFrame | None = None
         for at in range(0, len(held), 2048):
             pdf = held.iloc[at : at + 2048]
             x, own, group = np.array(pdf.vector.tolist(), np.float64), pdf.candidate_id.to_numpy(), pdf.group_id.to_numpy()
+            kinds = np.array(pdf.categories.tolist(), object) if penalties else None
             parts = [best] if best is not None else []
             step = max(1, _CELLS // max(1, x.size if metric == "manhattan_mean" else len(x)))
             for begin in range(0, len(ids), step):
@@ -70,6 +78,8 @@ def distances(queries: DataFrame, candidates: DataFrame, depth: int, metric: str
                     # squares by products, which need no table of differences; who is near enough is measured again below
                     size = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None]
                     d, slack = size - 2 * (q @ x.T), 1e-9 * (size.max() + 1)
+                    for j, p in enumerate(penalties):
+                        d += (own_kinds[begin : begin + step, None, j] != kinds[None, :, j]) * p**2
                 elif metric == "manhattan_mean":
                     d = np.abs(q[:, None, :] - x[None]).mean(axis=2)
                 else:
@@ -79,7 +89,10 @@ def distances(queries: DataFrame, candidates: DataFrame, depth: int, metric: str
                 # ties at the edge stay: the order by id is settled where all parts meet
                 edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] + slack
                 rows, cols = np.nonzero((d <= edge) & np.isfinite(d))
-                distance = np.sqrt(((q[rows] - x[cols]) ** 2).sum(axis=1)) if metric == "euclidean" else d[rows, cols]
+                distance = d[rows, cols]
+                if metric == "euclidean":
+                    other = sum(((own_kinds[begin + rows, j] != kinds[cols, j]) * p**2 for j, p in enumerate(penalties)), 0.0)
+                    distance = np.sqrt(((q[rows] - x[cols]) ** 2).sum(axis=1) + other)
                 parts.append(pd.DataFrame({"query_id": ids[begin + rows], "candidate_id": own[cols], "group_id": group[cols], "distance": distance}))
             best = pd.concat(parts).sort_values(["query_id", "distance", "candidate_id"], kind="stable").groupby("query_id").head(depth)
         for name, value in zip(by, key):
@@ -119,10 +132,10 @@ def radius_of(pool: DataFrame, quantile: float) -> float:
 
 
 def weights(near: DataFrame, weighting: str) -> DataFrame:
-    """near with `weight`: uniform, or falling with the distance in units of the query's median distance."""
+    """near with `weight`: uniform, falling with the distance in units of the query's median distance, or (offset) with the distance itself."""
     unit = F.greatest(F.percentile("distance", 0.5).over(Window.partitionBy("query_id")), F.lit(1e-9))
     d = F.col("distance") / unit
-    forms: dict[str, Column] = {"uniform": F.lit(1.0), "inverse": 1.0 / (d + 0.05), "inverse_square": 1.0 / F.pow(d + 0.05, 2), "exponential": F.exp(-d)}
+    forms: dict[str, Column] = {"uniform": F.lit(1.0), "inverse": 1.0 / (d + 0.05), "inverse_square": 1.0 / F.pow(d + 0.05, 2), "exponential": F.exp(-d), "offset": 1.0 / (F.col("distance") + OFFSET)}
     return near.withColumn("weight", forms[weighting])
 
 
@@ -141,6 +154,27 @@ def support(weighted: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def outcome_summary(matched: DataFrame, bounds: DataFrame, outcomes: DataFrame, waits: DataFrame, classes: Sequence[str], least: int = 12) -> tuple[DataFrame, DataFrame]:
+    """What became of each query's neighbours, by horizon; only those whose outcome is known count, and at least `least` of them.
+
+    matched: (query_id, observation_id); bounds as of `outcomes.adverse_bounds`, outcomes long, waits (observation_id,
+    target_bars). Gives (query_id, horizon_bars, neighbours, fill_probability, adverse and wait quantiles) and
+    (query_id, horizon_bars, threshold_pct, outcome, share) for every class, those that no neighbour has with share 0.
+    """
+    known = matched.join(bounds, "observation_id").where(F.col("fully_observed") | F.col("target_hit")).join(waits, "observation_id", "left")
+    middle = (F.col("max_adverse_lower_pct") + F.col("max_adverse_upper_pct")) / 2
+    wait = F.when(F.col("target_hit"), F.col("target_bars").cast("double"))
+    q = lambda c, p, name: F.percentile(c, p).alias(name)
+    told = known.groupBy("query_id", "horizon_bars").agg(
+        F.count("*").alias("neighbours"), F.avg(F.col("target_hit").cast("double")).alias("fill_probability"), q(middle, 0.5, "adverse_p50"), q("max_adverse_upper_pct", 0.8, "adverse_p80"), q("max_adverse_upper_pct", 0.9, "adverse_p90"),
+        q(wait, 0.1, "wait_bars_p10"), q(wait, 0.5, "wait_bars_p50"), q(wait, 0.9, "wait_bars_p90"),
+    ).where(F.col("neighbours") >= least)
+    both = known.select("query_id", "horizon_bars", "observation_id").join(outcomes, ["observation_id", "horizon_bars"]).join(told.select("query_id", "horizon_bars", "neighbours"), ["query_id", "horizon_bars"])
+    counts = both.groupBy("query_id", "horizon_bars", "threshold_pct", "neighbours").agg(*(F.count_if(F.col("outcome") == c).alias(c) for c in classes))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("outcome"), (F.col(c) / F.col("neighbours")).alias("share")) for c in classes)))
+    return told, counts.select("query_id", "horizon_bars", "threshold_pct", pairs.alias("o")).select("query_id", "horizon_bars", "threshold_pct", "o.*")
+
+
 def support_levels(supported: DataFrame, calibration: DataFrame, column: str = "median_distance", levels: int = 5) -> DataFrame:
     """Where each neighbourhood stands among calibration ones: the share that is not above it, and one of `levels` equal levels.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import factor_distance, log_distance, single
+from tidemark.operators.ranks import LOCAL_ROWS, quantiles
 from tidemark.operators.signals import FEATURES
 from tidemark.operators.stats import long, robust_scales
 
@@ -82,6 +83,42 @@ def scored_states(candidates: DataFrame, scores: DataFrame, live: DataFrame) ->
     return rows.withColumn("match_score", total).drop(*(f"q_{c}" for c in live.columns), "adaptive", "shape", "category", "elapsed_bars")
 
 
+def observation_scores(observed: DataFrame, queries: DataFrame, scales: DataFrame, blend: float = SHAPE_BLEND, pool_directions: bool = False, k: int = 40, isolated: str = "1m") -> DataFrame:
+    """(query_id, observation_id, match_score, place) of the k closest observations of each query.
+
+    Both tables have the seven features, series, direction and state columns; queries also query_id. Series of the
+    timeframe `isolated` only meet their own asset, and directions their own unless pooled. Shape distances are brought
+    to the median of the feature distances over all that a query meets. Queries are a stated set, so each meets all
+    observations of its direction; of these every task keeps k.
+    """
+    states = {"entry_distance_pct": "current_move_pct", "peak_distance_pct": "peak_move_pct", "drawdown_pct": "drawdown_pct", "age_bars": "elapsed_bars"}
+    wanted = [*FEATURES, *states, "asset", "timeframe", "direction"]
+    asked = queries.select("query_id", *(F.col(c).alias(f"q_{c}") for c in wanted))
+    meets = (F.col("timeframe") != isolated) & (F.col("q_timeframe") != isolated) | (F.col("asset") == F.col("q_asset"))
+    if not pool_directions:
+        meets = meets & (F.col("direction") == F.col("q_direction"))
+    table = scales.groupBy().agg(*(F.max(F.when(F.col("name") == c, F.col("scale"))).alias(f"s_{c}") for c in FEATURES))
+    rows = observed.select("observation_id", *wanted).join(asked, meets).where(F.col("observation_id") != F.col("query_id")).crossJoin(F.broadcast(table))
+    feature = F.lit(0.0)
+    for c, w in FEATURE_WEIGHTS.items():
+        feature = feature + w * F.abs(F.col(c) - F.col(f"q_{c}")) / F.col(f"s_{c}")
+    state = F.lit(0.0)
+    for c, name in states.items():
+        w, floor = STATE_WEIGHTS[name]
+        state = state + w * log_distance(F.col(c).cast("double"), F.col(f"q_{c}").cast("double"), floor)
+    other = (F.col("asset") != F.col("q_asset")).cast("double") * CATEGORY_PENALTIES["asset"] * (1.0 - blend)
+    rows = rows.select("query_id", "observation_id", feature.alias("_feature"), shape_distance().alias("_shape"), (state + other).alias("_rest"))
+    if observed.count() <= LOCAL_ROWS:
+        # no query meets more
+        middle = rows.groupBy("query_id").agg(F.percentile("_feature", 0.5).alias("_mf"), F.percentile("_shape", 0.5).alias("_ms"))
+    else:
+        middle = quantiles(rows, ["query_id"], "_feature", [0.5]).withColumnRenamed("q0", "_mf").join(quantiles(rows, ["query_id"], "_shape", [0.5]).withColumnRenamed("q0", "_ms"), "query_id")
+    fair = F.col("_shape") * F.greatest("_mf", F.lit(1e-12)) / F.greatest("_ms", F.lit(1e-12))
+    scored = rows.join(middle, "query_id").select("query_id", "observation_id", (F.col("_rest") + FEATURE_SHARE * ((1.0 - blend) * F.col("_feature") + blend * fair)).alias("match_score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("match_score", "observation_id"))
+    return scored.withColumn("place", place).where(F.col("place") <= k)
+
+
 def best_alignments(scored: DataFrame) -> DataFrame:
     """The best state of each episode, of equal ones the earliest. A partial aggregate: no sort, one row per episode and task moves."""
     columns = [c for c in scored.columns if c != "episode_id"]

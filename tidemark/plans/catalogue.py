@@ -12,14 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import rounded
+from tidemark.functions.columns import age_group, distance_group, rounded, tertile
 from tidemark.functions.storage import run_dir, stored
-from tidemark.operators import evaluate, features, folds, knn, library, match, outcomes, panel, project, ranks, rollup, signals, stats, trace
+from tidemark.operators import evaluate, features, folds, knn, library, match, outcomes, panel, project, ranks, rollup, signals, stats, trace, walkforward
 from tidemark.operators import models as supervised
 from tidemark.plans import oracle as O
 from tidemark.plans.oracle import AGES, FEATURES, FOLLOW_UP, HORIZONS, MATCH_K, PANEL, THRESHOLDS, r, sql
 from tidemark.sources import candles as C
 from tidemark.sources import ledger
+from tidemark.sources import library as store
 from tidemark.streaming import candles as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,10 +316,13 @@ def first_adverse(spark, d):
     return _touched(hourly(spark, d))[1]
 
 
-_bounds = " UNION ALL ".join(
-    f"SELECT t.observation_id, {h} AS horizon_bars, t.available_bars >= {h} AS fully_observed, coalesce(t.target_bars <= {h}, false) AS target_hit, {r(f'coalesce(max(CASE WHEN f.k <= least({h}, CASE WHEN t.target_bars <= {h} THEN t.target_bars - 1 ELSE {h} END) THEN f.adverse END), 0.0)', 'max_adverse_lower_pct')}, {r(f'coalesce(max(CASE WHEN f.k <= least({h}, CASE WHEN t.target_bars <= {h} THEN t.target_bars ELSE {h} END) THEN f.adverse END), 0.0)', 'max_adverse_upper_pct')} FROM touched t LEFT JOIN futures f USING (observation_id) GROUP BY 1, 2, 3, 4"
-    for h in HORIZONS
-)
+def _bounds_sql(shown) -> str:
+    most = lambda bars: f"coalesce(max(CASE WHEN f.k <= least({{h}}, CASE WHEN t.target_bars <= {{h}} THEN {bars} ELSE {{h}} END) THEN f.adverse END), 0.0)"
+    one = f"SELECT t.observation_id, {{h}} AS horizon_bars, t.available_bars >= {{h}} AS fully_observed, coalesce(t.target_bars <= {{h}}, false) AS target_hit, {shown(most('t.target_bars - 1'), 'max_adverse_lower_pct')}, {shown(most('t.target_bars'), 'max_adverse_upper_pct')} FROM touched t LEFT JOIN futures f USING (observation_id) GROUP BY 1, 2, 3, 4"
+    return " UNION ALL ".join(one.format(h=h) for h in HORIZONS)
+
+
+_bounds = _bounds_sql(r)
 
 
 @query(sql(_bounds))
@@ -671,8 +675,7 @@ def scenarios(spark, d):
     return project.scenarios(Study(spark, d).cohort()).select("scenario", "episode_id", "offset_bars", "remaining_bars", "scale", "projected_future_pct", "projected_adverse_pct", "joint_risk", "joint_percentile", "tail_share", "match_score", "cohort")
 
 
-def _projected(spark, d) -> DataFrame:
-    s = Study(spark, d)
+def _projected(s: Study) -> DataFrame:
     one = s.query.select("wick_target", "direction_sign", F.col("signal_open_ms").alias("start_ms"), F.lit(HOUR).alias("interval_ms"))
     return project.candles(project.scenarios(s.cohort()), s.paths, one)
 
@@ -683,13 +686,13 @@ _projected_sql = {"drawn": f"SELECT k.scenario, p.offset_bars - k.offset_bars AS
 
 @query(sql(f"SELECT scenario, step, open_time, {r('open_', 'open')}, {r('greatest(open_, high_, low_, close_)', 'high')}, {r('least(open_, high_, low_, close_)', 'low')}, {r('close_', 'close')} FROM drawn", **_projected_sql))
 def projected_candles(spark, d):
-    return _projected(spark, d)
+    return _projected(Study(spark, d))
 
 
 @query(sql(f"SELECT scenario, count(*) AS bars, {r('greatest(max(CASE WHEN q.direction_sign = 1 THEN (greatest(open_, high_, low_, close_) / q.wick_target - 1.0) * 100.0 ELSE (1.0 - least(open_, high_, low_, close_) / q.wick_target) * 100.0 END), 0.0)', 'peak_pct')} FROM drawn, q GROUP BY 1", **_projected_sql))
 def project_flagship(spark, d):
     s = Study(spark, d)
-    drawn = _projected(spark, d)
+    drawn = _projected(s)
     live = s.query.select("wick_target", "direction_sign").crossJoin(s.live.select("current_move_pct"))
     return project.path_metrics(drawn, live).select("scenario", "bars", F.round("projected_future_pct", 4).alias("peak_pct"))
 
@@ -751,31 +754,152 @@ def eligible_history(spark, d):
     return folds.eligible_history(_observed(e), f, 12 * HOUR).groupBy("fold", "role").agg(F.count("*").alias("observations"))
 
 
-def _walked(vectors: DataFrame, f: DataFrame, depth: int = 128, k: int = 25) -> DataFrame:
-    """(fold, query_id, score, label, neighbours) of the queries of all folds; vectors: observations with label and vector."""
-    roles = folds.eligible_history(vectors, f, 12 * HOUR)
-    asked = roles.where("role = 'query'").select("fold", F.col("observation_id").alias("query_id"), "vector", "label")
-    history = roles.where("role = 'history'").select("fold", F.col("observation_id").alias("candidate_id"), F.col("signal_id").alias("group_id"), "vector")
-    # windows do not overlap, so a query is in one fold
-    near = knn.distances(asked, history, depth, by=["fold"])
-    chosen = knn.weights(knn.first_of_groups(near, k), "inverse")
-    voted = knn.vote(chosen.join(vectors.select(F.col("observation_id").alias("candidate_id"), "label"), "candidate_id"))
-    return voted.withColumnRenamed("prediction", "score").join(asked.select("fold", "query_id", "label"), "query_id")
-
-
-@query()
+LEAST_TRAIN, NEIGHBOURS = 40, 25
+_log = {"log_range_vs_prior_20_median": "range_vs_prior_20_median", "log_volume_vs_prior_20_mean": "volume_vs_prior_20_mean"}
+
+
+def _walk_sql() -> str:
+    names = list(walkforward.FEATURE_WEIGHTS)
+    source = lambda n: f"ln(r.{_log[n]})" if n in _log else f"r.{n}"
+    clean = "coalesce(p.fill_bars <= 24, false) AND coalesce(p.departure_bars <= 24, false) AND p.departure_bars < p.fill_bars"
+    hits = f"SELECT s.signal_id, min(CASE WHEN {O._TOUCH} THEN c.bar_index END) - s.bar_index AS fill_bars, min(CASE WHEN {O._LEAVE} THEN c.bar_index END) - s.bar_index AS departure_bars FROM relaxed s LEFT JOIN e c ON c.asset = s.asset AND c.bar_index > s.bar_index AND c.bar_index <= s.bar_index + 48 GROUP BY s.signal_id, s.bar_index"
+    far = " + ".join(f"pow((q.{n} - h.{n}) / s.s_{n} * {w}, 2)" for n, w in walkforward.FEATURE_WEIGHTS.items()) + "".join(f" + CASE WHEN q.{c} <> h.{c} THEN {p * p} ELSE 0 END" for c, p in walkforward.CATEGORY_PENALTIES.items())
+    return sql(
+        f"SELECT fold, n_train, count(*) AS n_test, {r('avg(label)', 'positive_rate')}, {r('avg(pow(score - label, 2))', 'brier')}, {r('avg(pow(base - label, 2))', 'base_brier')}, {r('1.0 - avg(pow(score - label, 2)) / nullif(avg(pow(base - label, 2)), 0)', 'skill')} FROM (SELECT fold, query_id, label, n_train, base, sum(y / (d + 0.2)) / sum(1.0 / (d + 0.2)) AS score FROM nearest GROUP BY ALL) GROUP BY 1, 2",
+        hits=hits,
+        cases=f"SELECT r.signal_id, r.asset, r.timeframe, r.direction, r.open_time, k.close_time + 1 AS known_ms, CAST(({clean}) AS DOUBLE) AS label, {', '.join(f'{source(n)} AS {n}' for n in names)} FROM relaxed r JOIN hits p USING (signal_id) JOIN e k ON k.asset = r.asset AND k.bar_index = r.bar_index + 24",
+        **_fold_sql,
+        learnt="SELECT f.fold, c.* FROM cases c JOIN folds f ON c.known_ms <= f.test_start",
+        asked="SELECT f.fold, c.* FROM cases c JOIN folds f ON c.open_time >= f.test_start AND c.open_time < f.test_end",
+        sizes=f"SELECT fold, count(*) AS n_train, avg(label) AS base FROM learnt GROUP BY 1 HAVING count(*) >= {LEAST_TRAIN}",
+        centers=f"SELECT fold, {', '.join(f'quantile_cont({n}, 0.5) AS c_{n}, stddev_pop({n}) AS d_{n}' for n in names)} FROM learnt GROUP BY 1",
+        mads=f"SELECT l.fold, {', '.join(f'quantile_cont(abs(l.{n} - c.c_{n}), 0.5) * 1.4826 AS m_{n}' for n in names)} FROM learnt l JOIN centers c ON c.fold = l.fold GROUP BY 1",
+        spans=f"SELECT c.fold, {', '.join(f'CASE WHEN m_{n} > 1e-12 THEN m_{n} WHEN d_{n} > 1e-12 THEN d_{n} ELSE 1.0 END AS s_{n}' for n in names)} FROM centers c JOIN mads m ON m.fold = c.fold",
+        nearest=f"SELECT q.fold, q.signal_id AS query_id, q.label, z.n_train, z.base, h.label AS y, sqrt({far}) AS d FROM asked q JOIN sizes z ON z.fold = q.fold JOIN learnt h ON h.fold = q.fold JOIN spans s ON s.fold = q.fold QUALIFY row_number() OVER (PARTITION BY q.fold, q.signal_id ORDER BY sqrt({far}), h.signal_id) <= {NEIGHBOURS}",
+    )
+
+
+@query(_walk_sql())
 def walk_forward_knn(spark, d):
-    """Per fold: nearest-neighbour forecasts of a target touch, learnt only from history that had matured."""
+    """Per fold: forecasts of a clean departure and fill within 24 bars, scaled by and learnt from what was known when the window began."""
     e, f = _folds(spark, d)
+    signals_ = relaxed(e)
+    known = e.select("asset", "timeframe", (F.col("bar_index") - 24).alias("bar_index"), (F.col("close_time") + 1).alias("known_ms"))
+    labelled = panel.labels(signals_, e, PANEL).select("signal_id", F.col("clean_24b").cast("double").alias("label"))
+    rows = signals_.join(labelled, "signal_id").join(known, ["asset", "timeframe", "bar_index"]).withColumns({n: F.ln(c) for n, c in _log.items()}).withColumnRenamed("signal_id", "id")
+    return walkforward.fold_metrics(walkforward.predict(stored(rows, "forward"), f, NEIGHBOURS, LEAST_TRAIN))
+
+
+# the table's days stand for months here: one holds 24 * 30 hours
+_stretched = {"long": f"SELECT episode_id, signal_open_ms * 30 AS signal_open_ms, fill_close_ms * 30 AS fill_close_ms FROM episodes", "start": "SELECT epoch_ms(make_timestamp(max(signal_open_ms) * 1000) - INTERVAL 3 MONTH) AS s FROM long"}
+
+
+@query(sql(f"SELECT episode_id, CASE WHEN signal_open_ms >= s THEN 'holdout' ELSE 'train' END AS part FROM long, start WHERE signal_open_ms >= s OR fill_close_ms <= s - {DAY}", **_stretched))
+def embargoed_holdout(spark, d):
+    e = hourly(spark, d)
+    found = library.episodes(traced(e), e).select("episode_id", (F.col("signal_open_ms") * 30).alias("signal_open_ms"), (F.col("fill_close_ms") * 30).alias("fill_close_ms"))
+    return folds.holdout_split(stored(found, "long"), 3, DAY).select("episode_id", "part")
+
+
+@query(sql(f"SELECT observation_id, CASE WHEN signal_open_time >= b THEN 'calibration' ELSE 'history' END AS part FROM seen, edge, (SELECT min(entry_close_time) AS f FROM seen, edge WHERE signal_open_time >= b) WHERE signal_open_time >= b OR entry_close_time + {12 * HOUR} <= f",
+           seen="SELECT * FROM observed WHERE series_bars - 1 - entry_index >= 24", edge="SELECT t AS b FROM (SELECT signal_open_time AS t, row_number() OVER (ORDER BY signal_open_time) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT signal_open_time FROM observed)) WHERE k = greatest(CAST(floor(n * 0.8) AS BIGINT), 1)"))
+def calibration_tail(spark, d):
+    rows = _observed(hourly(spark, d)).withColumn("fully_observed", F.col("series_bars") - 1 - F.col("entry_index") >= 24)
+    return folds.calibration_tail(rows, 0.2, 12 * HOUR).select("observation_id", "part")
+
+
+# Observations matched with queries, and what became of the matches
+
+_newest = "SELECT max(signal_open_time) AS t FROM observed"
+_fold_edge = f"(SELECT t - {3 * DAY} FROM newest)"
+_soft = {
+    "newest": _newest,
+    "queries": f"SELECT * FROM observed JOIN relaxed r USING (signal_id) WHERE signal_open_time >= {_fold_edge}".replace("SELECT * FROM observed JOIN relaxed r USING (signal_id)", "SELECT o.*, " + ", ".join(f"r.{c}" for c in FEATURES) + " FROM observed o JOIN relaxed r USING (signal_id)"),
+    "mature": f"SELECT o.*, {', '.join(f'r.{c}' for c in FEATURES)} FROM observed o JOIN relaxed r USING (signal_id) WHERE o.entry_close_time + {12 * HOUR} <= {_fold_edge}",
+    "mscale": " UNION ALL ".join(f"SELECT '{c}' AS name, scale FROM ({O.robust('mature', c, 'first_usable')})" for c in FEATURES),
+    "met": "SELECT q.observation_id AS query_id, e.observation_id, " + " + ".join(f"{w} * abs(e.{c} - q.{c}) / (SELECT scale FROM mscale WHERE name = '{c}')" for c, w in match.FEATURE_WEIGHTS.items()) + f" AS feature, {O._SHAPE} AS shape, "
+    + " + ".join(f"{w} * abs(ln((greatest(e.{c}, 0.0) + {f}) / (greatest(q.{c}, 0.0) + {f})))" for c, (w, f) in zip(("now", "peak", "drawdown_pct", "age_bars"), match.STATE_WEIGHTS.values())) + " + CASE WHEN e.asset <> q.asset THEN 0.35 * 0.7 ELSE 0 END AS rest FROM mature e JOIN queries q ON e.direction = q.direction",
+    "mids": "SELECT query_id, greatest(quantile_cont(feature, 0.5), 1e-12) AS mf, greatest(quantile_cont(shape, 0.5), 1e-12) AS ms FROM met GROUP BY 1",
+    "soft": "SELECT query_id, observation_id, match_score, row_number() OVER (PARTITION BY query_id ORDER BY match_score, observation_id) AS place FROM (SELECT m.query_id, m.observation_id, rest + 0.5 * (0.7 * feature + 0.3 * shape * mf / ms) AS match_score FROM met m JOIN mids x ON x.query_id = m.query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY match_score, observation_id) <= 30",
+}
+
+
+def _soft_matched(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Observations of the last three days against those whose horizon had passed by then."""
     o = _observed(e)
-    t = outcomes.touches(o, e, 12, THRESHOLDS)
-    rows = o.join(t, "observation_id").select("observation_id", "signal_id", "signal_open_time", "entry_close_time", F.coalesce(F.col("target_bars") <= 12, F.lit(False)).cast("double").alias("label"), *(F.log1p(F.greatest(c, F.lit(0.0))).alias(c) for c in ("entry_distance_pct", "peak_distance_pct", "drawdown_pct")))
-    rows = stored(rows, "forward")
-    scales = stats.robust_scales(stats.long(rows, ["entry_distance_pct", "peak_distance_pct", "drawdown_pct"]))
-    names = ["entry_distance_pct", "peak_distance_pct", "drawdown_pct"]
-    wide = scales.groupBy().agg(*(F.max(F.when(F.col("name") == n, F.col(x))).alias(f"{x}_{n}") for n in names for x in ("center", "scale")))
-    vectors = rows.crossJoin(F.broadcast(wide)).select("observation_id", "signal_id", "signal_open_time", "entry_close_time", "label", F.array(*((F.col(n) - F.col(f"center_{n}")) / F.col(f"scale_{n}") for n in names)).alias("vector"))
-    return evaluate.brier(_walked(vectors, f), "fold")
+    begin = F.broadcast(o.agg((F.max("signal_open_time") - 3 * DAY).alias("_begin")))
+    both = o.crossJoin(begin)
+    asked = both.where("signal_open_time >= _begin").withColumnRenamed("observation_id", "query_id").drop("_begin")
+    mature = both.where(F.col("entry_close_time") + 12 * HOUR <= F.col("_begin")).drop("_begin")
+    scales = stats.robust_scales(stats.long(mature, FEATURES))
+    return o, stored(match.observation_scores(mature, asked, scales, k=30), "soft")
+
+
+@query(sql(f"SELECT query_id, observation_id, {r('match_score')}, CAST(place AS INT) AS place FROM soft WHERE place <= 10", **_soft))
+def matched_observations(spark, d):
+    return _soft_matched(hourly(spark, d))[1].where("place <= 10")
+
+
+_told = {**_soft, "bounds": _bounds_sql(lambda x, name: f"{x} AS {name}"), "kept": "SELECT s.query_id, b.*, t.target_bars FROM soft s JOIN bounds b USING (observation_id) JOIN touched t USING (observation_id) WHERE b.fully_observed OR b.target_hit"}
+
+
+@query(sql(
+    f"SELECT query_id, horizon_bars, count(*) AS neighbours, {r('avg(CAST(target_hit AS DOUBLE))', 'fill_probability')}, {r('quantile_cont((max_adverse_lower_pct + max_adverse_upper_pct) / 2, 0.5)', 'adverse_p50')}, {r('quantile_cont(max_adverse_upper_pct, 0.8)', 'adverse_p80')}, {r('quantile_cont(max_adverse_upper_pct, 0.9)', 'adverse_p90')}, "
+    + ", ".join(r(f"quantile_cont(CASE WHEN target_hit THEN CAST(target_bars AS DOUBLE) END, {q})", f"wait_bars_p{round(q * 100)}") for q in (0.1, 0.5, 0.9)) + " FROM kept GROUP BY 1, 2 HAVING count(*) >= 12",
+    **_told,
+))
+def neighbour_outcomes(spark, d):
+    return _told_by(spark, d)[0]
+
+
+_CLASSES = ("target_first", "adverse_first", "ambiguous_intrabar", "neither", "right_censored")
+
+
+@query(sql(
+    "SELECT query_id, horizon_bars, threshold_pct, outcome, round(share, 6) + 0.0 AS share FROM (SELECT k.query_id, k.horizon_bars, o.threshold_pct, " + ", ".join(f"count_if(o.outcome = '{c}') / CAST(count(*) AS DOUBLE) AS {c}" for c in _CLASSES) + " FROM kept k JOIN outcomes o ON o.observation_id = k.observation_id AND o.horizon_bars = k.horizon_bars GROUP BY 1, 2, 3 HAVING count(*) >= 12) UNPIVOT (share FOR outcome IN (" + ", ".join(_CLASSES) + "))",
+    **_told,
+))
+def neighbour_outcome_classes(spark, d):
+    return _told_by(spark, d)[1]
+
+
+def _told_by(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = hourly(spark, d)
+    o, matched = _soft_matched(e)
+    t = stored(outcomes.touches(o, e, max(HORIZONS), THRESHOLDS), "touched")
+    bounds = stored(outcomes.adverse_bounds(o, t, e, HORIZONS), "bounds")
+    return knn.outcome_summary(matched.select("query_id", "observation_id"), bounds, outcomes.outcomes(t, HORIZONS, THRESHOLDS), t.select("observation_id", "target_bars"), _CLASSES)
+
+
+# Errors by group, calibration of quantiles, and a store that is read back
+
+@query(sql(f"SELECT age_group, distance_group, volatility_group, count(*) AS observations, {r('avg(now)', 'mean_distance')} FROM (SELECT now, CASE WHEN age_bars * 60 < 60 THEN 'under_1h' WHEN age_bars * 60 < 360 THEN '1h_6h' WHEN age_bars * 60 < 1440 THEN '6h_1d' ELSE '1d_7d' END AS age_group, CASE WHEN now < 1 THEN 'under_1pct' WHEN now < 3 THEN '1_3pct' WHEN now < 7 THEN '3_7pct' WHEN now < 15 THEN '7_15pct' WHEN now < 30 THEN '15_30pct' ELSE 'over_30pct' END AS distance_group, CASE WHEN k <= 1.0 / 3 THEN 'low' WHEN k <= 2.0 / 3 THEN 'middle' ELSE 'high' END AS volatility_group FROM (SELECT *, {O.average_pct_rank('drawdown_pct')} AS k FROM observed)) GROUP BY 1, 2, 3"))
+def observation_groups(spark, d):
+    rows = ranks.ranked(_observed(hourly(spark, d)), [], "drawdown_pct")
+    groups = rows.select("entry_distance_pct", age_group(F.col("age_bars") * 60).alias("age_group"), distance_group(F.col("entry_distance_pct")).alias("distance_group"), tertile(F.col("percent_rank")).alias("volatility_group"))
+    return groups.groupBy("age_group", "distance_group", "volatility_group").agg(F.count("*").alias("observations"), F.avg("entry_distance_pct").alias("mean_distance"))
+
+
+_pin = lambda q: f"greatest({q} * (value - q{round(q * 100)}), {q - 1} * (value - q{round(q * 100)}))"
+
+
+@query("SELECT event_type, count(*) AS n, " + ", ".join(f"round(avg(CAST(value <= q{k} AS DOUBLE)), 6) + 0.0 AS coverage_{k}, round(avg({_pin(k / 100)}), 6) + 0.0 AS pinball_{k}" for k in (10, 50, 90)) + ", round(avg(CAST(value BETWEEN q10 AND q90 AS DOUBLE)), 6) + 0.0 AS interval_coverage, round(quantile_cont(abs(value - q50), 0.5), 6) + 0.0 AS median_error FROM (SELECT event_type, value, 1.0 + user_id % 5 AS q10, 20.0 + user_id % 7 AS q50, 60.0 + user_id % 11 AS q90 FROM events WHERE value IS NOT NULL) GROUP BY 1")
+def quantile_calibration(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").where("value IS NOT NULL").withColumns({"q10": 1.0 + F.col("user_id") % 5, "q50": 20.0 + F.col("user_id") % 7, "q90": 60.0 + F.col("user_id") % 11})
+    return evaluate.quantile_calibration(rows, "value", {0.1: "q10", 0.5: "q50", 0.9: "q90"}, "event_type")
+
+
+@query(sql("SELECT p.asset, count(*) AS path_rows, count(DISTINCT p.episode_id) AS episodes, sum(p.offset_bars) AS offsets FROM paths p JOIN episodes e USING (episode_id) WHERE e.direction = 'lower_wick' AND p.asset IN ('click', 'view') GROUP BY 1"))
+def library_store(spark, d):
+    """Routes and episodes written as a store, read back for two assets, and the routes of one direction's episodes."""
+    e = hourly(spark, d)
+    t = traced(e)
+    root = f"{run_dir(spark)}/library-{uuid.uuid4().hex}"
+    store.write(library.paths(t, e), root, "paths")
+    store.write(library.episodes(t, e), root, "episodes")
+    chosen = store.require_unique(store.read(spark, root, "episodes", "60m", ["click", "view"]), "episode_id").where("direction = 'lower_wick'")
+    found = store.read_paths(spark, root, chosen, "60m", ["click", "view"])
+    return found.groupBy("asset").agg(F.count("*").alias("path_rows"), F.count_distinct("episode_id").alias("episodes"), F.sum("offset_bars").alias("offsets"))
 
 
 @query(sql("SELECT signal_id, open_time FROM placed, (SELECT unnest(generate_series(0, 19)) AS k) WHERE n <= 20 OR i = CAST(floor(k * (n - 1) / 19) AS BIGINT) GROUP BY 1, 2", placed="SELECT *, row_number() OVER (ORDER BY open_time, signal_id) - 1 AS i, count(*) OVER () AS n FROM relaxed"))
