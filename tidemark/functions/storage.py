@@ -41,14 +41,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what `stored` wrote, once nothing that is still to be computed reads it."""
+    for df in tables:
+        _delete(df.sparkSession, df.__dict__["_stored_at"])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes this application's tables. DataFrames that read them can no longer be used."""
     path = run_dir(spark)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _delete(spark, path)
     _RUNS.pop(path, None)
 
 

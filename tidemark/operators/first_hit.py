@@ -9,10 +9,13 @@ tasks, and a request reads about BLOCK + FAN + bars / (BLOCK * FAN) values inste
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import SERIES
+from tidemark.functions.storage import stored
 
 BLOCK, FAN = 32, 32
 #: what a request can watch; each is a value that grows towards a hit
@@ -31,6 +34,28 @@ def _supers(blocks: DataFrame, fan: int) -> DataFrame:
     return blocks.groupBy(*SERIES, F.expr(f"block div {fan}").alias("super")).agg(F.collect_list(F.struct(F.col("block").alias("i"), *TRACKS)).alias("blocks"), *(F.max(t).alias(t) for t in TRACKS))
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """Candles as blocks and super blocks. `blocked` writes them once for all that looks into the same candles."""
+
+    blocks: DataFrame
+    supers: DataFrame
+    block: int
+    fan: int
+
+    @classmethod
+    def of(cls, candles: DataFrame | Blocks, block: int = BLOCK, fan: int = FAN) -> Blocks:
+        if isinstance(candles, Blocks):
+            return candles
+        blocks = _blocks(candles, block)
+        return cls(blocks, _supers(blocks, fan), block, fan)
+
+
+def blocked(candles: DataFrame, block: int = BLOCK, fan: int = FAN) -> Blocks:
+    blocks = stored(_blocks(candles, block), "blocks")
+    return Blocks(blocks, stored(_supers(blocks, fan), "supers"), block, fan)
+
+
 def _watched(x: Column) -> Column:
     out = F.lit(None).cast("double")
     for t in TRACKS:
@@ -49,13 +74,13 @@ def _most(parts: Column, low: Column, high: Column) -> Column:
     return F.array_max(F.transform(inside, _watched))
 
 
-def first_hits(requests: DataFrame, candles: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
+def first_hits(requests: DataFrame, candles: DataFrame | Blocks, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(rid, hit) for requests (rid, asset, timeframe, after, last, track, level): the least bar in (after, last] whose track >= level.
 
     Requests without a hit have no row.
     """
-    blocks = _blocks(candles, block)
-    supers = _supers(blocks, fan)
+    held = Blocks.of(candles, block, fan)
+    blocks, supers, block, fan = held.blocks, held.supers, held.block, held.fan
     bars = blocks.select(*SERIES, "block", "bars")
     asked = requests.where(F.col("last") > F.col("after")).select("rid", *SERIES, (F.col("after") + 1).alias("from"), "last", "track", "level", F.expr(f"(after + 1) div {block}").alias("block"), F.expr(f"(after + 1) div {block * fan}").alias("super"))
     here = asked.join(bars, [*SERIES, "block"], "left").withColumn("hit", _first(F.col("bars"), F.col("from"), F.col("last"))).drop("bars")
@@ -75,14 +100,14 @@ def first_hits(requests: DataFrame, candles: DataFrame, block: int = BLOCK, fan:
     return down.select("rid", F.coalesce("hit", _first(F.col("bars"), F.col("from"), F.col("last"))).alias("hit")).where("hit IS NOT NULL")
 
 
-def range_max(requests: DataFrame, candles: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
+def range_max(requests: DataFrame, candles: DataFrame | Blocks, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(rid, largest) for requests (rid, asset, timeframe, after, last, track): the largest value of the track over the bars in (after, last].
 
     The bars of the first and the last block, the blocks between in their two super blocks, and the whole super blocks
     between these. Ranges without bars have no row.
     """
-    blocks = _blocks(candles, block)
-    supers = _supers(blocks, fan)
+    held = Blocks.of(candles, block, fan)
+    blocks, supers, block, fan = held.blocks, held.supers, held.block, held.fan
     asked = requests.where(F.col("last") > F.col("after")).select("rid", *SERIES, (F.col("after") + 1).alias("from"), "last", "track", F.expr(f"(after + 1) div {block}").alias("b0"), F.expr(f"last div {block}").alias("b1"), F.expr(f"(after + 1) div {block * fan}").alias("s0"), F.expr(f"last div {block * fan}").alias("s1"))
     bars = lambda key: blocks.select(*SERIES, F.col("block").alias(key), F.col("bars").alias(f"_{key}"))
     over = lambda key: supers.select(*SERIES, F.col("super").alias(key), F.col("blocks").alias(f"_{key}"))

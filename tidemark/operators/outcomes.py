@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import SERIES, mirrored_pct, slug
-from tidemark.operators.first_hit import first_hits, range_max
+from tidemark.operators.first_hit import Blocks, first_hits, range_max
 
 
 def _aged(traced: DataFrame, ages: Sequence[int]) -> DataFrame:
@@ -26,14 +26,14 @@ def omissions(traced: DataFrame, ages: Sequence[int]) -> DataFrame:
     return _aged(traced, ages).groupBy("age_bars", F.coalesce("omitted", F.lit("observed")).alias("reason")).agg(F.count("*").alias("signals"))
 
 
-def observations(traced: DataFrame, candles: DataFrame, ages: Sequence[int]) -> DataFrame:
+def observations(traced: DataFrame, candles: DataFrame, ages: Sequence[int], blocks: Blocks | None = None) -> DataFrame:
     """What can be seen at each age: entry price, distance and peak distance from the target, drawdown."""
     kept = _aged(traced, ages).where("omitted IS NULL")
     entry = candles.select(*SERIES, F.col("bar_index").alias("entry_index"), F.col("close").alias("entry_price"), F.col("open_time").alias("entry_open_time"), F.col("close_time").alias("entry_close_time"))
     rows = kept.join(entry, [*SERIES, "entry_index"]).withColumn("observation_id", F.concat_ws("_", "signal_id", F.lit("entry"), F.concat((F.col("age_bars") * F.col("interval_minutes")).cast("string"), F.lit("m"))))
     lower = F.col("direction_sign") == 1
     asked = rows.select(F.col("observation_id").alias("rid"), *SERIES, (F.col("bar_index") - 1).alias("after"), F.col("entry_index").alias("last"), F.when(lower, "high").otherwise("neg_low").alias("track"))
-    far = range_max(asked, candles).withColumnRenamed("rid", "observation_id")
+    far = range_max(asked, blocks or candles).withColumnRenamed("rid", "observation_id")
     edge = F.when(lower, F.col("largest")).otherwise(-F.col("largest"))
     peak = F.greatest(mirrored_pct(edge, F.col("wick_target"), F.col("direction_sign")), F.lit(0.0))
     now = F.greatest(mirrored_pct(F.col("entry_price"), F.col("wick_target"), F.col("direction_sign")), F.lit(0.0))
@@ -44,7 +44,7 @@ def observations(traced: DataFrame, candles: DataFrame, ages: Sequence[int]) ->
     )
 
 
-def touches(observed: DataFrame, candles: DataFrame, horizon_bars: int, thresholds: Sequence[float]) -> DataFrame:
+def touches(observed: DataFrame, candles: DataFrame | Blocks, horizon_bars: int, thresholds: Sequence[float]) -> DataFrame:
     """(observation_id, available_bars, target_bars, adverse_bars: threshold name -> bars): first touches within the largest horizon, NULL if none."""
     lower, sign = F.col("direction_sign") == 1, F.col("direction_sign")
     target = F.struct(F.lit("target").alias("what"), F.when(lower, "neg_low").otherwise("high").alias("track"), (-sign * F.col("wick_target")).alias("level"))
@@ -80,7 +80,7 @@ def outcome_totals(long: DataFrame) -> DataFrame:
     return long.groupBy("horizon_bars", "threshold_pct", "outcome").agg(F.count("*").alias("observations"))
 
 
-def adverse_bounds(observed: DataFrame, touched: DataFrame, candles: DataFrame, horizons: Sequence[int]) -> DataFrame:
+def adverse_bounds(observed: DataFrame, touched: DataFrame, candles: DataFrame | Blocks, horizons: Sequence[int]) -> DataFrame:
     """Long: per observation and horizon whether the target was hit and the largest adverse move before it.
 
     The lower bound leaves the touching bar out, the upper one counts it: within one bar the order is not known.

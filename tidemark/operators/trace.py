@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import SERIES
-from tidemark.operators.first_hit import first_hits
+from tidemark.operators.first_hit import Blocks, first_hits
 
 
 def series_length(candles: DataFrame) -> DataFrame:
@@ -21,9 +21,9 @@ def _requests(signals: DataFrame, fill_bars: int, departure_bars: int) -> DataFr
     return asked.select(F.struct("signal_id", "r.what").alias("rid"), *SERIES, F.col("bar_index").alias("after"), (F.col("bar_index") + F.col("r.bars")).alias("last"), "r.track", "r.level")
 
 
-def first_fill_and_departure(signals: DataFrame, candles: DataFrame, fill_bars: int, departure_bars: int | None = None) -> DataFrame:
-    """signals with series_bars, first_fill and first_departure: bar numbers within their caps, or NULL."""
-    hits = first_hits(_requests(signals, fill_bars, departure_bars or fill_bars), candles).select("rid.signal_id", "rid.what", "hit")
+def first_fill_and_departure(signals: DataFrame, candles: DataFrame, fill_bars: int, departure_bars: int | None = None, blocks: Blocks | None = None) -> DataFrame:
+    """signals with series_bars, first_fill and first_departure: bar numbers within their caps, or NULL. blocks: of the candles, if they are written."""
+    hits = first_hits(_requests(signals, fill_bars, departure_bars or fill_bars), blocks or candles).select("rid.signal_id", "rid.what", "hit")
     wide = hits.groupBy("signal_id").agg(F.max(F.when(F.col("what") == "fill", F.col("hit"))).alias("first_fill"), F.max(F.when(F.col("what") == "departure", F.col("hit"))).alias("first_departure"))
     return signals.join(series_length(candles), list(SERIES)).join(wide, "signal_id", "left")
 
@@ -37,12 +37,12 @@ def status(follow_up: int) -> Column:
     return F.when(early, "filled_before_departure").when(fill.isNotNull(), "filled").otherwise(open_)
 
 
-def trace(signals: DataFrame, candles: DataFrame, follow_up: int) -> DataFrame:
+def trace(signals: DataFrame, candles: DataFrame, follow_up: int, blocks: Blocks | None = None) -> DataFrame:
     """signals with status, departure_index and fill_index; both are NULL for early fills, the second unless filled.
 
     Two independent first hits are enough: a fill that comes after the first departure is the first fill after it.
     """
-    found = first_fill_and_departure(signals, candles, follow_up).withColumn("status", status(follow_up))
+    found = first_fill_and_departure(signals, candles, follow_up, blocks=blocks).withColumn("status", status(follow_up))
     left = F.col("status") != "filled_before_departure"
     return found.select(
         *signals.columns, "series_bars", "status", F.when(left, F.col("first_departure")).alias("departure_index"),

@@ -16,6 +16,7 @@ from tidemark.functions.columns import age_group, distance_group, rounded, terti
 from tidemark.functions.storage import run_dir, stored
 from tidemark.operators import evaluate, features, folds, knn, library, match, outcomes, panel, project, ranks, rollup, signals, stats, trace, walkforward
 from tidemark.operators import models as supervised
+from tidemark.operators.first_hit import Blocks, blocked
 from tidemark.plans import oracle as O
 from tidemark.plans.oracle import AGES, FEATURES, FOLLOW_UP, HORIZONS, MATCH_K, PANEL, THRESHOLDS, r, sql
 from tidemark.sources import candles as C
@@ -59,9 +60,9 @@ def relaxed(e: DataFrame) -> DataFrame:
     return signals.detect(e, 1, RELAXED)
 
 
-def traced(e: DataFrame) -> DataFrame:
+def traced(e: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Written, as everything below reads it more than once."""
-    return stored(trace.trace(relaxed(e), e, FOLLOW_UP), "traced")
+    return stored(trace.trace(relaxed(e), e, FOLLOW_UP, blocks), "traced")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -289,8 +290,9 @@ def snapshot_dataset(spark, d):
 
 # All outcomes
 
-def _observed(e: DataFrame) -> DataFrame:
-    return stored(outcomes.observations(traced(e), e, AGES), "observed")
+def _observed(e: DataFrame, blocks: Blocks | None = None) -> DataFrame:
+    blocks = blocks or blocked(e)
+    return stored(outcomes.observations(traced(e, blocks), e, AGES, blocks), "observed")
 
 
 _obs = ("observation_id", "signal_id", "entry_index", "age_bars", "entry_open_time", "departure_to_entry_bars")
@@ -306,9 +308,10 @@ def omission_counts(spark, d):
     return outcomes.omissions(traced(hourly(spark, d)), AGES)
 
 
-def _touched(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    o = _observed(e)
-    return o, stored(outcomes.touches(o, e, max(HORIZONS), THRESHOLDS), "touched")
+def _touched(e: DataFrame, blocks: Blocks | None = None) -> tuple[DataFrame, DataFrame]:
+    blocks = blocks or blocked(e)
+    o = _observed(e, blocks)
+    return o, stored(outcomes.touches(o, blocks, max(HORIZONS), THRESHOLDS), "touched")
 
 
 @query(sql("SELECT observation_id, available_bars, target_bars, " + ", ".join(f"adverse_{t:g}pct_bars" for t in THRESHOLDS) + " FROM touched"))
@@ -327,9 +330,9 @@ _bounds = _bounds_sql(r)
 
 @query(sql(_bounds))
 def horizon_adverse_bounds(spark, d):
-    e = hourly(spark, d)
-    o, t = _touched(e)
-    return outcomes.adverse_bounds(o, t, e, HORIZONS)
+    blocks = blocked(e := hourly(spark, d))
+    o, t = _touched(e, blocks)
+    return outcomes.adverse_bounds(o, t, blocks, HORIZONS)
 
 
 @query(sql("SELECT * FROM outcomes"))
@@ -824,9 +827,9 @@ _soft = {
 }
 
 
-def _soft_matched(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _soft_matched(e: DataFrame, blocks: Blocks | None = None) -> tuple[DataFrame, DataFrame]:
     """Observations of the last three days against those whose horizon had passed by then."""
-    o = _observed(e)
+    o = _observed(e, blocks)
     begin = F.broadcast(o.agg((F.max("signal_open_time") - 3 * DAY).alias("_begin")))
     both = o.crossJoin(begin)
     asked = both.where("signal_open_time >= _begin").withColumnRenamed("observation_id", "query_id").drop("_begin")
@@ -865,9 +868,10 @@ def neighbour_outcome_classes(spark, d):
 
 def _told_by(spark, d) -> tuple[DataFrame, DataFrame]:
     e = hourly(spark, d)
-    o, matched = _soft_matched(e)
-    t = stored(outcomes.touches(o, e, max(HORIZONS), THRESHOLDS), "touched")
-    bounds = stored(outcomes.adverse_bounds(o, t, e, HORIZONS), "bounds")
+    blocks = blocked(e)
+    o, matched = _soft_matched(e, blocks)
+    t = stored(outcomes.touches(o, blocks, max(HORIZONS), THRESHOLDS), "touched")
+    bounds = stored(outcomes.adverse_bounds(o, t, blocks, HORIZONS), "bounds")
     return knn.outcome_summary(matched.select("query_id", "observation_id"), bounds, outcomes.outcomes(t, HORIZONS, THRESHOLDS), t.select("observation_id", "target_bars"), _CLASSES)
 
 
@@ -959,8 +963,9 @@ def forecast_ledger(spark, d):
 @query()
 def supervised_forecast(spark, d):
     e = hourly(spark, d)
-    o, t = _touched(e)
-    bounds = outcomes.adverse_bounds(o, t, e, (6, 24))
+    blocks = blocked(e)
+    o, t = _touched(e, blocks)
+    bounds = outcomes.adverse_bounds(o, t, blocks, (6, 24))
     wide = bounds.groupBy("observation_id").agg(*(F.max(F.when((F.col("horizon_bars") == h) & (F.col("fully_observed") | F.col("target_hit")), x)).alias(f"{n}_{h}") for h in (6, 24) for n, x in (("hit", F.col("target_hit").cast("double")), ("adverse", (F.col("max_adverse_lower_pct") + F.col("max_adverse_upper_pct")) / 2))))
     found = features.of_observations(o, e, (6, 24), (3, 12), ("click", "error", "purchase", "signup", "view"))
     rows = stored(folds.chrono_split(o.select("observation_id", "signal_open_time").join(found, "observation_id").join(wide, "observation_id"), "signal_open_time"), "supervised")
