@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, hmm, langid, mixing, pii, quality, simhash, sketch, toxicity, urlfilter
+from tidemark.llm import decontaminate, hmm, langid, mixing, near, pii, quality, simhash, sketch, toxicity, urlfilter
 
 WORDS = {
     "en": "the of and that with from this have not they which there would their about into time water people under".split(),
@@ -423,6 +423,33 @@ def test_language_is_told_on_held_out_rows(spark, docs):
     assert got[1].rejected and got[2].lang_pred == got[3].lang_pred == "und" and got[4].lang_pred == "en" and not got[4].rejected
 
 
+def test_language_equals_a_plain_nearest_centroid(spark, docs):
+    model = langid.fit(docs.where("doc_id < 80"))
+
+    def grams(text):
+        held = " " + re.sub(" +", " ", "".join(c.lower() if ord(c) > 127 or c.isalpha() else " " for c in text)).strip() + " "
+        raw = held.encode()
+        return collections.Counter(((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 2654435761 % 2**32) * langid.DIMENSIONS >> 32 for k in range(len(raw) - 2))
+
+    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    sample = [grams(t) for i, (t, _) in texts.items() if i < 80]
+    idf = {g: math.log((1 + len(sample)) / (1 + sum(g in s for s in sample))) + 1 for g in set().union(*sample)}
+    assert all(model.idf[g] == pytest.approx(v, rel=1e-5) for g, v in idf.items())
+    # several centroids, each of unit length
+    assert len(model.owner) > len(model.languages) and np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4)
+    rows = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i, (text, _) in texts.items():
+        v = np.zeros(langid.DIMENSIONS)
+        for g, n in grams(text).items():
+            v[g] = (1 + math.log(n)) * model.idf[g]
+        cos = model.centroids @ (v / np.linalg.norm(v))
+        best = {lang: max(c for c, o in zip(cos, model.owner) if model.languages[o] == lang) for lang in model.languages}
+        top = max(best, key=best.get)
+        assert rows[i].lang_pred == top and rows[i].cosine == pytest.approx(best[top], abs=1e-5)
+        assert rows[i].score == pytest.approx(1 / sum(math.exp((b - best[top]) / langid.TEMPERATURE) for b in best.values()), abs=1e-3)
+        assert rows[i].rejected == (best[top] < model.floors[model.languages.index(top)])
+
+
 def _shingled(text):
     w = text.lower().split()
     return {tuple(w[max(0, k - 4) : k + 1]) for k in range(len(w))}
@@ -550,12 +577,22 @@ def test_odd_rows_have_results(spark, odd, labels):
     assert {r[1] for r in rows} == {"0" * 16} and {r[2] for r in rows} == {500}
     assert langid.keep_known(odd, langid.fit(odd)).columns == odd.columns == simhash.keep_one(odd).columns == mixing.mix(odd).columns == decontaminate.keep_clean(odd, items).columns
     decontaminate.find(odd, items).count()
+    captures = odd.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.lit("2024-01-01").alias("fetched_on"), F.lit(1).alias("host"), F.lit(1).alias("domain"))
+    entries = spark.createDataFrame([("x.org", None, "add", None), (None, None, None, None)], "domain string, category string, action string, day date")
+    assert urlfilter.judge(captures, entries).count() == n
+    assert near.keep_one(odd).columns == odd.columns
+    # repeated rows: the same again, and nothing else, for what looks at one row at a time
+    twice = odd.union(odd)
+    for make in (lambda d: pii.digest(pii.find(d)), lambda d: decontaminate.find(d, items), lambda d: simhash.run(d)):
+        once, again = (collections.Counter(map(str, make(d).collect())) for d in (odd, twice))
+        assert again == collections.Counter({k: 2 * c for k, c in once.items()})
 
 
 def test_empty_tables(spark, docs, labels):
     none, unlabelled = docs.limit(0), labels.limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
-    for df in (pii.digest(pii.find(none)), pii.redact(none), simhash.run(none), simhash.keep_one(none), hmm.run(none), langid.run(none), mixing.run(none), mixing.mix(none), sketch.edited_and_next(none), toxicity.run(none, unlabelled), quality.run(none, unlabelled), decontaminate.find(none, items)):
+    for df in (pii.digest(pii.find(none)), pii.redact(none), simhash.run(none), simhash.keep_one(none), hmm.run(none), langid.run(none), mixing.run(none), mixing.mix(none), sketch.edited_and_next(none), toxicity.run(none, unlabelled), quality.run(none, unlabelled), decontaminate.find(none, items), decontaminate.keep_clean(none, items), langid.keep_known(none, langid.fit(docs)), near.keep_one(none)):
         assert df.count() == 0
+    assert langid.keep_known(docs, langid.fit(none)).count() == 0 and decontaminate.keep_clean(docs, items).count() == docs.count()
     for df in (toxicity.run(docs, unlabelled), quality.run(docs, unlabelled)):
         assert df.count() == docs.count()

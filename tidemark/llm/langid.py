@@ -104,7 +104,12 @@ class Model:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Model:
-    """A model of the rows with a language and a text. Without any, the model knows no language and rejects all."""
+    """A model of the rows with a language and a text. Without any, the model knows no language and rejects all.
+
+    A repeated row counts as often as it stands, within its language's sample; an id with several texts or languages
+    gives a row of each. Equal hashes fall in the order of ids. Rows with a NULL id are not in the sample. Very long
+    texts are read whole; other columns are not looked at.
+    """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # ids are chosen first, so that no text but the sample's is moved; the choice has at most per_language rows a language
     chosen = smallest_by_hash(known.select("id", "lang"), "lang", per_language, "id").distinct()
@@ -139,7 +144,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, cosine, rejected), one row per input row; texts that are NULL or have no letter are `und` and rejected."""
+    """(id, lang_pred, score, cosine, rejected), one row per input row; texts that are NULL or have no letter are `und` and rejected.
+
+    Of languages equally near the one that comes first by name is taken. Repeated rows get equal results.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     held = Shipped(docs.sparkSession, model)
 
@@ -151,7 +159,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs, all columns kept, without the rows that the model rejects."""
+    """docs, all columns kept, without the rows that the model rejects: NULL texts, those without a letter, and those far from all languages.
+
+    Repeated rows stay or go together; an empty table stays empty.
+    """
     held = Shipped(docs.sparkSession, model)
     place = docs.columns.index(text_col)
 
@@ -168,5 +179,9 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 
 
 def run(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, cosine, rejected), one row per input row; learns from rows that are not held out.
+
+    A NULL id is not held out and teaches nothing. Only the text is looked at to predict.
+    """
     model = fit(docs.where(~held_out()))
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "cosine", "rejected")
