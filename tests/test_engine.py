@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import hashlib
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns
@@ -214,12 +216,18 @@ def test_ledger_and_manifest(spark, tmp_path):
     assert ledger.append_once(rows, f"{tmp_path}/l") == 2 and ledger.append_once(rows, f"{tmp_path}/l") == 0
     held = ledger.with_backfill(spark.read.parquet(f"{tmp_path}/l"), F.col("snapshot_ms") < 3, {"note": F.lit("late")})
     assert {(r.snapshot_ms, r.note) for r in held.collect()} == {(1, "late"), (2, "x")} and ledger.latest(held).first().snapshot_ms == 2
-    (tmp_path / "m").mkdir()
-    (tmp_path / "m/a.bin").write_bytes(b"1")
-    manifest.write(tmp_path / "m", "1", frozen=True)
-    manifest.verify(tmp_path / "m")
-    with pytest.raises(PermissionError):
-        manifest.write(tmp_path / "m", "2")
-    (tmp_path / "m/a.bin").write_bytes(b"2")
-    with pytest.raises(ValueError):
-        manifest.verify(tmp_path / "m")
+    folder, kept, log = (f"file://{tmp_path}/{n}" for n in ("m", "kept", "log"))
+    (tmp_path / "m/x").mkdir(parents=True)
+    (tmp_path / "m/x/a.bin").write_bytes(b"1")
+    (tmp_path / "m/b.bin").write_bytes(b"22")
+    found = {(r.file, r.bytes, r.sha256) for r in manifest.write(spark, folder, kept, "1").collect()}
+    assert found == {(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in (("x/a.bin", b"1"), ("b.bin", b"22"))}
+    manifest.verify(spark, folder, kept, "1")
+    with pytest.raises(AnalysisException):
+        manifest.write(spark, folder, kept, "1")
+    (tmp_path / "m/x/a.bin").write_bytes(b"2")
+    with pytest.raises(ValueError, match="x/a.bin"):
+        manifest.verify(spark, folder, kept, "1")
+    manifest.promote(spark, log, "1")
+    manifest.promote(spark, log, "2")
+    assert (manifest.in_use(spark, log), manifest.in_use(spark, log, 1)) == ("2", "1")

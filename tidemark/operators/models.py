@@ -39,6 +39,16 @@ def predict(rows: DataFrame, models: dict[str, PipelineModel], horizons: Sequenc
     return out.select(*rows.columns, *(up(chance, k).alias(f"chance_{h}") for k, h in enumerate(horizons)), *(up(loss, k).alias(f"adverse_forecast_{h}") for k, h in enumerate(horizons)))
 
 
+def save(models: dict[str, PipelineModel], path: str) -> None:
+    """Each model below `path`, in the shared file system."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/{name}")
+
+
+def load(path: str, horizons: Sequence[int]) -> dict[str, PipelineModel]:
+    return {name: PipelineModel.load(f"{path}/{name}") for h in horizons for name in (f"hit_{h}", f"adverse_{h}")}
+
+
 def ranges(calibration: DataFrame, horizon: int, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """One row: quantiles of the residuals of the adverse forecast on rows that no model was fitted to."""
     miss = F.col(f"adverse_{horizon}") - F.col(f"adverse_forecast_{horizon}")

@@ -1,47 +1,43 @@
-"""What an artifact is made of: files with their digests, and a promotion that cannot be seen half done."""
+"""What a stored table or model is made of: its files with their digests, taken on the executors, and the version in use."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
-from pathlib import Path
-
-
-def sha256(path: str | Path) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while part := f.read(1 << 20):
-            digest.update(part)
-    return digest.hexdigest()
-
-
-def write(folder: str | Path, version: str, frozen: bool = False) -> dict:
-    """Writes manifest.json over all files of a driver-side folder; a frozen one is never written again."""
-    folder = Path(folder)
-    target = folder / "manifest.json"
-    if target.exists() and json.loads(target.read_text()).get("frozen"):
-        raise PermissionError(f"{folder} is frozen")
-    files = {str(p.relative_to(folder)): sha256(p) for p in sorted(folder.rglob("*")) if p.is_file() and p != target}
-    found = {"version": version, "frozen": frozen, "files": files}
-    part = target.with_suffix(".tmp")
-    part.write_text(json.dumps(found, indent=2, sort_keys=True))
-    os.replace(part, target)
-    return found
-
-
-def verify(folder: str | Path) -> dict:
-    """The manifest, if every file is there and unchanged."""
-    folder = Path(folder)
-    found = json.loads((folder / "manifest.json").read_text())
-    wrong = [n for n, d in found["files"].items() if not (folder / n).is_file() or sha256(folder / n) != d]
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.sources.candles import ContractError
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, bytes, sha256) of all files below a folder of the shared file system; file is relative to it. One task reads one file at a time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    at = F.regexp_replace(F.lit(folder), "^[a-z0-9]+:/*", "/")
+    name = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^/+", "/")
+    return files.select(F.substring(name, F.length(F.regexp_replace(at, "/+$", "")) + 2, F.length(name)).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write(spark: SparkSession, folder: str, manifest: str, version: str) -> DataFrame:
+    """Writes the manifest of a folder beside it; a version that has one already is frozen, and writing it again is an error."""
+    digests(spark, folder).withColumn("version", F.lit(version)).coalesce(1).write.mode("error").parquet(f"{manifest}/{version}")
+    return spark.read.parquet(f"{manifest}/{version}")
+
+
+def verify(spark: SparkSession, folder: str, manifest: str, version: str) -> None:
+    """An error if a file of the manifest is missing or changed, or one has come."""
+    want = spark.read.parquet(f"{manifest}/{version}").select("file", F.col("sha256").alias("want"))
+    wrong = want.join(digests(spark, folder), "file", "full").where(~F.col("want").eqNullSafe(F.col("sha256"))).select("file").limit(5).collect()
     if wrong:
-        raise ValueError(f"changed or missing: {', '.join(wrong)}")
-    return found
+        raise ContractError(f"changed, missing or new: {', '.join(sorted(r.file for r in wrong))}")
+
+
+def promote(spark: SparkSession, log: str, version: str) -> None:
+    """Makes a version the one in use: one row more in a log, so what was in use before is known."""
+    spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(log)
 
 
-def promote(pointer: str | Path, target: str) -> None:
-    """Points readers to another versioned path in one step."""
-    part = Path(f"{pointer}.tmp")
-    part.write_text(target)
-    os.replace(part, pointer)
+def in_use(spark: SparkSession, log: str, steps_back: int = 0) -> str:
+    """The version promoted last, or `steps_back` promotions before it: what to promote again to roll back."""
+    rows = spark.read.parquet(log).orderBy(F.desc("at")).limit(steps_back + 1).collect()
+    if len(rows) <= steps_back:
+        raise ContractError("no such promotion")
+    return rows[steps_back].version

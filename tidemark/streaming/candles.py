@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from statistics import median
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,8 +120,8 @@ def append_in_order(path: str, interval_ms: int) -> Callable[[DataFrame, int], N
         spark = batch.sparkSession
         try:
             last = spark.read.parquet(path).groupBy(*SERIES).agg(F.max("open_time").alias("_last"))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             last = spark.createDataFrame([], "asset string, timeframe string, _last long")
         new = stored(batch.join(last, list(SERIES), "left").where(F.col("_last").isNull() | (F.col("open_time") > F.col("_last"))), "stream-batch")
