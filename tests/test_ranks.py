@@ -75,3 +75,15 @@ def test_samples_of_large_tables(spark):
     assert [r.id for r in folds.evenly_spaced(rows, 5, ["t"]).orderBy("t").collect()] == [999, 750, 500, 250, 0]
     found = folds.stratified_sample(rows, 21, ["kind"], ["t"]).groupBy("kind").count().collect()
     assert all(r["count"] == 3 for r in found) and len(found) == 7
+
+
+@pytest.mark.parametrize("local", [10, 1_000_000])
+def test_as_of_takes_the_last_value_strictly_before(spark, local):
+    rng = random.Random(9)
+    right = [(rng.choice("ab"), rng.randrange(0, 3000, 10), float(k)) for k in range(300)]
+    left = [(k, rng.choice(["a", "b", "c", None]), rng.randrange(0, 3000, 5)) for k in range(200)]
+    got = {r.id: r.v for r in ranks.as_of(spark.createDataFrame(left, "id long, s string, at long"), spark.createDataFrame(right, "s string, t long, v double"), ["s"], "at", "t", "v", "id", local).collect()}
+    assert len(got) == 200
+    for k, s, at in left:
+        earlier = [(t, v) for r, t, v in right if r == s and t < at]
+        assert got[k] == (max(earlier)[1] if earlier else None)

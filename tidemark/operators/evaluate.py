@@ -57,6 +57,24 @@ def pinball(value: Column, forecast: Column, q: float) -> Column:
     return F.greatest(q * (value - forecast), (q - 1) * (value - forecast))
 
 
+def value_shares(rows: DataFrame, column: str, *by: str) -> DataFrame:
+    """(by, column, n, share): how often each value stands, NULL values left out."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*(by or [F.lit(0)]))))
+
+
+def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, a, b) of two sets of predictions; an error where a key stands twice or only once."""
+    both = a.groupBy(key).agg(F.count("*").alias("_na"), F.max(value).alias("a")).join(b.groupBy(key).agg(F.count("*").alias("_nb"), F.max(value).alias("b")), key, "full")
+    single = (F.col("_na") == 1) & (F.col("_nb") == 1)
+    return both.where(F.when(F.coalesce(single, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("predictions do not pair")).cast("boolean"))).select(key, "a", "b")
+
+
+def by_mode(rows: DataFrame, key: str, mode: str, value: str, modes: Sequence[str]) -> DataFrame:
+    """One row per key with the smallest value of each mode as a column; keys that lack a mode are left out."""
+    return rows.groupBy(key).pivot(mode, list(modes)).agg(F.min(value)).dropna(subset=list(modes))
+
+
 def quantile_calibration(rows: DataFrame, actual: str, forecasts: dict[float, str], *by: str) -> DataFrame:
     """(by, n, coverage_<q> and pinball_<q> for every quantile, interval_coverage, median_error) of quantile forecasts."""
     qs = sorted(forecasts)

@@ -135,6 +135,16 @@ def context_reranked(base: DataFrame, features: DataFrame, query: DataFrame, sca
     return out.withColumn("place", place).where(F.col("place") <= k).select("query_id", key, "match_score", "context_score", "final_score", "place")
 
 
+def medoid(curves: DataFrame, key: str = "episode_id") -> DataFrame:
+    """One row: the curve with the least mean distance to the weighted mean curve, ties to the smaller key.
+
+    curves: (key, step, value, weight), long.
+    """
+    mean = curves.groupBy("step").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("_mean"))
+    far = curves.join(mean, "step").groupBy(key).agg(F.avg(F.abs(F.col("value") - F.col("_mean"))).alias("distance"))
+    return far.orderBy("distance", key).limit(1)
+
+
 def local_quantiles(near: DataFrame, qs: Sequence[float], value: str = "value") -> DataFrame:
     """Weighted quantiles of the neighbours' values, weights falling exponentially with distance in units of the median, never crossing."""
     from tidemark.operators.stats import weighted_quantile_linear

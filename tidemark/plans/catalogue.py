@@ -875,6 +875,41 @@ def _told_by(spark, d) -> tuple[DataFrame, DataFrame]:
     return knn.outcome_summary(matched.select("query_id", "observation_id"), bounds, outcomes.outcomes(t, HORIZONS, THRESHOLDS), t.select("observation_id", "target_bars"), _CLASSES)
 
 
+@query(sql("SELECT asset, status, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY asset) AS DOUBLE), 6) + 0.0 AS share FROM traced GROUP BY 1, 2"))
+def status_shares(spark, d):
+    return evaluate.value_shares(traced(hourly(spark, d)), "status", "asset")
+
+
+@query(sql(f"SELECT a.episode_id, {r('a.match_score', 'adaptive')}, {r('b.match_score', 'blended')}, {r('c.match_score', 'archetype')} FROM best_adaptive a JOIN best_blended b USING (episode_id) JOIN best_archetype c USING (episode_id)"))
+def scores_by_mode(spark, d):
+    s, modes = Study(spark, d), ("adaptive", "blended", "archetype")
+    rows = [s.best(m).select("episode_id", F.lit(m).alias("mode"), "match_score") for m in modes]
+    return evaluate.by_mode(rows[0].union(rows[1]).union(rows[2]), "episode_id", "mode", "match_score", modes)
+
+
+@query(sql(f"SELECT s.signal_id, {r('max_by(w.close, w.open_time)', 'close_before')} FROM relaxed s LEFT JOIN e w ON w.asset = s.asset AND w.open_time < s.open_time - {3 * HOUR} GROUP BY 1"))
+def close_before_signal(spark, d):
+    """The last close of the same series more than three hours before each signal, whatever gaps lie between."""
+    e = hourly(spark, d)
+    asked = relaxed(e).select("signal_id", "asset", "timeframe", (F.col("open_time") - 3 * HOUR).alias("at"))
+    return ranks.as_of(asked, e, ["asset", "timeframe"], "at", "open_time", "close", "signal_id").withColumnRenamed("close", "close_before")
+
+
+@query(sql(f"SELECT episode_id, {r('avg(abs(v - m))', 'distance')} FROM curves JOIN (SELECT step, sum(v * w) / sum(w) AS m FROM curves GROUP BY 1) USING (step) GROUP BY 1 ORDER BY avg(abs(v - m)), episode_id LIMIT 1",
+           curves="SELECT k.episode_id, p.offset_bars - k.offset_bars AS step, p.normalized_close_pct * k.scale AS v, 1.0 / (k.match_score + 0.2) AS w FROM cohort k JOIN paths p ON p.episode_id = k.episode_id AND p.offset_bars > k.offset_bars AND p.offset_bars <= k.offset_bars + 8"))
+def medoid_route(spark, d):
+    s = Study(spark, d)
+    chosen = s.cohort().select("episode_id", F.col("offset_bars").alias("_at"), "scale", (1.0 / (F.col("match_score") + 0.2)).alias("weight"))
+    rows = s.paths.join(chosen, "episode_id").where(F.col("offset_bars").between(F.col("_at") + 1, F.col("_at") + 8))
+    return project.medoid(rows.select("episode_id", (F.col("offset_bars") - F.col("_at")).alias("step"), (F.col("normalized_close_pct") * F.col("scale")).alias("value"), "weight"))
+
+
+@query(f"WITH x AS ({_scored}) SELECT event_id, round((score - label) * (score - label), 6) + 0.0 AS a, round(0.25, 6) + 0.0 AS b FROM x")
+def paired_predictions(spark, d):
+    rows = _scored_events(spark, d)
+    return evaluate.paired(rows.select("event_id", F.pow(F.col("score") - F.col("label"), 2).alias("v")), rows.select("event_id", F.lit(0.25).alias("v")), "event_id", "v")
+
+
 # Errors by group, calibration of quantiles, and a store that is read back
 
 @query(sql(f"SELECT age_group, distance_group, volatility_group, count(*) AS observations, {r('avg(now)', 'mean_distance')} FROM (SELECT now, CASE WHEN age_bars * 60 < 60 THEN 'under_1h' WHEN age_bars * 60 < 360 THEN '1h_6h' WHEN age_bars * 60 < 1440 THEN '6h_1d' ELSE '1d_7d' END AS age_group, CASE WHEN now < 1 THEN 'under_1pct' WHEN now < 3 THEN '1_3pct' WHEN now < 7 THEN '3_7pct' WHEN now < 15 THEN '7_15pct' WHEN now < 30 THEN '15_30pct' ELSE 'over_30pct' END AS distance_group, CASE WHEN k <= 1.0 / 3 THEN 'low' WHEN k <= 2.0 / 3 THEN 'middle' ELSE 'high' END AS volatility_group FROM (SELECT *, {O.average_pct_rank('drawdown_pct')} AS k FROM observed)) GROUP BY 1, 2, 3"))
