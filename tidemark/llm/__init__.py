@@ -1,4 +1,4 @@
-"""Training-data operators: one module for each of the ten, plus their registered queries.
+"""Training-data operators: one module for each, plus their registered queries.
 
 Nothing else in the library imports this package.
 """
