@@ -103,17 +103,23 @@ class Model:
         return names, score, cosine, rejected
 
 
+def sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """(id, lang, text), written: at most per_language rows of each language."""
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # ids are chosen first, so that no text but the sample's is moved; the choice has at most per_language rows a language
+    chosen = smallest_by_hash(known.select("id", "lang"), "lang", per_language, "id").distinct()
+    first = known.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return stored(first.select("id", "lang", "first.text"), "langid-sample")
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Model:
     """A model of the rows with a language and a text. Without any, the model knows no language and rejects all.
 
-    A repeated row counts as often as it stands, within its language's sample; an id with several texts or languages
-    gives a row of each. Equal hashes fall in the order of ids. Rows with a NULL id are not in the sample. Very long
+    An id gives one row of each of its languages, the text with the smallest hash, so the bound holds for rows too and
+    repeated rows count once. Equal hashes fall in the order of ids. Rows with a NULL id are not in the sample. Very long
     texts are read whole; other columns are not looked at.
     """
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # ids are chosen first, so that no text but the sample's is moved; the choice has at most per_language rows a language
-    chosen = smallest_by_hash(known.select("id", "lang"), "lang", per_language, "id").distinct()
-    sample = stored(known.join(F.broadcast(chosen), ["id", "lang"]), "langid-sample")
+    sample = sampled(labelled, id_col, text_col, lang_col, per_language)
 
     def frequency(pdf: pd.DataFrame) -> pd.DataFrame:
         seen = np.zeros(DIMENSIONS, np.int64)

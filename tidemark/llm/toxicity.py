@@ -174,14 +174,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of the labelled documents.
 
     Rows with a NULL id or label and labels without a document are left out. Repeated rows of either table count once;
-    an id with several texts gives an example of each, an id with both labels one of each label. Equal hashes fall in
+    an id with several texts gives one example, the text with the smallest hash, so the bound holds for rows too; an id
+    with both labels gives one of each label. Equal hashes fall in
     the order of ids. Without any example the model scores everything 0. Other columns are not looked at.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("label")).distinct()
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = smallest_by_hash(known, "label", per_label, "id")
-    # at most per_label rows of each of two labels
-    sample = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").distinct()
+    # at most per_label rows of each of two labels, also where an id has many texts
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    sample = texts.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("id", "label", "first.h", "first.text")
 
     def words(batches):
         for pdf in batches:
@@ -189,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"id": pdf.id, "label": pdf.label, "h": pdf.h, "terms": [list(c) for c in counts], "ns": [list(c.values()) for c in counts]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(sample.withColumn("h", F.xxhash64("text")).mapInPandas(words, f"id {kind}, label int, h long, terms array<string>, ns array<int>"), "toxic-examples")
+    rows = stored(sample.mapInPandas(words, f"id {kind}, label int, h long, terms array<string>, ns array<int>"), "toxic-examples")
     # the bounded sample
     held = rows.orderBy("id", "label", "h").collect()
     if not held:
