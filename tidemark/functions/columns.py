@@ -96,6 +96,22 @@ def distance_group(pct: Column) -> Column:
     return bucketed(pct, DISTANCE_EDGES, DISTANCE_LABELS)
 
 
+def age_bucket(bars: Column, buckets: Sequence[tuple[int, int, str]]) -> Column:
+    """The label of the closed interval (first, last, label) that an age lies in; an age in none is an error."""
+    out = F.raise_error(F.concat(F.lit("no bucket for the age "), F.coalesce(bars.cast("string"), F.lit("NULL")))).cast("string")
+    for first, last, label in reversed(buckets):
+        out = F.when(bars.between(first, last), label).otherwise(out)
+    return out
+
+
+def age_support(bars: Column, sampled: Sequence[int]) -> Column:
+    """(status, lower, upper): whether an age is one of those that were sampled, lies between two, or outside; unknown where none was."""
+    ages = F.array(*(F.lit(int(a)) for a in sorted({a for a in sampled if a > 0}))).cast("array<int>")
+    lower, upper = F.array_max(F.filter(ages, lambda a: a <= bars)), F.array_min(F.filter(ages, lambda a: a >= bars))
+    status = F.when(F.size(ages) == 0, "unknown").when(lower == upper, "exact_sampled_age").when(lower.isNotNull() & upper.isNotNull(), "between_sampled_ages").otherwise("outside_sampled_age")
+    return F.struct(status.alias("status"), lower.alias("lower"), upper.alias("upper"))
+
+
 def tertile(percent_rank: Column, labels: tuple[str, str, str] = ("low", "middle", "high")) -> Column:
     """Thirds of an average percent rank; both inner edges belong to the lower third."""
     return F.when(percent_rank <= 1 / 3, labels[0]).when(percent_rank <= 2 / 3, labels[1]).when(percent_rank.isNotNull(), labels[2])

@@ -90,28 +90,36 @@ def quantile_calibration(rows: DataFrame, actual: str, forecasts: dict[float, st
 _POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
 
 
+#: a multiplicative generator modulo a prime (fixed values): plain whole numbers, so that any engine can repeat the draws
+PRIME, FACTOR = 2**31 - 1, 48_271
+
+
+def draw_factors(draws: int) -> list[int]:
+    """By what an episode's number is multiplied in each draw."""
+    return [pow(FACTOR, k, PRIME) for k in range(1, draws + 1)]
+
+
 def paired_bootstrap(paired: DataFrame, episode: str, a: str, b: str, draws: int = 500, seed: int = 7) -> DataFrame:
     """Relative gain of b over a by episode-balanced means: estimate and 95 % interval from Poisson bootstrap weights.
 
-    Each episode draws its weights from its own hash, so reruns agree. A task sums its episodes for all draws at once;
-    no resample is laid out as rows.
+    Each episode draws its weights from a number that follows from its MD5, so reruns agree. A task sums its episodes
+    for all draws at once; no resample is laid out as rows.
     """
     per = paired.groupBy(episode).agg(F.avg(a).alias("a"), F.avg(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    factors = np.array(draw_factors(draws), np.int64)
 
     def summed(batches):
         total = np.zeros((draws + 1, 2))
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for piece in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
-                    h = piece.column(0).to_numpy().view(np.uint64)[:, None] + np.arange(draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    weight = np.searchsorted(_POISSON, (h >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
-                    weight[:, 0] = 1.0
-                    total += weight.T @ np.column_stack([piece.column(1).to_numpy(), piece.column(2).to_numpy()])
+        for batch in batches:
+            for piece in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
+                spot = (piece.column(0).to_numpy()[:, None] * factors[None] % PRIME) / float(PRIME)
+                weight = np.ones((len(spot), draws + 1))
+                weight[:, 1:] = np.searchsorted(_POISSON, spot, side="right")
+                total += weight.T @ np.column_stack([piece.column(1).to_numpy(), piece.column(2).to_numpy()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws + 1, dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], ["draw", "a", "b"])
 
-    sums = per.select(F.xxhash64(F.lit(seed), F.col(episode)).alias("h"), "a", "b").mapInArrow(summed, "draw int, a double, b double")
+    number = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(episode).cast("string")).cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(PRIME - 1)) + 1
+    sums = per.select(number.alias("h"), "a", "b").mapInArrow(summed, "draw int, a double, b double")
     gains = sums.groupBy("draw").agg((1.0 - F.try_divide(F.sum("b"), F.sum("a"))).alias("gain"))
     return gains.agg(F.max(F.when(F.col("draw") == 0, F.col("gain"))).alias("gain"), F.percentile(F.when(F.col("draw") > 0, F.col("gain")), 0.025).alias("low"), F.percentile(F.when(F.col("draw") > 0, F.col("gain")), 0.975).alias("high"))
 

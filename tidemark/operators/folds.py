@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import months_before
+from tidemark.functions.storage import stored
 from tidemark.operators.ranks import running
+from tidemark.sources.candles import ContractError
 
 
 def chrono_split(rows: DataFrame, time: str, train: float = 0.6, validate: float = 0.2) -> DataFrame:
@@ -80,5 +84,63 @@ def stratified_sample(rows: DataFrame, n: int, strata: Sequence[str | Column], o
     return taken.orderBy(F.desc("_hit"), *order).limit(n).drop(*keys, "_i", "_n", "_quota", "_hit")
 
 
+def spread(rows: DataFrame, most, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of each group at most `most` rows (a number or a column of the group), at even distances in the order, ends kept; one is the first."""
+    at = running(rows.withColumn("_most", most if isinstance(most, Column) else F.lit(most)), by, order).withColumnRenamed("_before", "_i").withColumnRenamed("_all", "_n")
+    m = F.least("_most", "_n")
+    k = F.ceil(F.try_divide(F.col("_i") * (m - 1), F.col("_n") - 1))
+    hit = F.when(m > 1, (F.floor(k * (F.col("_n") - 1) / (m - 1)) == F.col("_i")) & (k < m)).otherwise((m == 1) & (F.col("_i") == 0))
+    return at.where(F.when(F.col("_n") <= F.col("_most"), F.lit(True)).otherwise(hit)).drop("_most", "_i", "_n")
+
+
+def stratified_cap(rows: DataFrame, most: int, strata: Sequence[str], order: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """At most `most` rows: an equal quota of each stratum, evenly spaced, then evenly spaced ones of the rest until it is full.
+
+    key: columns that name a row. Where strata alone exceed the cap, what they chose is spaced once more.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    groups = rows.select(*strata).distinct().count()
+    chosen = stored(spread(rows, max(1, most // groups), strata, order), "cap-strata")
+    held = chosen.count()
+    if held > most:
+        return spread(chosen, most, [], order)
+    if held == most:
+        return chosen
+    rest = rows.join(chosen.select(*(F.col(c).alias(f"_k_{c}") for c in key)), reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key)), "left_anti")
+    return chosen.unionByName(spread(rest, most - held, [], order).select(*chosen.columns))
+
+
+def age_balanced_weights(rows: DataFrame, episode: str, bucket: str) -> DataFrame:
+    """rows with `weight`: every age bucket weighs alike, and in it every episode, whatever its number of rows; the mean weight is 1."""
+    per = rows.groupBy(bucket, episode).agg(F.count("*").alias("_rows"))
+    buckets = per.groupBy(bucket).agg(F.count("*").alias("_episodes"))
+    # the sum over a bucket is 1, so the mean follows from two counts
+    mean = buckets.agg(F.count("*").alias("_b")).crossJoin(rows.agg(F.count("*").alias("_n")))
+
+    def joined(left: DataFrame, right: DataFrame, *names: str) -> DataFrame:
+        other = right.select(*(F.col(c).alias(f"_{c}_") if c in names else F.col(c) for c in right.columns))
+        return left.join(other, reduce(and_, (F.col(f"_{c}_").eqNullSafe(F.col(c)) for c in names))).drop(*(f"_{c}_" for c in names))
+
+    both = joined(joined(rows, per, bucket, episode), buckets, bucket)
+    out = both.crossJoin(F.broadcast(mean)).withColumn("weight", 1.0 / (F.col("_rows") * F.col("_episodes")) / (F.col("_b") / F.col("_n")))
+    return out.drop("_rows", "_episodes", "_b", "_n")
+
+
+def require_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
+    """An error if a key stands in both: what is learnt from must not be asked about."""
+    both = a.select(key).join(b.select(key), key, "left_semi").limit(3).collect()
+    if both:
+        raise ContractError(f"in both parts: {', '.join(str(r[0]) for r in both)}")
+
+
+def require_known(rows: DataFrame, column: str, known: Sequence[str]) -> None:
+    """An error if a column holds another value than these; NULL is one."""
+    odd = rows.where(~F.coalesce(F.col(column).isin(*known), F.lit(False))).select(column).distinct().limit(3).collect()
+    if odd:
+        raise ContractError(f"unknown {column}: {', '.join(str(r[0]) for r in odd)}")
+
+
 def episode_weights(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(key)))

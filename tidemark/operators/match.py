@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import factor_distance, log_distance, single
-from tidemark.operators.ranks import LOCAL_ROWS, quantiles
+from tidemark.functions.columns import factor_distance, log_distance, ratio, single
+from tidemark.operators.crossing import best_of, block_counts, chunks, medians, meet
 from tidemark.operators.signals import FEATURES
 from tidemark.operators.stats import long, robust_scales
 
@@ -83,40 +85,64 @@ def scored_states(candidates: DataFrame, scores: DataFrame, live: DataFrame) ->
     return rows.withColumn("match_score", total).drop(*(f"q_{c}" for c in live.columns), "adaptive", "shape", "category", "elapsed_bars")
 
 
-def observation_scores(observed: DataFrame, queries: DataFrame, scales: DataFrame, blend: float = SHAPE_BLEND, pool_directions: bool = False, k: int = 40, isolated: str = "1m") -> DataFrame:
+def _shape_matrix(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
+    """`shape_distance` of each pair."""
+    least = lambda rows, c: np.maximum(rows[c].to_numpy(float), 1e-12)
+    off = lambda c: held[c].to_numpy(float)[None] - asked[c].to_numpy(float)[:, None]
+    total = sum((np.abs(off(c)) * 100.0 / s) ** 2 for c, s in SHAPE_POINTS.items())
+    total = total + sum((np.log(least(held, c)[None] / least(asked, c)[:, None]) / np.log(f)) ** 2 for c, f in SHAPE_FACTORS.items())
+    return np.sqrt((total + (off(FEATURES[-1]) / SHAPE_RETURN) ** 2) / (len(SHAPE_POINTS) + len(SHAPE_FACTORS) + 1))
+
+
+def observation_scores(observed: DataFrame, queries: DataFrame, scales: DataFrame, blend: float = SHAPE_BLEND, pool_directions: bool = False, k: int = 40, isolated: str = "1m", blocks: tuple[int, int] | None = None) -> DataFrame:
     """(query_id, observation_id, match_score, place) of the k closest observations of each query.
 
     Both tables have the seven features, series, direction and state columns; queries also query_id. Series of the
     timeframe `isolated` only meet their own asset, and directions their own unless pooled. Shape distances are brought
-    to the median of the feature distances over all that a query meets. Queries are a stated set, so each meets all
-    observations of its direction; of these every task keeps k.
+    to the median of the feature distances over all that a query meets. Observations that lack a feature match nothing.
+    Queries meet observations in blocks: once for the two medians, once for the scores, of which a task keeps k.
     """
     states = {"entry_distance_pct": "current_move_pct", "peak_distance_pct": "peak_move_pct", "drawdown_pct": "drawdown_pct", "age_bars": "elapsed_bars"}
     wanted = [*FEATURES, *states, "asset", "timeframe", "direction"]
-    asked = queries.select("query_id", *(F.col(c).alias(f"q_{c}") for c in wanted))
-    meets = (F.col("timeframe") != isolated) & (F.col("q_timeframe") != isolated) | (F.col("asset") == F.col("q_asset"))
-    if not pool_directions:
-        meets = meets & (F.col("direction") == F.col("q_direction"))
-    table = scales.groupBy().agg(*(F.max(F.when(F.col("name") == c, F.col("scale"))).alias(f"s_{c}") for c in FEATURES))
-    rows = observed.select("observation_id", *wanted).join(asked, meets).where(F.col("observation_id") != F.col("query_id")).crossJoin(F.broadcast(table))
-    feature = F.lit(0.0)
-    for c, w in FEATURE_WEIGHTS.items():
-        feature = feature + w * F.abs(F.col(c) - F.col(f"q_{c}")) / F.col(f"s_{c}")
-    state = F.lit(0.0)
-    for c, name in states.items():
-        w, floor = STATE_WEIGHTS[name]
-        state = state + w * log_distance(F.col(c).cast("double"), F.col(f"q_{c}").cast("double"), floor)
-    other = (F.col("asset") != F.col("q_asset")).cast("double") * CATEGORY_PENALTIES["asset"] * (1.0 - blend)
-    rows = rows.select("query_id", "observation_id", feature.alias("_feature"), shape_distance().alias("_shape"), (state + other).alias("_rest"))
-    if observed.count() <= LOCAL_ROWS:
-        # no query meets more
-        middle = rows.groupBy("query_id").agg(F.percentile("_feature", 0.5).alias("_mf"), F.percentile("_shape", 0.5).alias("_ms"))
-    else:
-        middle = quantiles(rows, ["query_id"], "_feature", [0.5]).withColumnRenamed("q0", "_mf").join(quantiles(rows, ["query_id"], "_shape", [0.5]).withColumnRenamed("q0", "_ms"), "query_id")
-    fair = F.col("_shape") * F.greatest("_mf", F.lit(1e-12)) / F.greatest("_ms", F.lit(1e-12))
-    scored = rows.join(middle, "query_id").select("query_id", "observation_id", (F.col("_rest") + FEATURE_SHARE * ((1.0 - blend) * F.col("_feature") + blend * fair)).alias("match_score"))
+    asked, held = queries.select("query_id", *wanted), observed.select("observation_id", *wanted)
+    blocks = blocks or block_counts(asked, held)
+    # one row per feature
+    units = {r.name: r.scale for r in scales.where(F.col("name").isin(*FEATURES)).collect()}
+
+    def met(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
+        same = lambda c: held[c].to_numpy()[None] == asked[c].to_numpy()[:, None]
+        out = same("asset") | ((held["timeframe"] != isolated).to_numpy()[None] & (asked["timeframe"] != isolated).to_numpy()[:, None])
+        return out & (held["observation_id"].to_numpy()[None] != asked["query_id"].to_numpy()[:, None]) & (True if pool_directions else same("direction"))
+
+    def both(asked: pd.DataFrame, held: pd.DataFrame) -> dict[str, np.ndarray]:
+        seen = met(asked, held)
+        feature = sum(w * np.abs(held[c].to_numpy(float)[None] - asked[c].to_numpy(float)[:, None]) / units[c] for c, w in FEATURE_WEIGHTS.items())
+        return {"feature": np.where(seen, feature, np.nan), "shape": np.where(seen, _shape_matrix(asked, held), np.nan)}
+
+    middle = medians(asked, held, both, ("feature", "shape"), blocks, candidate_id="observation_id")
+    middle = middle.groupBy("query_id").agg(*(F.greatest(F.max(F.when(F.col("name") == c, F.col("median"))), F.lit(1e-12)).alias(f"mid_{c}") for c in ("feature", "shape")))
+
+    def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out, ids = [], held["observation_id"].to_numpy()
+        for piece in chunks(asked, len(held)):
+            pair = both(piece, held)
+            rest = 0.0
+            for c, name in states.items():
+                w, floor = STATE_WEIGHTS[name]
+                log = lambda rows, c=c, floor=floor: np.log(np.maximum(rows[c].to_numpy(float), 0.0) + floor)
+                rest = rest + w * np.abs(log(held)[None] - log(piece)[:, None])
+            rest = rest + CATEGORY_PENALTIES["asset"] * (1.0 - blend) * (held["asset"].to_numpy()[None] != piece["asset"].to_numpy()[:, None])
+            fair = pair["shape"] * (piece["mid_feature"] / piece["mid_shape"]).to_numpy(float)[:, None]
+            score = rest + FEATURE_SHARE * ((1.0 - blend) * pair["feature"] + blend * fair)
+            rows, cols = best_of(ids, piece["query_id"].to_numpy(), score, k)
+            out.append(pd.DataFrame({"query_id": piece["query_id"].to_numpy()[rows], "observation_id": ids[cols], "match_score": score[rows, cols]}))
+        return pd.concat(out)
+
+    kind = lambda rows, c: rows.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(asked, 'query_id')}, observation_id {kind(held, 'observation_id')}, match_score double"
+    found = meet(asked.join(middle, "query_id"), held, nearest, schema, blocks, candidate_id="observation_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("match_score", "observation_id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    return found.withColumn("place", place).where(F.col("place") <= k)
 
 
 def best_alignments(scored: DataFrame) -> DataFrame:
@@ -139,7 +165,7 @@ def component_summary(matched: DataFrame) -> DataFrame:
 def near_clones(events: DataFrame, query: DataFrame, steps: tuple[tuple[float, float], ...] = ((0.05, 2.0), (0.03, 1.5), (0.01, 1.2))) -> DataFrame:
     """How many episodes remain under ever stricter tolerances: shape within a fraction of the range, context within a factor."""
     rows = _with_query(events, query)
-    alike = lambda c, f: F.coalesce((F.col(c) / F.col(f"q_{c}")).between(1 / f, f), F.lit(False))
+    alike = lambda c, f: F.coalesce(ratio(F.col(c), F.col(f"q_{c}")).between(1 / f, f), F.lit(False))
     counts = [F.count("*").alias("eligible")]
     for n, (points, factor) in enumerate(steps, 1):
         test = F.lit(True)

@@ -14,27 +14,30 @@ from pyspark.sql import functions as F
 
 
 def fit(rows: DataFrame, columns: Sequence[str], horizons: Sequence[int], trees: int = 20, seed: int = 17) -> dict[str, PipelineModel]:
-    """One forest per horizon for hit_<h> (0/1) and one boosted regressor for adverse_<h>; rows with a NULL target are left out of its model."""
+    """One forest per horizon for hit_<h> (0/1) and one boosted regressor for adverse_<h>; rows with a NULL target are left out of its model, and a target without rows has none."""
     vector = VectorAssembler(inputCols=list(columns), outputCol="_x")
     models = {}
+    targets = [f"{n}_{h}" for h in horizons for n in ("hit", "adverse")]
+    counts = rows.agg(*(F.count(t).alias(t) for t in targets)).first()
     for h in horizons:
         forest = RandomForestClassifier(featuresCol="_x", labelCol=f"hit_{h}", numTrees=trees, maxDepth=6, seed=seed, probabilityCol=f"_p_{h}", rawPredictionCol=f"_r_{h}", predictionCol=f"_c_{h}")
         # the absolute error, as large moves are few
         boosted = GBTRegressor(featuresCol="_x", labelCol=f"adverse_{h}", maxIter=trees, maxDepth=3, lossType="absolute", seed=seed, predictionCol=f"_a_{h}")
-        models[f"hit_{h}"] = Pipeline(stages=[vector, forest]).fit(rows.where(F.col(f"hit_{h}").isNotNull()))
-        models[f"adverse_{h}"] = Pipeline(stages=[vector, boosted]).fit(rows.where(F.col(f"adverse_{h}").isNotNull()))
+        for name, stage in ((f"hit_{h}", forest), (f"adverse_{h}", boosted)):
+            if counts[name]:
+                models[name] = Pipeline(stages=[vector, stage]).fit(rows.where(F.col(name).isNotNull()))
     return models
 
 
 def predict(rows: DataFrame, models: dict[str, PipelineModel], horizons: Sequence[int]) -> DataFrame:
-    """rows with chance_<h> and adverse_forecast_<h>, neither falling as the horizon grows."""
+    """rows with chance_<h> and adverse_forecast_<h>, neither falling as the horizon grows; NULL where there is no model."""
     out = rows
     for h in horizons:
-        for name in (f"hit_{h}", f"adverse_{h}"):
-            out = models[name].transform(out).drop("_x")
-    two = lambda h: F.coalesce(F.get(vector_to_array(f"_p_{h}"), 1), F.lit(0.0))
+        for name, column in ((f"hit_{h}", f"_p_{h}"), (f"adverse_{h}", f"_a_{h}")):
+            out = models[name].transform(out).drop("_x") if name in models else out.withColumn(column, F.lit(None).cast("double"))
+    two = lambda h: F.coalesce(F.get(vector_to_array(f"_p_{h}"), 1), F.lit(0.0)) if f"hit_{h}" in models else F.col(f"_p_{h}")
     chance = [two(h) for h in horizons]
-    loss = [F.greatest(F.col(f"_a_{h}"), F.lit(0.0)) for h in horizons]
+    loss = [F.when(F.col(f"_a_{h}").isNotNull(), F.greatest(F.col(f"_a_{h}"), F.lit(0.0))) for h in horizons]
     up = lambda values, k: F.greatest(*values[: k + 1]) if k else values[0]
     return out.select(*rows.columns, *(up(chance, k).alias(f"chance_{h}") for k, h in enumerate(horizons)), *(up(loss, k).alias(f"adverse_forecast_{h}") for k, h in enumerate(horizons)))
 

@@ -23,7 +23,11 @@ def projected_moves(matched: DataFrame, live: DataFrame) -> DataFrame:
 
     live: one row with current_move_pct and direction_sign.
     """
-    rows = matched.crossJoin(F.broadcast(single(live.select(F.col("current_move_pct").alias("q_move"), F.col("direction_sign").alias("q_sign")), "live state")))
+    return projected_by_query(matched.crossJoin(F.broadcast(single(live.select(F.col("current_move_pct").alias("q_move"), F.col("direction_sign").alias("q_sign")), "live state"))))
+
+
+def projected_by_query(rows: DataFrame) -> DataFrame:
+    """As `projected_moves`, for matches that carry their own live state in q_move and q_sign."""
     scale = F.try_divide(F.col("q_move"), F.col("current_move_pct"))
     far = F.greatest(F.col("future_peak_move_pct"), F.lit(0.0))
     rows = rows.withColumn("scale", scale).withColumn("historical_future_pct", far).withColumn("projected_future_pct", F.greatest(far * scale, F.lit(0.0)))
@@ -31,12 +35,12 @@ def projected_moves(matched: DataFrame, live: DataFrame) -> DataFrame:
     return rows.withColumn("projected_adverse_pct", loss).drop("q_move", "q_sign")
 
 
-def _cohort(projected: DataFrame) -> DataFrame:
-    """The k matches with their joint rank, its percentile and the distance to the cohort's middle. Small by construction: at most k rows."""
+def _cohort(projected: DataFrame, keys: Sequence) -> DataFrame:
+    """The k matches of each query with their joint rank, its percentile and the distance to the cohort's middle. Small by construction: at most k rows."""
     rows = projected.withColumn("_duration", F.log1p(F.col("remaining_bars").cast("double"))).withColumn("_move", F.col("projected_future_pct"))
-    joint = DURATION_WEIGHT * average_percent_rank(F.col("_duration"), (F.lit(0),)) + MOVE_WEIGHT * average_percent_rank(F.col("_move"), (F.lit(0),))
-    rows = rows.withColumn("joint_risk", F.round(joint, 12)).withColumn("match_percentile", average_percent_rank(F.col("match_score"), (F.lit(0),)))
-    every = Window.partitionBy(F.lit(0))
+    joint = DURATION_WEIGHT * average_percent_rank(F.col("_duration"), keys) + MOVE_WEIGHT * average_percent_rank(F.col("_move"), keys)
+    rows = rows.withColumn("joint_risk", F.round(joint, 12)).withColumn("match_percentile", average_percent_rank(F.col("match_score"), keys))
+    every = Window.partitionBy(*keys)
     rows = rows.withColumn("joint_percentile", F.cume_dist().over(every.orderBy("joint_risk")))
     for c in ("_duration", "_move"):
         rows = rows.withColumn(f"{c}_mid", F.percentile(c, 0.5).over(every)).withColumn(f"{c}_sd", F.stddev_pop(c).over(every))
@@ -46,15 +50,16 @@ def _cohort(projected: DataFrame) -> DataFrame:
     return rows.withColumn("cohort", F.count(F.lit(1)).over(every)).withColumns({"fast_score": near(FAST), "normal_score": off("_duration") + off("_move") + MIDDLE_RANK_SHARE * F.col("match_percentile"), "extreme_score": near(EXTREME)})
 
 
-def scenarios(projected: DataFrame, least: int = LEAST_COHORT) -> DataFrame:
-    """Three different episodes: near the lower quarter of joint risk, in the middle, and near its upper tenth. No rows for a cohort below `least`.
+def scenarios(projected: DataFrame, least: int = LEAST_COHORT, by: Sequence[str] = ()) -> DataFrame:
+    """Three different episodes, for each `by` where given: near the lower quarter of joint risk, in the middle, and near its upper tenth. No rows for a cohort below `least`.
 
     They are chosen in this order, each among what is left; ties go to the better match. Ranking everyone three times
     and excluding by rank does it in one pass: a name takes the first row that no earlier name took.
     """
-    rows = _cohort(projected).where(F.col("cohort") >= least)
+    keys = [F.col(c) for c in by] or [F.lit(0)]
+    rows = _cohort(projected, keys).where(F.col("cohort") >= least)
     names = ("fast", "normal", "extreme")
-    every = Window.partitionBy(F.lit(0))
+    every = Window.partitionBy(*keys)
     for n in names:
         rows = rows.withColumn(f"_{n}", F.row_number().over(every.orderBy(F.round(f"{n}_score", 12), "match_score", "episode_id")))
     fast = F.col("_fast") == 1
@@ -66,7 +71,7 @@ def scenarios(projected: DataFrame, least: int = LEAST_COHORT) -> DataFrame:
     name = F.when(fast, "fast").when(F.col("_is_normal"), "normal").when(F.col("_extreme") == first, "extreme")
     tail = F.sum(F.lit(1)).over(every.orderBy(F.desc("joint_risk")).rangeBetween(Window.unboundedPreceding, 0)) / F.col("cohort")
     return rows.withColumn("scenario", name).withColumn("tail_share", tail).where("scenario IS NOT NULL").select(
-        "scenario", "episode_id", "asset", "timeframe", "direction", "offset_bars", "remaining_bars", "current_move_pct", "future_peak_move_pct", "scale",
+        *by, "scenario", "episode_id", "asset", "timeframe", "direction", "offset_bars", "remaining_bars", "current_move_pct", "future_peak_move_pct", "scale",
         "projected_future_pct", "projected_adverse_pct", "joint_risk", "joint_percentile", "tail_share", "match_score", "cohort",
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import SERIES
+from tidemark.functions.columns import SERIES, ratio
 from tidemark.operators.first_hit import Blocks, first_hits
 
 
@@ -76,6 +76,6 @@ def open_signals(traced: DataFrame, candles: DataFrame, latest: int = 400, most:
     newest = Window.partitionBy(*SERIES).orderBy(F.desc("open_time"), "signal_id")
     now = candles.groupBy(*SERIES).agg(F.max_by("close", "bar_index").alias("last_close"))
     live = traced.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= latest).drop("_n").join(now, list(SERIES))
-    move = F.col("direction_sign") * (F.col("last_close") / F.col("wick_target") - 1.0) * 100.0
+    move = F.col("direction_sign") * (ratio(F.col("last_close"), F.col("wick_target")) - 1.0) * 100.0
     kept = live.where(F.col("departure_index").isNotNull() & F.col("fill_index").isNull()).withColumn("current_move_pct", move).where("current_move_pct > 0")
     return kept.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most).select("signal_id", *SERIES, "direction", "status", "current_move_pct", F.col("_n").alias("newest_rank"))

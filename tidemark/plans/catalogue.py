@@ -381,10 +381,15 @@ def observation_features(spark, d):
     return found.select("observation_id", "log_age_minutes", "log_entry_distance", "log_peak_distance", "entry_range_pct", "entry_body_pct", "signal_to_entry_return", "upper_wick")
 
 
-def _fingerprint_sql() -> str:
+def _fingerprint_tables() -> dict[str, str]:
     views = (("pre", "greatest(signal_index - 24, 0)", "greatest(signal_index - 1, 0)", 12), ("recent", "greatest(entry_index - 11, 0)", "entry_index", 12), ("episode", "signal_index", "entry_index", 16))
     points = " UNION ALL ".join(f"SELECT observation_id, asset, wick_target, direction_sign, '{v}' AS view, k AS point, k = {0 if v == 'episode' else n - 1} AS anchor, CAST(round_even({a} + k * (greatest({a}, {b}) - {a}) / {n - 1}.0, 0) AS BIGINT) AS bar_index FROM observed, (SELECT unnest(generate_series(0, {n - 1})) AS k)" for v, a, b, n in views)
-    return sql(f"SELECT observation_id, view, CAST(point AS INT) AS point, {r('v - max(CASE WHEN anchor THEN v END) OVER (PARTITION BY observation_id, view)', 'value')} FROM valued", points=points, valued=f"SELECT p.observation_id, p.view, p.point, p.anchor, {O._pct('c.close', 'greatest(p.wick_target, 1e-12)', 'p.direction_sign')} AS v FROM points p JOIN e c USING (asset, bar_index)")
+    valued = f"SELECT p.observation_id, p.view, p.point, p.anchor, {O._pct('c.close', 'greatest(p.wick_target, 1e-12)', 'p.direction_sign')} AS v FROM points p JOIN e c USING (asset, bar_index)"
+    return {"points": points, "valued": valued, "printed": "SELECT observation_id, view, CAST(point AS INT) AS point, v - max(CASE WHEN anchor THEN v END) OVER (PARTITION BY observation_id, view) AS value FROM valued"}
+
+
+def _fingerprint_sql() -> str:
+    return sql(f"SELECT observation_id, view, point, {r('value')} FROM printed", **_fingerprint_tables())
 
 
 @query(_fingerprint_sql())
@@ -405,10 +410,11 @@ def future_curves(spark, d):
     return features.future_curve(p, library.states(p, library.episodes(t, e)).where("candidate"), (1, 3, 8))
 
 
-@query(sql("SELECT vec_id, 2 * size(embedding) AS width, " + r("list_sum(embedding) * 2.0 + list_sum(embedding) * 0.5", "total") + " FROM vectors").replace("2 * size(embedding)", "CAST(2 * len(embedding) AS INT)"))
+@query(sql("SELECT vec_id, CAST(len(embedding) AS INT) AS width, " + r("list_sum(CAST(embedding[1:8] AS DOUBLE[])) * 2.0 + list_sum(CAST(embedding[9:] AS DOUBLE[])) * 0.5", "total") + " FROM vectors"))
 def composed_vectors(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
-    both = rows.select("vec_id", features.composed({"state": "v", "context": "v", "pre": "v"}, {"state": 2.0, "context": 0.5}).alias("v"))
+    """The first eight values as the state, the others as its context, each with its weight; a block without one is left out."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("v", F.transform("embedding", lambda x: x.cast("double"))).select("vec_id", F.slice("v", 1, 8).alias("s"), F.slice("v", F.lit(9), F.size("v")).alias("c"))
+    both = rows.select("vec_id", features.composed({"state": "s", "context": "c", "pre": "s"}, {"state": 2.0, "context": 0.5}).alias("v"))
     return both.select("vec_id", F.size("v").alias("width"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
@@ -736,8 +742,9 @@ DAY = 24 * HOUR
 
 def _folds(spark, d) -> tuple[DataFrame, DataFrame]:
     e = hourly(spark, d)
-    span = e.agg(F.min("open_time").alias("a"), F.max("close_time").alias("b")).first()
-    return e, folds.rolling_folds(spark, span.a, span.b + 1, 5 * DAY, 3 * DAY, 3 * DAY, DAY)
+    span = e.agg(F.min("open_time").alias("a"), F.coalesce(F.max("close_time"), F.lit(-1)).alias("b")).first()
+    # without candles there is no fold
+    return e, folds.rolling_folds(spark, span.a or 0, span.b + 1, 5 * DAY, 3 * DAY, 3 * DAY, DAY)
 
 
 _fold_sql = {"span": "SELECT min(open_time) AS a, max(close_time) + 1 AS b FROM e", "folds": f"SELECT CAST(k AS INT) AS fold, a + {5 * DAY} + k * {3 * DAY} AS test_start, a + {5 * DAY} + k * {3 * DAY} + {3 * DAY} AS test_end FROM span, (SELECT unnest(generate_series(0, 4000)) AS k) WHERE a + {5 * DAY} + k * {3 * DAY} + {3 * DAY} <= b - {DAY}"}
@@ -761,14 +768,14 @@ LEAST_TRAIN, NEIGHBOURS = 40, 25
 _log = {"log_range_vs_prior_20_median": "range_vs_prior_20_median", "log_volume_vs_prior_20_mean": "volume_vs_prior_20_mean"}
 
 
-def _walk_sql() -> str:
+def _walk_sql(final: str) -> str:
     names = list(walkforward.FEATURE_WEIGHTS)
     source = lambda n: f"ln(r.{_log[n]})" if n in _log else f"r.{n}"
     clean = "coalesce(p.fill_bars <= 24, false) AND coalesce(p.departure_bars <= 24, false) AND p.departure_bars < p.fill_bars"
     hits = f"SELECT s.signal_id, min(CASE WHEN {O._TOUCH} THEN c.bar_index END) - s.bar_index AS fill_bars, min(CASE WHEN {O._LEAVE} THEN c.bar_index END) - s.bar_index AS departure_bars FROM relaxed s LEFT JOIN e c ON c.asset = s.asset AND c.bar_index > s.bar_index AND c.bar_index <= s.bar_index + 48 GROUP BY s.signal_id, s.bar_index"
     far = " + ".join(f"pow((q.{n} - h.{n}) / s.s_{n} * {w}, 2)" for n, w in walkforward.FEATURE_WEIGHTS.items()) + "".join(f" + CASE WHEN q.{c} <> h.{c} THEN {p * p} ELSE 0 END" for c, p in walkforward.CATEGORY_PENALTIES.items())
     return sql(
-        f"SELECT fold, n_train, count(*) AS n_test, {r('avg(label)', 'positive_rate')}, {r('avg(pow(score - label, 2))', 'brier')}, {r('avg(pow(base - label, 2))', 'base_brier')}, {r('1.0 - avg(pow(score - label, 2)) / nullif(avg(pow(base - label, 2)), 0)', 'skill')} FROM (SELECT fold, query_id, label, n_train, base, sum(y / (d + 0.2)) / sum(1.0 / (d + 0.2)) AS score FROM nearest GROUP BY ALL) GROUP BY 1, 2",
+        final,
         hits=hits,
         cases=f"SELECT r.signal_id, r.asset, r.timeframe, r.direction, r.open_time, k.close_time + 1 AS known_ms, CAST(({clean}) AS DOUBLE) AS label, {', '.join(f'{source(n)} AS {n}' for n in names)} FROM relaxed r JOIN hits p USING (signal_id) JOIN e k ON k.asset = r.asset AND k.bar_index = r.bar_index + 24",
         **_fold_sql,
@@ -779,18 +786,51 @@ def _walk_sql() -> str:
         mads=f"SELECT l.fold, {', '.join(f'quantile_cont(abs(l.{n} - c.c_{n}), 0.5) * 1.4826 AS m_{n}' for n in names)} FROM learnt l JOIN centers c ON c.fold = l.fold GROUP BY 1",
         spans=f"SELECT c.fold, {', '.join(f'CASE WHEN m_{n} > 1e-12 THEN m_{n} WHEN d_{n} > 1e-12 THEN d_{n} ELSE 1.0 END AS s_{n}' for n in names)} FROM centers c JOIN mads m ON m.fold = c.fold",
         nearest=f"SELECT q.fold, q.signal_id AS query_id, q.label, z.n_train, z.base, h.label AS y, sqrt({far}) AS d FROM asked q JOIN sizes z ON z.fold = q.fold JOIN learnt h ON h.fold = q.fold JOIN spans s ON s.fold = q.fold QUALIFY row_number() OVER (PARTITION BY q.fold, q.signal_id ORDER BY sqrt({far}), h.signal_id) <= {NEIGHBOURS}",
+        predicted="SELECT fold, query_id, label, n_train, base, sum(y / (d + 0.2)) / sum(1.0 / (d + 0.2)) AS score FROM nearest GROUP BY ALL",
     )
 
 
-@query(_walk_sql())
-def walk_forward_knn(spark, d):
-    """Per fold: forecasts of a clean departure and fill within 24 bars, scaled by and learnt from what was known when the window began."""
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    """Forecasts of a clean departure and fill within 24 bars, scaled by and learnt from what was known when each window began."""
     e, f = _folds(spark, d)
     signals_ = relaxed(e)
     known = e.select("asset", "timeframe", (F.col("bar_index") - 24).alias("bar_index"), (F.col("close_time") + 1).alias("known_ms"))
     labelled = panel.labels(signals_, e, PANEL).select("signal_id", F.col("clean_24b").cast("double").alias("label"))
     rows = signals_.join(labelled, "signal_id").join(known, ["asset", "timeframe", "bar_index"]).withColumns({n: F.ln(c) for n, c in _log.items()}).withColumnRenamed("signal_id", "id")
-    return walkforward.fold_metrics(walkforward.predict(stored(rows, "forward"), f, NEIGHBOURS, LEAST_TRAIN))
+    return walkforward.predict(stored(rows, "forward"), f, NEIGHBOURS, LEAST_TRAIN)
+
+
+@query(_walk_sql(f"SELECT fold, n_train, count(*) AS n_test, {r('avg(label)', 'positive_rate')}, {r('avg(pow(score - label, 2))', 'brier')}, {r('avg(pow(base - label, 2))', 'base_brier')}, {r('1.0 - avg(pow(score - label, 2)) / nullif(avg(pow(base - label, 2)), 0)', 'skill')} FROM predicted GROUP BY 1, 2"))
+def walk_forward_knn(spark, d):
+    return walkforward.fold_metrics(_predicted(spark, d))
+
+
+@query(_walk_sql(f"SELECT fold || '/' || query_id AS case_id, {r('pow(base - label, 2)', 'a')}, {r('pow(score - label, 2)', 'b')} FROM predicted"))
+def paired_predictions(spark, d):
+    """The squared error of the base rate beside that of the neighbours' forecast, case by case."""
+    rows = stored(_predicted(spark, d), "predicted").withColumn("case_id", F.concat_ws("/", "fold", "query_id"))
+    error = lambda c: rows.select("case_id", F.pow(F.col(c) - F.col("label"), 2).alias("v"))
+    return evaluate.paired(error("base_score"), error("score"), "case_id", "v")
+
+
+DRAWS = 200
+
+
+def _bootstrap_sql() -> str:
+    factors = ", ".join(f"({k}, {f})" for k, f in enumerate(evaluate.draw_factors(DRAWS), 1))
+    weight = " + ".join(f"CAST(spot >= {p!r} AS INT)" for p in evaluate._POISSON)
+    return _walk_sql(
+        f"SELECT {r('max(CASE WHEN draw = 0 THEN gain END)', 'gain')}, {r('quantile_cont(CASE WHEN draw > 0 THEN gain END, 0.025)', 'low')}, {r('quantile_cont(CASE WHEN draw > 0 THEN gain END, 0.975)', 'high')} FROM (SELECT draw, 1.0 - sum(w * b) / sum(w * a) AS gain FROM (SELECT 0 AS draw, 1 AS w, a, b FROM per UNION ALL SELECT draw, {weight}, a, b FROM (SELECT draw, a, b, (h * f % {evaluate.PRIME}) / {evaluate.PRIME}.0 AS spot FROM per, (VALUES {factors}) t(draw, f))) GROUP BY 1)"
+        .replace("FROM per", "FROM (SELECT query_id, CAST('0x' || substr(md5('7:' || query_id), 1, 12) AS BIGINT) % " + str(evaluate.PRIME - 1) + " + 1 AS h, avg(pow(base - label, 2)) AS a, avg(pow(score - label, 2)) AS b FROM predicted GROUP BY 1) per")
+    )
+
+
+@query(_bootstrap_sql())
+def paired_bootstrap(spark, d):
+    """How much better the neighbours' forecast is than the base rate, and how sure that is."""
+    rows = stored(_predicted(spark, d), "predicted")
+    error = lambda c: F.pow(F.col(c) - F.col("label"), 2)
+    return evaluate.paired_bootstrap(rows.withColumns({"a": error("base_score"), "b": error("score")}), "query_id", "a", "b", DRAWS)
 
 
 # the table's days stand for months here: one holds 24 * 30 hours
@@ -904,12 +944,6 @@ def medoid_route(spark, d):
     return project.medoid(rows.select("episode_id", (F.col("offset_bars") - F.col("_at")).alias("step"), (F.col("normalized_close_pct") * F.col("scale")).alias("value"), "weight"))
 
 
-@query(f"WITH x AS ({_scored}) SELECT event_id, round((score - label) * (score - label), 6) + 0.0 AS a, round(0.25, 6) + 0.0 AS b FROM x")
-def paired_predictions(spark, d):
-    rows = _scored_events(spark, d)
-    return evaluate.paired(rows.select("event_id", F.pow(F.col("score") - F.col("label"), 2).alias("v")), rows.select("event_id", F.lit(0.25).alias("v")), "event_id", "v")
-
-
 # Errors by group, calibration of quantiles, and a store that is read back
 
 @query(sql(f"SELECT age_group, distance_group, volatility_group, count(*) AS observations, {r('avg(now)', 'mean_distance')} FROM (SELECT now, CASE WHEN age_bars * 60 < 60 THEN 'under_1h' WHEN age_bars * 60 < 360 THEN '1h_6h' WHEN age_bars * 60 < 1440 THEN '6h_1d' ELSE '1d_7d' END AS age_group, CASE WHEN now < 1 THEN 'under_1pct' WHEN now < 3 THEN '1_3pct' WHEN now < 7 THEN '3_7pct' WHEN now < 15 THEN '7_15pct' WHEN now < 30 THEN '15_30pct' ELSE 'over_30pct' END AS distance_group, CASE WHEN k <= 1.0 / 3 THEN 'low' WHEN k <= 2.0 / 3 THEN 'middle' ELSE 'high' END AS volatility_group FROM (SELECT *, {O.average_pct_rank('drawdown_pct')} AS k FROM observed)) GROUP BY 1, 2, 3"))
@@ -958,35 +992,28 @@ def episode_weights(spark, d):
     return folds.episode_weights(_observed(hourly(spark, d)), "signal_id").select("observation_id", "weight")
 
 
-@query()
-def paired_bootstrap(spark, d):
-    rows = _scored_events(spark, d).withColumn("a", F.pow(F.col("score") - F.col("label"), 2)).withColumn("b", F.col("a") * 0.9)
-    return evaluate.paired_bootstrap(rows, "user_id", "a", "b")
-
-
 # Streams, the ledger and supervised models
 
-def _streamed(spark: SparkSession, e: DataFrame) -> DataFrame:
-    """e as a stream of three batches, one after the other in time."""
-    path = f"{run_dir(spark)}/source-{uuid.uuid4().hex}"
+def _streamed(spark: SparkSession, e: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `work` makes of e as a stream: three parts come one after the other in time, and the query is started anew for each."""
+    root = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     span = e.agg(F.min("open_time").alias("a"), F.max("open_time").alias("b")).first()
     third = ((span.b or 0) - (span.a or 0)) // 3 + 1
     for k in range(3):
         begin = (span.a or 0) + k * third
-        e.where(F.col("open_time").between(begin, begin + third - 1)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        e.where(F.col("open_time").between(begin, begin + third - 1)).write.mode("append").parquet(f"{root}/in")
+        out = stream.run_available(spark, work(spark.readStream.schema(e.schema).parquet(f"{root}/in")), root)
+    return out
 
 
 @query(sql(f"SELECT asset, timeframe, bucket AS open_time, {_ohlc}, bars FROM (SELECT asset, timeframe, open_time // {4 * HOUR} * {4 * HOUR} AS bucket, arg_min(open, open_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time) AS close, sum(volume) AS volume, count(*) AS bars FROM e GROUP BY 1, 2, 3) WHERE bucket + {4 * HOUR} <= (SELECT max(open_time) FROM e) - {HOUR}"))
 def stream_rollup(spark, d):
-    out = stream.rollup(_streamed(spark, hourly(spark, d)), "4 hours", "1 hour")
-    return stream.run_available(spark, out, f"{run_dir(spark)}/stream-{uuid.uuid4().hex}")
+    return _streamed(spark, hourly(spark, d), lambda rows: stream.rollup(rows, "4 hours", "1 hour"))
 
 
 @query(sql("SELECT asset, timeframe, signal_id, status, bar_index, departure_index, fill_index FROM traced WHERE status <> 'right_censored'"))
 def stream_trace(spark, d):
-    out = stream.follow(_streamed(spark, hourly(spark, d)), FOLLOW_UP, 1, RELAXED)
-    return stream.run_available(spark, out, f"{run_dir(spark)}/stream-{uuid.uuid4().hex}")
+    return _streamed(spark, hourly(spark, d), lambda rows: stream.follow(rows, FOLLOW_UP, 1, RELAXED))
 
 
 @query(sql("SELECT asset, timeframe, signal_id, status, open_time AS snapshot_ms FROM traced"))
@@ -1012,3 +1039,7 @@ def supervised_forecast(spark, d):
     models = supervised.fit(rows.where("part = 'train'"), found.columns[1:], (6, 24))
     scored = supervised.predict(rows.where("part <> 'train'"), models, (6, 24))
     return scored.select("observation_id", "part", "chance_6", "chance_24", "adverse_forecast_6", "adverse_forecast_24")
+
+
+# the rest of the queries registers itself here
+from tidemark.plans import research  # noqa: E402, F401
