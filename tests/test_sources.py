@@ -220,3 +220,47 @@ def test_short_windows_are_padded_in_front(spark):
     row = spark.range(1).select(windows.raw_window(bars, 5, F.lit(10.0), F.lit(1), F.lit(2.0), F.lit(1)).alias("w")).first().w
     assert [p.present for p in row] == [0, 0, 1, 1, 1] and [p.after_signal for p in row] == [0, 0, 0, 1, 1] and row[2].change == 0 and row[3].change == pytest.approx(np.log(1.1) * 100)
     assert stats.MAD_TO_STD == 1.4826
+
+
+def test_more_columns_and_most_bars(spark, tmp_path):
+    open(f"{tmp_path}/a.csv", "w").write("open_time,open,high,low,close,volume,close_time,q,n,b,t,i\n" + "".join(f"{k * 60_000},1,2,0.5,1.5,{k},{k * 60_000 + 59_999},{k * 2},3,4,5,0\n" for k in range(9)))
+    from tidemark.sources import candles as C
+
+    got = C.read_csv(spark, f"{tmp_path}/a.csv", "A", "1m", 60_000, begin_ms=60_000, more=["quote_asset_volume", "number_of_trades"], most=3)
+    assert [(r.bar_index, r.quote_asset_volume, r.number_of_trades) for r in got.orderBy("bar_index").collect()] == [(0, 2.0, 3), (1, 4.0, 3), (2, 6.0, 3)]
+
+
+def test_reports(spark, tmp_path):
+    import gzip
+    import json
+
+    from tidemark.sources import reports
+
+    rows = spark.createDataFrame([(1, float("nan"), "x"), (2, float("inf"), None), (3, 0.5, "y")], "k int, v double, s string").coalesce(1)
+    for _ in range(2):
+        reports.write_json(rows, f"{tmp_path}/j")
+        reports.write_csv(rows, f"{tmp_path}/c")
+    (one,), (two,) = list((tmp_path / "j").glob("part*")), list((tmp_path / "c").glob("*.csv.gz"))
+    assert [json.loads(x) for x in one.read_text().splitlines()] == [{"k": 1, "v": None, "s": "x"}, {"k": 2, "v": None, "s": None}, {"k": 3, "v": 0.5, "s": "y"}]
+    assert gzip.decompress(two.read_bytes()).decode().splitlines()[0] == "k,v,s"
+
+
+def test_states_that_cannot_be_observed(spark):
+    from tidemark.operators import library
+
+    schema = "asset string, direction string, elapsed_bars double, current_move_pct double, peak_move_pct double, drawdown_pct double, volume_ratio_to_signal double"
+    good = ("A", "lower_wick", 3.0, 1.0, 2.0, 1.0, 0.5)
+    row = library.observable_state(spark.createDataFrame([good], schema), ["A", "B"]).first()
+    assert row.elapsed_log_bars == pytest.approx(np.log(4)) and (row.asset_A, row.asset_B, row.direction_is_lower) == (1, 0, 1)
+    for at, value, name in ((0, "C", "asset"), (1, None, "direction"), (2, -1.0, "elapsed_bars"), (3, 0.0, "current_move_pct"), (4, float("nan"), "peak_move_pct"), (5, -0.1, "drawdown_pct"), (6, None, "volume_ratio_to_signal")):
+        with pytest.raises(Exception, match=f"not an observable state: {name}"):
+            library.observable_state(spark.createDataFrame([(*good[:at], value, *good[at + 1 :])], schema), ["A", "B"]).collect()
+
+
+def test_too_few_neighbours_are_an_error(spark):
+    from tidemark.operators import knn
+
+    found = spark.createDataFrame([("q", k) for k in range(3)], "query_id string, place int")
+    assert knn.require_k(found, 3).count() == 3
+    with pytest.raises(Exception, match="fewer neighbours than wanted: q"):
+        knn.require_k(found, 4).collect()

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.storage import stored
 from tidemark.operators import stats
 
+#: of the regression that combines chances
+PENALTY = 0.05
+
 
 def fit_forest(rows: DataFrame, columns: Sequence[str], target: str, trees: int = 30, depth: int = 6, least_rows: int = 10, seed: int = 17) -> PipelineModel | None:
     """A regression forest of rows that have the target; None where there are none."""
@@ -144,7 +147,9 @@ def _filled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_stack(rows: DataFrame, systems: Mapping[str, Sequence[str]], targets: Mapping[str, str], group: str, support: Sequence[str] = (), folds: int = 3, trees: int = 10, depth: int = 5, rounds: int = 10, seed: int = 17) -> Stack:
-    """Base models of all rows, and a boosted model per target over out-of-fold forecasts (and support columns), each group weighing one.
+    """Base models of all rows, and a model per target over out-of-fold forecasts (and support columns), each group weighing one.
+
+    Chances are combined by a penalised logistic regression, amounts by boosted trees of the absolute error.
 
     targets: name -> chance (0/1) or amount. A target without rows has no model; one with a single value is forecast
     by its base models alone.
@@ -158,9 +163,13 @@ def fit_stack(rows: DataFrame, systems: Mapping[str, Sequence[str]], targets: Ma
         learnt = _filled(weighted.where(F.col(target).isNotNull()), columns)
         if learnt.select(target).distinct().limit(2).count() < 2:
             continue
-        shared = {"featuresCol": "_x", "labelCol": target, "maxIter": rounds, "maxDepth": 3, "stepSize": 0.1, "minInstancesPerNode": 10, "seed": seed, "weightCol": "_weight", "predictionCol": "_y"}
-        boosted = GBTClassifier(**shared).setProbabilityCol("_p").setRawPredictionCol("_r") if kind == "chance" else GBTRegressor(lossType="absolute", **shared)
-        meta[target] = Pipeline(stages=[vector, boosted]).fit(learnt)
+        shared = {"featuresCol": "_x", "labelCol": target, "weightCol": "_weight", "predictionCol": "_y"}
+        if kind == "chance":
+            # few inputs that are chances already: a penalised regression keeps them calibrated where trees would not
+            top = LogisticRegression(regParam=PENALTY, probabilityCol="_p", rawPredictionCol="_r", **shared)
+        else:
+            top = GBTRegressor(lossType="absolute", maxIter=rounds, maxDepth=2, stepSize=0.1, minInstancesPerNode=25, seed=seed, **shared)
+        meta[target] = Pipeline(stages=[vector, top]).fit(learnt)
     base = _base(rows.withColumn("_weight", row_weights(rows, group)), systems, targets, trees, depth, seed)
     return Stack(base, meta, tuple(support))
 

@@ -113,6 +113,13 @@ def first_of_groups(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("_n", F.row_number().over(by_group)).where("_n = 1").drop("_n", "place").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def require_k(found: DataFrame, k: int) -> DataFrame:
+    """found, with an error when it is read if a query in it has fewer than k neighbours."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    few = F.raise_error(F.concat(F.lit("fewer neighbours than wanted: "), F.col("query_id").cast("string"))).cast("boolean")
+    return found.withColumn("_n", n).where(F.when(F.col("_n") < k, few).otherwise(F.lit(True))).drop("_n")
+
+
 def search_depth(k: int, least: int = 512) -> int:
     """How far to look before groups are made distinct; fewer than k groups can come out."""
     return max(8 * k, least)

@@ -62,6 +62,25 @@ def states(path_rows: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def observable_state(rows: DataFrame, assets: Sequence[str]) -> DataFrame:
+    """Live states as a model reads them, one row each; a state that could not be observed is an error when it is read.
+
+    rows: (asset, direction, elapsed_bars, current_move_pct, peak_move_pct, drawdown_pct, volume_ratio_to_signal, ..).
+    Every number is finite, ages, drawdowns and volumes are not negative, and the price stands away from the target.
+    """
+    numbers = ("elapsed_bars", "current_move_pct", "peak_move_pct", "drawdown_pct", "volume_ratio_to_signal")
+    value = lambda c: F.col(c).cast("double")
+    wrong = F.when(~F.coalesce(F.col("asset").isin(*assets), F.lit(False)), "asset").when(~F.coalesce(F.col("direction").isin("upper_wick", "lower_wick"), F.lit(False)), "direction")
+    for c in numbers:
+        wrong = wrong.when(value(c).isNull() | F.isnan(value(c)) | (F.abs(value(c)) == float("inf")), c)
+    wrong = wrong.when(value("elapsed_bars") < 0, "elapsed_bars").when(value("current_move_pct") <= 0, "current_move_pct").when(value("drawdown_pct") < 0, "drawdown_pct").when(value("volume_ratio_to_signal") < 0, "volume_ratio_to_signal")
+    kept = rows.withColumn("_wrong", wrong).where(F.when(F.col("_wrong").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not an observable state: "), F.col("_wrong"))).cast("boolean")))
+    return kept.select(
+        F.log1p(value("elapsed_bars")).alias("elapsed_log_bars"), F.log1p(value("volume_ratio_to_signal")).alias("log_volume_ratio_to_signal"), *(value(c).alias(c) for c in ("current_move_pct", "peak_move_pct", "drawdown_pct")),
+        *((F.col("asset") == a).cast("double").alias(f"asset_{a}") for a in assets), (F.col("direction") == "lower_wick").cast("double").alias("direction_is_lower"),
+    )
+
+
 # Fixed values of the grid: ages in bars up to which every bar and every fifth one is kept, and every fifteenth beyond.
 EXACT_BARS, MIDDLE_BARS, MIDDLE_STEP, FAR_STEP = 240, 1440, 5, 15
 

@@ -157,6 +157,37 @@ def top(best: DataFrame, k: int) -> DataFrame:
     return best.orderBy("match_score", "episode_id").limit(k)
 
 
+# The weights of the first pass, which knows neither departures nor the range against the close.
+FIRST_PASS_WEIGHTS = {"body_pct_of_range": 0.8, "dominant_wick_pct_of_range": 0.8, "opposite_wick_pct_of_range": 0.8, "range_vs_prior_20_median": 0.6, "volume_vs_prior_20_mean": 0.6, "prior_1h_return_pct": 0.4}
+
+
+def first_pass(path_rows: DataFrame, episodes: DataFrame, query: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """(episode_id, offset_bars, remaining_bars, close_move_pct, peak_move_pct, score): the k closest episodes, each at its best bar.
+
+    Any bar before the fill on the far side of the target counts, also before the departure; the peak is that of all
+    four prices. A feature that an episode lacks adds nothing. query and live: one row each.
+    """
+    names = list(FIRST_PASS_WEIGHTS)
+    plain = lambda df: df.withColumn("prior_1h_return_pct", F.col("aligned_prior_1h_return_pct") * F.col("direction_sign"))
+    events = plain(episodes).select("episode_id", "signal_to_fill_bars", *names)
+    scales = robust_scales(long(events, names), "raw").groupBy().agg(*(F.max(F.when(F.col("name") == c, F.col("scale"))).alias(f"s_{c}") for c in names))
+    rows = _with_query(events, plain(query).select(*names)).crossJoin(F.broadcast(scales))
+    feature = F.lit(0.0)
+    for c, w in FIRST_PASS_WEIGHTS.items():
+        feature = feature + F.coalesce(w * F.abs(F.col(c) - F.col(f"q_{c}")) / F.col(f"s_{c}"), F.lit(0.0))
+    four = [F.col(f"normalized_{c}_pct") for c in ("open", "high", "low", "close")]
+    route = Window.partitionBy("episode_id").orderBy("offset_bars").rowsBetween(Window.unboundedPreceding, 0)
+    bars = path_rows.select("episode_id", "offset_bars", F.col("normalized_close_pct").alias("current_move_pct"), F.max(F.greatest(*four)).over(route).alias("peak_move_pct"))
+    met = bars.join(rows.select("episode_id", "signal_to_fill_bars", feature.alias("_feature")), "episode_id").where("offset_bars < signal_to_fill_bars AND current_move_pct > 0")
+    met = _with_query(met.withColumns({"drawdown_pct": F.col("peak_move_pct") - F.col("current_move_pct"), "elapsed_bars": F.col("offset_bars").cast("double")}), live.select(*STATE_WEIGHTS))
+    score = FEATURE_SHARE * F.col("_feature")
+    for c, (w, floor) in STATE_WEIGHTS.items():
+        score = score + w * log_distance(F.col(c), F.col(f"q_{c}"), floor)
+    told = F.struct("offset_bars", (F.col("signal_to_fill_bars") - F.col("offset_bars")).alias("remaining_bars"), F.col("current_move_pct").alias("close_move_pct"), "peak_move_pct", "score")
+    best = met.withColumn("score", score).groupBy("episode_id").agg(F.min_by(told, F.struct("score", "offset_bars")).alias("b"))
+    return best.select("episode_id", "b.*").orderBy("score", "episode_id").limit(k)
+
+
 def component_summary(matched: DataFrame) -> DataFrame:
     """Mean, median and 90th percentile of each part of the score."""
     return long(matched, COMPONENTS).groupBy("name").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.9).alias("p90"))

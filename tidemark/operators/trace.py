@@ -50,11 +50,15 @@ def trace(signals: DataFrame, candles: DataFrame, follow_up: int, blocks: Blocks
     )
 
 
-def trace_capped(signals: DataFrame, candles: DataFrame, departure_bars: int, fill_bars: int) -> DataFrame:
+def trace_capped(signals: DataFrame, candles: DataFrame, departure_bars: int | None, fill_bars: int | None) -> DataFrame:
     """Separate caps: the departure within `departure_bars` of the signal, the fill within `fill_bars` of the departure, nothing early.
 
-    status: filled_before_departure, no_departure, unfilled or filled.
+    None is no cap but the end of the series. status: filled_before_departure, no_departure, unfilled or filled.
     """
+    if departure_bars is None or fill_bars is None:
+        # no series is longer
+        whole = (candles.agg(F.max("bar_index")).first()[0] or 0) + 1
+        departure_bars, fill_bars = whole if departure_bars is None else departure_bars, whole if fill_bars is None else fill_bars
     found = first_fill_and_departure(signals, candles, departure_bars)
     early = F.col("first_fill").isNotNull() & (F.col("first_departure").isNull() | (F.col("first_fill") <= F.col("first_departure")))
     left = found.where(~early & F.col("first_departure").isNotNull()).withColumn("_from", F.col("first_departure"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import age_bucket, age_support
 from tidemark.functions.storage import run_dir, stored
-from tidemark.operators import features, folds, forests, library, match, outcomes, replay, retrieval, stats, support, variants, windows
+from tidemark.operators import features, folds, forests, library, match, outcomes, replay, retrieval, stats, support, trace, variants, windows
 from tidemark.plans import catalogue as cat
 from tidemark.plans import oracle as O
 from tidemark.plans.catalogue import query
@@ -173,7 +173,8 @@ def forest_quantiles(spark, d):
     # what is learnt from had ended before the first moment that is asked about
     rows = stored(folds.chrono_split(moments.withColumns(logs).join(episodes.select("episode_id", "fill_close_ms"), "episode_id"), "snapshot_ms", 0.7, 0.0), "forest-rows")
     first = F.broadcast(rows.where("part = 'test'").agg(F.min("snapshot_ms").alias("_first")))
-    train, asked = rows.where("part = 'train'").crossJoin(first).where("fill_close_ms <= _first").drop("_first"), rows.where("part = 'test'")
+    # in a fixed order, as trees draw their samples by it
+    train, asked = stored(rows.where("part = 'train'").crossJoin(first).where("fill_close_ms <= _first").drop("_first").orderBy("query_id"), "forest-train"), rows.where("part = 'test'")
     out = None
     for target in logs:
         model = forests.fit_forest(train, _TREE_COLUMNS, target)
@@ -200,7 +201,7 @@ def stacked_forecast(spark, d):
     rows = o.select("observation_id", "signal_id", "signal_open_time", "entry_close_time").join(facts, "observation_id").join(views, "observation_id").join(known, "observation_id", "left")
     rows = stored(folds.chrono_split(rows, "signal_open_time", 0.7, 0.0), "stack-rows")
     first = F.broadcast(rows.where("part = 'test'").agg(F.min("signal_open_time").alias("_first")))
-    train = stored(rows.where("part = 'train'").crossJoin(first).where(F.col("entry_close_time") + 12 * cat.HOUR <= F.col("_first")).drop("_first"), "stack-train")
+    train = stored(rows.where("part = 'train'").crossJoin(first).where(F.col("entry_close_time") + 12 * cat.HOUR <= F.col("_first")).drop("_first").orderBy("observation_id"), "stack-train")
     systems = {"facts": facts.columns[1:], "views": [*facts.columns[1:], *views.columns[1:]]}
     targets = {"hit": "chance", "adverse": "amount"}
     stack = forests.fit_stack(train, systems, targets, "signal_id", folds=2)
@@ -388,3 +389,37 @@ def event_props(spark, d):
     """Properties that stand as JSON in a column, parsed and grouped by."""
     rows = spark.read.parquet(f"{d}/events.parquet").withColumn("p", F.from_json("props", "k long"))
     return rows.groupBy("event_type", (F.col("p.k") % 10).alias("digit")).agg(F.count("*").alias("events"), F.avg("value").alias("mean_value"))
+
+
+# The first pass over routes, and traces without caps
+
+_first_pass_features = {n: ("{}.aligned_prior_1h_return_pct * {}.direction_sign" if n == "prior_1h_return_pct" else f"{{}}.{n}") for n in match.FIRST_PASS_WEIGHTS}
+
+
+def _first_pass_sql() -> str:
+    log = lambda a, b, f: f"abs(ln((greatest({a}, 0.0) + {f}) / (greatest({b}, 0.0) + {f})))"
+    feature = " + ".join(f"coalesce({w} * abs(e.{n} - ({_first_pass_features[n].format('q', 'q')})) / z_{n}.scale, 0.0)" for n, w in match.FIRST_PASS_WEIGHTS.items())
+    state = " + ".join(f"{w} * {log(a, b, f)}" for (w, f), a, b in zip(match.STATE_WEIGHTS.values(), ("p.move", "p.peak", "p.peak - p.move", "CAST(p.offset_bars AS DOUBLE)"), ("l.current_move_pct", "l.peak_move_pct", "l.drawdown_pct", "l.elapsed_bars")))
+    return sql(
+        f"SELECT episode_id, offset_bars, remaining_bars, {r('move', 'close_move_pct')}, {r('peak', 'peak_move_pct')}, {r('score')} FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY score, offset_bars) = 1) ORDER BY score, episode_id LIMIT 25",
+        named=f"SELECT e.episode_id, {', '.join(f'{x.format("e", "e")} AS {n}' for n, x in _first_pass_features.items())} FROM known e",
+        **{f"z_{n}": O.robust("named", n, "raw") for n in match.FIRST_PASS_WEIGHTS},
+        passed="SELECT episode_id, offset_bars, signal_to_fill_bars - offset_bars AS remaining_bars, normalized_close_pct AS move, max(greatest(normalized_open_pct, normalized_high_pct, normalized_low_pct, normalized_close_pct)) OVER (PARTITION BY episode_id ORDER BY offset_bars) AS peak FROM paths",
+        scored=f"SELECT p.*, {state} + 0.5 * ({feature}) AS score FROM passed p JOIN named e USING (episode_id), q, live l, {', '.join(f'z_{n}' for n in match.FIRST_PASS_WEIGHTS)} WHERE remaining_bars > 0 AND move > 0",
+    )
+
+
+@query(_first_pass_sql())
+def first_pass_analogues(spark, d):
+    s = cat.Study(spark, d)
+    return match.first_pass(s.paths, s.known, s.query, s.live, 25)
+
+
+@query(sql(
+    "SELECT signal_id, CASE WHEN early THEN 'filled_before_departure' WHEN d IS NULL THEN 'no_departure' WHEN g IS NULL THEN 'unfilled' ELSE 'filled' END AS status, CASE WHEN NOT early THEN d END AS departure_index, CASE WHEN NOT early THEN g END AS fill_index FROM (SELECT x.*, (SELECT min(c.bar_index) FROM e c WHERE c.asset = x.asset AND c.bar_index > x.d AND ((x.direction_sign = 1 AND c.low <= x.wick_target) OR (x.direction_sign = -1 AND c.high >= x.wick_target))) AS g FROM hits x)",
+    hits=f"SELECT *, f IS NOT NULL AND (d IS NULL OR f <= d) AS early FROM (SELECT s.signal_id, s.asset, s.direction_sign, s.wick_target, min(CASE WHEN {O._TOUCH} THEN c.bar_index END) AS f, min(CASE WHEN {O._LEAVE} THEN c.bar_index END) AS d FROM relaxed s LEFT JOIN e c ON c.asset = s.asset AND c.bar_index > s.bar_index GROUP BY 1, 2, 3, 4)",
+))
+def trace_without_caps(spark, d):
+    """Departures and fills however late they come."""
+    e = cat.hourly(spark, d)
+    return trace.trace_capped(cat.relaxed(e), e, None, None).select("signal_id", "status", "departure_index", "fill_index")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,14 +27,19 @@ class ContractError(ValueError):
     """The data break a rule that everything downstream relies on."""
 
 
-def read_csv(spark: SparkSession, path: str | list[str], asset: str, timeframe: str, interval_ms: int, begin_ms: int | None = None, end_ms: int | None = None, header: bool = True, check: bool = True) -> DataFrame:
-    """Candles of one series from CSV (also compressed, also many files). Numbers must parse; times may be cut to [begin, end)."""
-    rows = spark.read.schema(RAW).csv(path, header=header, mode="FAILFAST").select(*COLUMNS)
+def read_csv(spark: SparkSession, path: str | list[str], asset: str, timeframe: str, interval_ms: int, begin_ms: int | None = None, end_ms: int | None = None, header: bool = True, check: bool = True, more: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """Candles of one series from CSV (also compressed, also many files). Numbers must parse; times may be cut to [begin, end).
+
+    more: further columns of RAW that are kept, such as quote and taker volumes; most: only so many bars, the earliest.
+    """
+    rows = spark.read.schema(RAW).csv(path, header=header, mode="FAILFAST").select(*COLUMNS, *more)
     if begin_ms is not None:
         rows = rows.where(F.col("open_time") >= begin_ms)
     if end_ms is not None:
         rows = rows.where(F.col("open_time") < end_ms)
-    out = rows.select(F.lit(asset).alias("asset"), F.lit(timeframe).alias("timeframe"), F.lit(interval_ms // 60_000).alias("interval_minutes"), *COLUMNS)
+    if most is not None:
+        rows = rows.orderBy("open_time").limit(most)
+    out = rows.select(F.lit(asset).alias("asset"), F.lit(timeframe).alias("timeframe"), F.lit(interval_ms // 60_000).alias("interval_minutes"), *COLUMNS, *more)
     if check:
         require_contract(out, interval_ms)
     return with_index(out, interval_ms)
