@@ -81,7 +81,7 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("n", (0, 1, 2, 8, 9, 65, 600))
+@pytest.mark.parametrize("n", (0, 1, 9, 600))
 def test_manifest(spark, n):
     rows = made(n) + (ODD if n > 60 else [])
     got = merkle.run(table(spark, rows))
