@@ -596,3 +596,37 @@ def test_empty_tables(spark, docs, labels):
     assert langid.keep_known(docs, langid.fit(none)).count() == 0 and decontaminate.keep_clean(docs, items).count() == docs.count()
     for df in (toxicity.run(docs, unlabelled), quality.run(docs, unlabelled)):
         assert df.count() == docs.count()
+
+
+def test_url_lists_hold_for_domains_above_most_hosts(spark, monkeypatch):
+    rng = random.Random(3)
+    tops, middles = ["com", "com", "com", "org"], ["a", "a", "b", "bad", "co"]
+    pages = [(i, f"https://h{rng.randint(0, 60)}.{rng.choice(middles)}.{rng.choice(tops)}/x", f"2024-0{rng.randint(1, 6)}-1{rng.randint(0, 9)}") for i in range(900)]
+    log = [("a.com", "ads", "add", "2024-02-03"), ("a.com", "ads", "remove", "2024-04-15"), ("bad.com", "spam", "add", "2024-01-01"), ("bad.org", None, "add", "2024-03-12"), ("h7.a.com", "spam", "add", "2024-01-15"), ("org", "closed", "add", "2024-06-01"), ("net", "closed", "add", "2024-01-01")]
+    entries = spark.createDataFrame(log, "domain string, category string, action string, day string").withColumn("day", F.col("day").cast("date"))
+
+    def holds(domain, day):
+        found = {}
+        for d, category, action, since in sorted(log, key=lambda e: e[3]):
+            if d == domain and since <= day:
+                found[category] = action == "add"
+        return {c or "unknown" for c, on in found.items() if on}
+
+    want = {}
+    for page, url, day in pages:
+        parts = url.split("/")[2].split(".")
+        held = {d: holds(d, day) for d in (".".join(parts[k:]) for k in range(len(parts)))}
+        listed = [d for d in held if held[d]]
+        want[page] = (bool(listed), max(listed, key=len, default=""), ",".join(sorted(set().union(*held.values()))))
+    asked = spark.createDataFrame(pages, "page_id long, url string, fetched_on string")
+    for share in (3, 40, urlfilter.HOT_SHARE):
+        monkeypatch.setattr(urlfilter, "HOT_SHARE", share)
+        got = {r.page_id: (r.blocked, r.domain, r.categories) for r in urlfilter.judge(asked, entries).collect()}
+        assert got == want
+    hosts = spark.createDataFrame([(f"h{k}", "2024-01-01", d) for k in range(500) for d in (f"h{k}.com", "com", "org")], "host string, _day string, domain string")
+    spans = spark.createDataFrame([("org", 1), ("h3.com", 2)], "domain string, n int")
+    monkeypatch.setattr(urlfilter, "HOT_SHARE", 30)
+    dealt, places = urlfilter._spread(hosts, spans)
+    assert dealt.where("domain = 'com'").count() == 0 and dealt.where("domain = 'org'").count() == 500
+    assert dealt.groupBy("domain", "_place").count().agg(F.max("count")).first()[0] < 100
+    assert places.where("domain = 'org'").count() == 10 and places.where("domain = 'h3.com'").count() == 1

@@ -7,6 +7,11 @@ only.
 
 Distinct hosts and days are matched, not captures, so a host with very many captures is spread over its days and
 costs one row for each; captures meet the result by host and day in a join with nothing after it, which AQE can split.
+
+A domain near the top ("com") stands above a large share of all hosts. Domains above more than 1 in HOT_SHARE of the
+hosts and days are counted first, and there are fewer than HOT_SHARE of them: one that no entry names is dropped before
+rows move, one that is named is dealt to as many places as it has such shares, with its intervals at each of them. So
+the join holds no hot key, however long the list.
 """
 
 from __future__ import annotations
@@ -14,6 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
+#: a domain above more than 1 in so many of the hosts and days is dealt to several places
+HOT_SHARE = 1000
 FOREVER = "9999-12-31"
 
 
@@ -44,6 +53,20 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.where(~F.col("ends") & (F.col("day") < F.col("valid_to"))).select("domain", "category", F.col("day").alias("valid_from"), "valid_to")
 
 
+def _spread(wanted: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with `_place`, to be joined by (domain, _place): no place of a domain has more than about 1 in HOT_SHARE of wanted."""
+    whole = wanted.count()
+    hot = wanted.groupBy("domain").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > whole)
+    named = hot.join(spans.select("domain", F.lit(True).alias("named")).distinct(), "domain", "left")
+    places = F.when(F.col("named"), F.ceil(F.col("n") * HOT_SHARE / F.lit(float(max(whole, 1)))).cast("int")).otherwise(0)
+    # fewer than HOT_SHARE rows: each stands above more than 1 in HOT_SHARE of them all
+    hot = F.broadcast(stored(named.select("domain", places.alias("_places")), "url-hot"))
+    dealt = wanted.join(hot, "domain", "left").where("_places IS NULL OR _places > 0")
+    place = F.coalesce(F.pmod(F.xxhash64("host", "_day"), F.nullif(F.col("_places"), F.lit(0))), F.lit(0)).cast("int")
+    each = F.sequence(F.lit(0), F.greatest(F.coalesce("_places", F.lit(1)), F.lit(1)) - 1)
+    return dealt.withColumn("_place", place).drop("_places"), spans.join(hot, "domain", "left").withColumn("_place", F.explode(each)).drop("_places")
+
+
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetched_on") -> DataFrame:
     """(id, host, day, blocked, domain, categories), one row per capture; repeated captures have repeated rows.
 
@@ -53,8 +76,9 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     """
     asked = captures.select(F.col(id_col).alias("_id"), F.col(day_col).cast("date").alias("_day"), host_of(F.col(url_col)).alias("host"))
     wanted = asked.where("host IS NOT NULL AND _day IS NOT NULL").select("host", "_day").distinct()
-    wanted = wanted.select("host", "_day", F.explode(domains_of(F.col("host"))).alias("domain"))
-    held = wanted.join(intervals(entries), "domain").where((F.col("valid_from") <= F.col("_day")) & (F.col("_day") < F.col("valid_to")))
+    wanted = stored(wanted, "url-hosts").select("host", "_day", F.explode(domains_of(F.col("host"))).alias("domain"))
+    wanted, spans = _spread(wanted, stored(intervals(entries), "url-intervals"))
+    held = wanted.join(spans, ["domain", "_place"]).where((F.col("valid_from") <= F.col("_day")) & (F.col("_day") < F.col("valid_to")))
     longest = F.max(F.struct(F.length("domain").alias("n"), "domain"))["domain"]
     categories = F.array_join(F.array_sort(F.collect_set(F.coalesce("category", F.lit("unknown")))), ",")
     listed = held.groupBy("host", "_day").agg(longest.alias("domain"), categories.alias("categories"))
