@@ -32,7 +32,7 @@ def shared_steps():
         return g
 
     with pytest.MonkeyPatch.context() as patch:
-        for name, which in (("_replayed", (1,)), ("_aged_states", (1,))):
+        for name, which in (("_replayed", (1,)), ("_shape_replayed", (1,)), ("_aged_states", (1,))):
             patch.setattr(research, name, once(getattr(research, name), *which))
         for name, which in (("_predicted", (1,)), ("hourly", (1,)), ("blocked", (0,)), ("traced", (0,)), ("_observed", (0,)), ("_touched", (0,)), ("_soft_matched", (0,)), ("_neighbours", (1, 2)), ("Study", (1,))):
             patch.setattr(catalogue, name, once(getattr(catalogue, name), *which))

@@ -119,6 +119,60 @@ def test_replay_never_looks_ahead(spark):
     assert told.moments == before.count() and 0 <= told.joint_coverage <= min(told.duration_coverage, told.excursion_coverage)
 
 
+def test_replay_in_three_modes(spark):
+    """Blocks change nothing, the adaptive mode is `replay`'s, pools hold the nearest candles, and routes are measured as stated."""
+    episodes, states, paths = library()
+    p, s, e = frames(spark, (episodes, states, paths))
+    reference = e.where("episode_id = 'ep007'")
+    made = lambda blocks: {(r.moment_id, r.mode): r for r in replay.shape_replay(p, s, e, reference, (2, 5), 1e9, 15, 12, 14, (1, 2, 6, 40), blocks).collect()}
+    got = made((1, 1))
+    assert got == made((3, 4)) and {m for _, m in got} == set(replay.MODES)
+    alone = {r.query_id: r for r in replay.replay(p, s, e, (2, 5), 15, 12).collect()}
+    same = ("status", "eligible", "actual_future_pct", "duration_covered", "excursion_covered", "duration_log_error", "excursion_error_pct")
+    assert {q for q, m in got if m == "adaptive"} == set(alone)
+    for q, r in alone.items():
+        assert [getattr(got[q, "adaptive"], c) for c in same] == [getattr(r, c) for c in same]
+    done = [r for r in got.values() if r.status == "evaluated"]
+    assert {r.mode for r in done} == set(replay.MODES)
+    assert all(r.eligible <= 14 for r in got.values() if r.mode == "archetype") and any(r.eligible > 14 for r in done)
+    near = replay.shape_replay(p, s, e, reference, (2, 5), 30.0, 15, 12, 14, (1, 2, 6, 40))
+    assert 0 < near.count() < len(got) and near.agg(F.max("reference_distance")).first()[0] <= 30.0
+
+    # the pools, and the scores of the candle's shape, by plain loops
+    def shape(a, b):
+        points, factors = list(match.SHAPE_POINTS.values()), list(match.SHAPE_FACTORS.values())
+        parts = [abs(x - y) * 100 / u for x, y, u in zip(a, b, points)] + [np.log(x / y) / np.log(f) for x, y, f in zip(a[3:], b[3:], factors)] + [a[6] - b[6]]
+        return float(np.sqrt(np.mean(np.square(parts))))
+
+    by_id, opened = {x[0]: x for x in episodes}, {(x[0], x[1]): x[2] for x in paths}
+    blocks = (2, 3)
+    held, asked = replay.library_of(e, s), replay.moments(p, s, e, (2, 5)).where("status = 'ready'")
+    moded = replay.moded(replay.scaled_moments(asked, held, blocks), held, blocks, 14)
+    matched = {}
+    for r in replay.alignments(moded, held, 60, blocks).where("query_id LIKE '%archetype'").collect():
+        matched.setdefault(r.query_id.removesuffix("@archetype"), {})[r.episode_id] = r.match_score
+    shares = list(match.STATE_WEIGHTS.values())
+    for q, scores in matched.items():
+        own, at = q.split("@")
+        now = opened[own, int(at)] + 60_000
+        seen = sorted((shape(x[10:], by_id[own][10:]), x[0]) for x in episodes if x[7] <= now and x[0] != own)[:14]
+        mine = next(x for x in states if x[0] == own and x[5] == int(at))
+        want = {}
+        for far, name in seen:
+            parts = [sum(w * abs(np.log((max(x, 0) + f) / (max(y, 0) + f))) for (w, f), x, y in zip(shares, (c[6], c[7], c[8], c[5]), (mine[6], mine[7], mine[8], mine[5]))) for c in states if c[0] == name and c[11]]
+            if parts:
+                want[name] = min(parts) + 0.5 * 1.5 * far
+        assert scores == pytest.approx(want)
+
+    # routes end at the target
+    moves = {(x[0], x[5]): x[6] for x in states}
+    case = [("ep001@2", "ep001", 2, by_id["ep001"][9] - 2, "ep002", 3, by_id["ep002"][9] - 3, 1.5)]
+    kinds = "query_id string, episode_id string, offset_bars long, actual_remaining_bars long, normal_episode_id string, normal_offset_bars long, normal_remaining_bars long, normal_scale double"
+    move = lambda name, at, scale: 0.0 if at >= by_id[name][9] else max(moves[name, at] * scale, 0.0)
+    want = np.mean([abs(move("ep002", 3 + h, 1.5) - move("ep001", 2 + h, 1.0)) for h in (1, 2, 6, 40)])
+    assert replay.path_errors(spark.createDataFrame(case, kinds), s, (1, 2, 6, 40)).first().path_error_pct == pytest.approx(want)
+
+
 def test_search_of_variants_equals_single_searches(spark):
     rng = np.random.default_rng(8)
     sizes = {"state": 3, "context": 2, "pre": 2, "recent": 2, "episode": 4}
@@ -215,6 +269,6 @@ def test_queries_run_on_empty_tables(spark, tmp_path):
 
     for t in ("events", "lineitem", "embeddings"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/{t}.parquet")
-    names = ("rolling_folds", "eligible_history", "walk_forward_knn", "matched_observations", "near_clone_audit", "path_replay", "age_stratified_cap", "retrieval_modes", "event_props", "knn_topk", "strict_signals")
+    names = ("rolling_folds", "eligible_history", "walk_forward_knn", "matched_observations", "near_clone_audit", "path_replay", "shape_replay", "shape_replay_report", "shape_replay_gains", "age_stratified_cap", "retrieval_modes", "event_props", "knn_topk", "strict_signals")
     for name in names:
         assert catalogue.QUERIES[name](spark, str(tmp_path)).count() == (1 if name == "near_clone_audit" else 0), name

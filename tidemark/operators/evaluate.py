@@ -70,7 +70,7 @@ def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return both.where(F.when(F.coalesce(single, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("predictions do not pair")).cast("boolean"))).select(key, "a", "b")
 
 
-def by_mode(rows: DataFrame, key: str, mode: str, value: str, modes: Sequence[str]) -> DataFrame:
+def by_mode(rows: DataFrame, key: str | Sequence[str], mode: str, value: str, modes: Sequence[str]) -> DataFrame:
     """One row per key with the smallest value of each mode as a column; keys that lack a mode are left out."""
     return rows.groupBy(key).pivot(mode, list(modes)).agg(F.min(value)).dropna(subset=list(modes))
 

@@ -85,7 +85,7 @@ def scored_states(candidates: DataFrame, scores: DataFrame, live: DataFrame) ->
     return rows.withColumn("match_score", total).drop(*(f"q_{c}" for c in live.columns), "adaptive", "shape", "category", "elapsed_bars")
 
 
-def _shape_matrix(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
+def shape_matrix(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
     """`shape_distance` of each pair."""
     least = lambda rows, c: np.maximum(rows[c].to_numpy(float), 1e-12)
     off = lambda c: held[c].to_numpy(float)[None] - asked[c].to_numpy(float)[:, None]
@@ -117,7 +117,7 @@ def observation_scores(observed: DataFrame, queries: DataFrame, scales: DataFram
     def both(asked: pd.DataFrame, held: pd.DataFrame) -> dict[str, np.ndarray]:
         seen = met(asked, held)
         feature = sum(w * np.abs(held[c].to_numpy(float)[None] - asked[c].to_numpy(float)[:, None]) / units[c] for c, w in FEATURE_WEIGHTS.items())
-        return {"feature": np.where(seen, feature, np.nan), "shape": np.where(seen, _shape_matrix(asked, held), np.nan)}
+        return {"feature": np.where(seen, feature, np.nan), "shape": np.where(seen, shape_matrix(asked, held), np.nan)}
 
     middle = medians(asked, held, both, ("feature", "shape"), blocks, candidate_id="observation_id")
     middle = middle.groupBy("query_id").agg(*(F.greatest(F.max(F.when(F.col("name") == c, F.col("median"))), F.lit(1e-12)).alias(f"mid_{c}") for c in ("feature", "shape")))

@@ -14,15 +14,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import single
 from tidemark.functions.storage import stored
 from tidemark.operators import project
 from tidemark.operators.crossing import best_of, block_counts, chunks, medians, meet
-from tidemark.operators.match import CATEGORY_PENALTIES, FEATURE_SHARE, FEATURE_WEIGHTS, STATE_WEIGHTS
+from tidemark.operators.evaluate import by_mode, paired_bootstrap
+from tidemark.operators.match import CATEGORY_PENALTIES, FEATURE_SHARE, FEATURE_WEIGHTS, SHAPE_BLEND, SHAPE_MULTIPLIER, SHAPE_POOL, STATE_WEIGHTS, shape_distance, shape_matrix
 from tidemark.operators.stats import MAD_TO_STD
 
 #: what stands for the current move, its peak, the drawdown and the age in a state's arrays
 _STATE_COLUMNS = dict(zip(STATE_WEIGHTS, ("moves", "peaks", "drawdowns", "offsets")))
 FEATURES = tuple(FEATURE_WEIGHTS)
+MODES = ("adaptive", "blended", "archetype")
+#: bars after a snapshot at which a told route is held against the real one
+CHECKPOINTS = (1, 3, 6, 12, 24, 48, 96, 192, 576, 1440)
+#: what `moded` adds to a moment
+_BY_MODE = ("mode", "edge", "edge_id", "fair")
 
 
 def moments(path_rows: DataFrame, states: DataFrame, episodes: DataFrame, offsets: Sequence[int]) -> DataFrame:
@@ -98,14 +105,56 @@ def scaled_moments(ready: DataFrame, library: DataFrame, blocks: tuple[int, int]
     return ready.join(both.select("query_id", *map(scale, FEATURES)), "query_id")
 
 
+def _shapes(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
+    # rounded, so that an edge is met again by its own distance whatever block it is computed in
+    return np.round(shape_matrix(asked, held), 12)
+
+
+def _features(asked: pd.DataFrame, held: pd.DataFrame) -> np.ndarray:
+    return sum(w * np.abs(held[c].to_numpy(float)[None] - asked[c].to_numpy(float)[:, None]) / asked[f"scale_{c}"].to_numpy(float)[:, None] for c, w in FEATURE_WEIGHTS.items())
+
+
+def moded(scaled: DataFrame, library: DataFrame, blocks: tuple[int, int], pool: int = SHAPE_POOL) -> DataFrame:
+    """scaled three times, once for each mode, with what the modes need to know of all that a moment sees.
+
+    edge, edge_id: the last of the `pool` episodes of the most similar candle. fair: what brings shape distances to the
+    median of the feature distances. A task keeps the pool of its block, so a moment costs `pool` rows for each block.
+    """
+    facts = library.select("episode_id", "timeframe", "fill_close_ms", *FEATURES)
+    asked = stored(scaled.select("query_id", F.col("episode_id").alias("own_id"), "timeframe", "snapshot_ms", *FEATURES, *(f"scale_{c}" for c in FEATURES)), "mode-moments")
+
+    def closest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out, ids = [], held["episode_id"].to_numpy()
+        for piece in chunks(asked, len(held)):
+            shape = np.where(_seen(piece, held), _shapes(piece, held), np.inf)
+            rows, cols = best_of(ids, piece["query_id"].to_numpy(), shape, pool)
+            out.append(pd.DataFrame({"query_id": piece["query_id"].to_numpy()[rows], "episode_id": ids[cols], "shape": shape[rows, cols]}))
+        return pd.concat(out)
+
+    def both(asked: pd.DataFrame, held: pd.DataFrame) -> dict[str, np.ndarray]:
+        seen = _seen(asked, held)
+        return {"feature": np.where(seen, _features(asked, held), np.nan), "shape": np.where(seen, _shapes(asked, held), np.nan)}
+
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("shape", "episode_id"))
+    near = meet(asked, facts, closest, "query_id string, episode_id string, shape double", blocks).withColumn("place", place).where(F.col("place") <= pool)
+    edges = near.groupBy("query_id").agg(F.max(F.struct("shape", "episode_id")).alias("e")).select("query_id", F.col("e.shape").alias("edge"), F.col("e.episode_id").alias("edge_id"))
+    mid = lambda c: F.greatest(F.max(F.when(F.col("name") == c, F.col("median"))), F.lit(1e-12))
+    fair = medians(asked, facts, both, ("feature", "shape"), blocks).groupBy("query_id").agg((mid("feature") / mid("shape")).alias("fair"))
+    known = scaled.join(edges, "query_id").join(fair, "query_id").withColumn("mode", F.explode(F.array(*map(F.lit, MODES))))
+    return known.withColumn("query_id", F.concat_ws("@", "query_id", "mode"))
+
+
 def alignments(scaled: DataFrame, library: DataFrame, k: int, blocks: tuple[int, int]) -> DataFrame:
     """(query_id, episode_id, offset_bars, remaining_bars, current_move_pct, future_peak_move_pct, match_score, eligible, matched).
 
     The k best episodes of each moment, each at its best state, of equal ones the earliest; equal scores go by id.
     eligible and matched count all episodes that the moment saw, and those of them with a state to match. Episodes that
     lack a feature are not matched.
+
+    With the columns of `moded` each moment is matched in its mode: by features and category; by features blended with
+    the shape of the candle, whatever its direction; or by shape alone, among the pool of the most similar candles.
     """
-    asked = scaled.select("query_id", F.col("episode_id").alias("own_id"), "asset", "timeframe", "direction", "snapshot_ms", *STATE_WEIGHTS, *FEATURES, *(f"scale_{c}" for c in FEATURES))
+    asked = scaled.select("query_id", F.col("episode_id").alias("own_id"), "asset", "timeframe", "direction", "snapshot_ms", *STATE_WEIGHTS, *FEATURES, *(f"scale_{c}" for c in FEATURES), *(c for c in _BY_MODE if c in scaled.columns))
 
     def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         has = held["offsets"].map(lambda x: x is not None and len(x) > 0).to_numpy(bool)
@@ -117,6 +166,10 @@ def alignments(scaled: DataFrame, library: DataFrame, k: int, blocks: tuple[int,
         out = []
         for piece in chunks(asked, max(len(held), starts[-1])):
             every = _seen(piece, held)
+            if "mode" in piece:
+                shape, edge, mode = _shapes(piece, held), piece["edge"].to_numpy(float)[:, None], piece["mode"].to_numpy()[:, None]
+                pooled = (shape < edge) | (shape == edge) & (held["episode_id"].to_numpy()[None] <= piece["edge_id"].to_numpy()[:, None])
+                every &= pooled | (mode != "archetype")
             counts = pd.DataFrame({"query_id": piece["query_id"].to_numpy(), "eligible": every.sum(axis=1), "matched": every[:, has].sum(axis=1)})
             out.append(counts)
             if not len(facts):
@@ -125,11 +178,14 @@ def alignments(scaled: DataFrame, library: DataFrame, k: int, blocks: tuple[int,
             states = 0.0
             for c, (weight, floor) in STATE_WEIGHTS.items():
                 states = states + weight * np.abs(logs[c][None] - np.log(np.maximum(column(c), 0.0) + floor))
-            feature = 0.0
-            for c, weight in FEATURE_WEIGHTS.items():
-                feature = feature + weight * np.abs(facts[c].to_numpy(float)[None] - column(c)) / column(f"scale_{c}")
-            other = sum(CATEGORY_PENALTIES[c] * (facts[c].to_numpy()[None] != piece[c].to_numpy()[:, None]) for c in CATEGORY_PENALTIES)
-            score = np.minimum.reduceat(states, starts[:-1], axis=1) + FEATURE_SHARE * feature + other
+            feature = _features(piece, facts)
+            differs = {c: CATEGORY_PENALTIES[c] * (facts[c].to_numpy()[None] != piece[c].to_numpy()[:, None]) for c in CATEGORY_PENALTIES}
+            signal = FEATURE_SHARE * feature + sum(differs.values())
+            if "mode" in piece:
+                shape = shape[:, has]
+                blended = FEATURE_SHARE * ((1.0 - SHAPE_BLEND) * feature + SHAPE_BLEND * shape * column("fair")) + (1.0 - SHAPE_BLEND) * differs["asset"] + differs["timeframe"]
+                signal = np.where(mode == "adaptive", signal, np.where(mode == "blended", blended, FEATURE_SHARE * SHAPE_MULTIPLIER * shape))
+            score = np.minimum.reduceat(states, starts[:-1], axis=1) + signal
             score[~every[:, has]] = np.inf
             ids = facts["episode_id"].to_numpy()
             rows, cols = best_of(ids, piece["query_id"].to_numpy(), score, k)
@@ -147,17 +203,9 @@ def alignments(scaled: DataFrame, library: DataFrame, k: int, blocks: tuple[int,
     return found.select("query_id", "episode_id", whole("offset_bars"), whole("remaining_bars"), "current_move_pct", "future_peak_move_pct", "match_score").join(counts, "query_id")
 
 
-def replay(path_rows: DataFrame, states: DataFrame, episodes: DataFrame, offsets: Sequence[int], k: int = 80, least: int = 250, blocks: tuple[int, int] | None = None) -> DataFrame:
-    """One row per moment: what the three scenarios of its past said, what came, and whether they enclosed it.
-
-    status: evaluated, or why not: not_confirmed_departure, not_away_from_target, too_few_candidates (fewer than
-    `least` episodes matched). Without episodes there are no moments.
-    """
-    asked = stored(moments(path_rows, states, episodes, offsets), "moments")
-    library = stored(library_of(episodes, states), "replay-library")
+def _scored(asked: DataFrame, matched: DataFrame, episodes: DataFrame, least: int) -> DataFrame:
+    """asked with what the three scenarios of each moment's matches said, whether they enclosed what came, and the errors of the normal one."""
     ready = asked.where("status = 'ready'")
-    blocks = blocks or block_counts(ready, library)
-    matched = alignments(stored(scaled_moments(ready, library, blocks), "scaled-moments"), library, k, blocks)
     live = ready.select("query_id", F.col("current_move_pct").alias("q_move"), F.col("direction_sign").alias("q_sign"))
     facts = episodes.select("episode_id", "asset", "timeframe", "direction")
     cohort = project.projected_by_query(matched.where(F.col("matched") >= least).join(facts, "episode_id").join(live, "query_id"))
@@ -165,19 +213,103 @@ def replay(path_rows: DataFrame, states: DataFrame, episodes: DataFrame, offsets
     of = lambda s, c: F.max(F.when(F.col("scenario") == s, F.col(c)))
     wide = told.groupBy("query_id").agg(
         *(of(s, "remaining_bars").alias(f"{s}_remaining_bars") for s in ("fast", "normal", "extreme")), *(of(s, "projected_future_pct").alias(f"{s}_future_pct") for s in ("fast", "normal", "extreme")),
+        *(of("normal", c).alias(f"normal_{c}") for c in ("episode_id", "offset_bars", "scale")),
         F.min("remaining_bars").alias("_least_bars"), F.max("remaining_bars").alias("_most_bars"), F.min("projected_future_pct").alias("_least_pct"), F.max("projected_future_pct").alias("_most_pct"),
     )
     counts = matched.select("query_id", "eligible").distinct()
     rows = asked.join(counts, "query_id", "left").join(wide, "query_id", "left")
     status = F.when(F.col("status") != "ready", F.col("status")).when(F.col("normal_remaining_bars").isNull(), "too_few_candidates").otherwise("evaluated")
-    rows = rows.withColumn("status", status).withColumn("duration_covered", F.col("actual_remaining_bars").between(F.col("_least_bars"), F.col("_most_bars"))).withColumn("excursion_covered", F.col("actual_future_pct").between(F.col("_least_pct"), F.col("_most_pct")))
-    return rows.select(
-        "query_id", "episode_id", "asset", "direction", "offset_bars", "snapshot_ms", "status", F.coalesce("eligible", F.lit(0)).alias("eligible"), "actual_remaining_bars", "actual_future_pct",
-        *(f"{s}_remaining_bars" for s in ("fast", "normal", "extreme")), *(f"{s}_future_pct" for s in ("fast", "normal", "extreme")), "duration_covered", "excursion_covered", (F.col("duration_covered") & F.col("excursion_covered")).alias("joint_covered"),
-        F.abs(F.log1p(F.col("normal_remaining_bars").cast("double")) - F.log1p(F.col("actual_remaining_bars").cast("double"))).alias("duration_log_error"), F.abs(F.col("normal_future_pct") - F.col("actual_future_pct")).alias("excursion_error_pct"),
+    rows = rows.withColumn("status", status).withColumn("eligible", F.coalesce("eligible", F.lit(0)))
+    rows = rows.withColumn("duration_covered", F.col("actual_remaining_bars").between(F.col("_least_bars"), F.col("_most_bars"))).withColumn("excursion_covered", F.col("actual_future_pct").between(F.col("_least_pct"), F.col("_most_pct")))
+    return rows.withColumns(
+        {
+            "joint_covered": F.col("duration_covered") & F.col("excursion_covered"),
+            "duration_log_error": F.abs(F.log1p(F.col("normal_remaining_bars").cast("double")) - F.log1p(F.col("actual_remaining_bars").cast("double"))),
+            "excursion_error_pct": F.abs(F.col("normal_future_pct") - F.col("actual_future_pct")),
+        }
+    )
+
+
+def replay(path_rows: DataFrame, states: DataFrame, episodes: DataFrame, offsets: Sequence[int], k: int = 80, least: int = 250, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """One row per moment: what the three scenarios of its past said, what came, and whether they enclosed it.
+
+    status: evaluated, or why not: not_confirmed_departure, not_away_from_target, too_few_candidates (fewer than
+    `least` episodes matched). Without episodes there are no moments.
+    """
+    asked = stored(moments(path_rows, states, episodes, offsets), "moments")
+    library = stored(library_of(episodes, states), "replay-library")
+    ready = asked.where("status = 'ready'")
+    blocks = blocks or block_counts(ready, library)
+    matched = alignments(stored(scaled_moments(ready, library, blocks), "scaled-moments"), library, k, blocks)
+    return _scored(asked, matched, episodes, least).select(
+        "query_id", "episode_id", "asset", "direction", "offset_bars", "snapshot_ms", "status", "eligible", "actual_remaining_bars", "actual_future_pct",
+        *(f"{s}_remaining_bars" for s in ("fast", "normal", "extreme")), *(f"{s}_future_pct" for s in ("fast", "normal", "extreme")), "duration_covered", "excursion_covered", "joint_covered", "duration_log_error", "excursion_error_pct",
     )
 
 
+def path_errors(cases: DataFrame, states: DataFrame, checkpoints: Sequence[int] = CHECKPOINTS) -> DataFrame:
+    """(query_id, path_error_pct): mean distance between the told and the real move at the checkpoints after each snapshot.
+
+    cases: (query_id, episode_id, offset_bars, actual_remaining_bars, normal_episode_id, normal_offset_bars,
+    normal_remaining_bars, normal_scale). A route that has come to its fill stays at the target: its move is 0.
+    """
+    steps = cases.withColumn("h", F.explode(F.array(*map(F.lit, checkpoints))))
+    at = lambda kind: states.select(F.col("episode_id").alias(f"{kind}_episode"), F.col("offset_bars").alias(f"{kind}_at"), F.col("current_move_pct").alias(f"{kind}_move"))
+    steps = steps.select("query_id", "h", "actual_remaining_bars", "normal_remaining_bars", "normal_scale", F.col("episode_id").alias("real_episode"), (F.col("offset_bars") + F.col("h")).alias("real_at"), F.col("normal_episode_id").alias("told_episode"), (F.col("normal_offset_bars") + F.col("h")).alias("told_at"))
+    met = steps.join(at("real"), ["real_episode", "real_at"], "left").join(at("told"), ["told_episode", "told_at"], "left")
+    move = lambda left, value: F.when(F.col("h") >= F.col(left), 0.0).otherwise(F.greatest(value, F.lit(0.0)))
+    off = F.abs(move("normal_remaining_bars", F.col("told_move") * F.col("normal_scale")) - move("actual_remaining_bars", F.col("real_move")))
+    return met.groupBy("query_id").agg(F.avg(off).alias("path_error_pct"))
+
+
+def shape_replay(path_rows: DataFrame, states: DataFrame, episodes: DataFrame, reference: DataFrame, offsets: Sequence[int], most_distance: float = 2.0, k: int = 80, least: int = 80, pool: int = SHAPE_POOL, checkpoints: Sequence[int] = CHECKPOINTS, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """One row per moment and mode, for the episodes whose candle is at most `most_distance` from the reference's.
+
+    Each moment is answered three times by its own past, with features, features blended with the candle's shape, and
+    shape alone (`moded`); `path_error_pct` is how far the normal scenario's route was from the real one (`path_errors`).
+    reference: one row with the seven features. status as in `replay`. All modes go through one scan.
+    """
+    one = single(reference.select(*(F.col(c).alias(f"q_{c}") for c in FEATURES)), "reference")
+    # one row
+    alike = episodes.crossJoin(F.broadcast(one)).withColumn("reference_distance", shape_distance()).drop(*(f"q_{c}" for c in FEATURES)).where(F.col("reference_distance") <= most_distance)
+    asked = stored(moments(path_rows, states, alike.drop("reference_distance"), offsets), "moments")
+    library = stored(library_of(episodes, states), "replay-library")
+    ready = asked.where("status = 'ready'")
+    blocks = blocks or block_counts(ready, library)
+    scaled = stored(scaled_moments(ready, library, blocks), "scaled-moments")
+    matched = alignments(stored(moded(scaled, library, blocks, pool), "moded-moments"), library, k, blocks)
+    every = asked.withColumn("moment_id", F.col("query_id")).withColumn("mode", F.explode(F.array(*map(F.lit, MODES)))).withColumn("query_id", F.concat_ws("@", "query_id", "mode"))
+    cases = stored(_scored(every, matched, episodes, least), "shape-cases")
+    told = path_errors(cases.where("status = 'evaluated'"), states, checkpoints)
+    return cases.join(told, "query_id", "left").join(alike.select("episode_id", "reference_distance"), "episode_id").select(
+        "moment_id", "mode", "episode_id", "asset", "direction", "offset_bars", "reference_distance", "status", "eligible", "actual_remaining_bars", "actual_future_pct", "normal_episode_id", "path_error_pct", "duration_covered", "excursion_covered", "joint_covered", "duration_log_error", "excursion_error_pct"
+    )
+
+
+def mode_report(cases: DataFrame) -> DataFrame:
+    """By mode and age, and by mode over all (offset_bars NULL): evaluated moments and episodes, errors of the normal route, coverage."""
+    done = cases.where("status = 'evaluated'")
+    share = lambda c: F.avg(F.col(c).cast("double")).alias(c.replace("covered", "coverage"))
+    mid = lambda c: F.percentile(c, 0.5).alias(f"median_{c}")
+    every = done.withColumn("age", F.explode(F.array("offset_bars", F.lit(None)))).groupBy("mode", F.col("age").alias("offset_bars"))
+    return every.agg(F.count("*").alias("cases"), F.count_distinct("episode_id").alias("episodes"), F.avg("path_error_pct").alias("mean_path_error_pct"), mid("path_error_pct"), mid("duration_log_error"), mid("excursion_error_pct"), *map(share, ("duration_covered", "excursion_covered", "joint_covered")))
+
+
+def mode_gains(cases: DataFrame, draws: int = 500) -> DataFrame:
+    """(mode, paired_moments, lower_error_share, gain, low, high): how much nearer each other mode's routes were than the adaptive one's, on the moments that all answered.
+
+    Errors that agree to nine digits are equal: two modes often tell the same route. A mode without paired moments has no row.
+    """
+    paths = by_mode(cases.where("status = 'evaluated'").select("moment_id", "episode_id", "mode", "path_error_pct"), ["moment_id", "episode_id"], "mode", "path_error_pct", MODES)
+    out = None
+    for mode in MODES[1:]:
+        counts = paths.agg(F.lit(mode).alias("mode"), F.count("*").alias("paired_moments"), F.avg((F.round(mode, 9) < F.round(MODES[0], 9)).cast("double")).alias("lower_error_share")).where("paired_moments > 0")
+        # two single rows
+        row = counts.crossJoin(paired_bootstrap(paths, "episode_id", MODES[0], mode, draws))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def report(cases: DataFrame) -> DataFrame:
     """By age, and over all (offset_bars NULL): how many moments, how many evaluated, coverage and median errors of these."""
     share = lambda c: F.avg(F.col(c).cast("double")).alias(c.replace("covered", "coverage"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import age_bucket, age_support
 from tidemark.functions.storage import run_dir, stored
-from tidemark.operators import features, folds, forests, library, match, outcomes, replay, retrieval, stats, support, trace, variants, windows
+from tidemark.operators import evaluate, features, folds, forests, library, match, outcomes, replay, retrieval, stats, support, trace, variants, windows
 from tidemark.plans import catalogue as cat
 from tidemark.plans import oracle as O
 from tidemark.plans.catalogue import query
@@ -72,6 +72,92 @@ def path_replay_report(spark, d):
     return replay.report(_replayed(spark, d))
 
 
+# Replay of moments like a given candle, in three modes
+
+#: the newest episode's candle is the one that is asked about; the tables' candles lie far apart
+ALIKE, SHAPE_POOL = 50.0, 30
+
+
+def _shape_replay_sql() -> dict[str, str]:
+    base = _replay_sql()
+    feature = " + ".join(f"{w} * abs(g.{f} - m.{f}) / z_{f}.scale" for f, w in match.FEATURE_WEIGHTS.items())
+    scales = " ".join(f"JOIN z_{f} ON z_{f}.query_id = m.query_id" for f in FEATURES)
+    shape = O._SHAPE.replace("e.", "g.").replace("q.", "m.")
+    out = {
+        "pinned": "SELECT * FROM episodes ORDER BY signal_open_ms DESC, episode_id DESC LIMIT 1",
+        "alike": f"SELECT e.episode_id, {O._SHAPE} AS reference_distance FROM episodes e, pinned q WHERE {O._SHAPE} <= {ALIKE}",
+        "asked_moments": base["moments"] + " AND s.episode_id IN (SELECT episode_id FROM alike)",
+        "moments": f"SELECT query_id || '@' || mode AS query_id, query_id AS moment_id, mode, * EXCLUDE (query_id) FROM asked_moments, (VALUES {', '.join(f"('{m}')" for m in replay.MODES)}) t(mode)",
+        **{k: q for k, q in base.items() if k == "seen_by" or k.startswith("z_")},
+        "pair_rows": f"SELECT m.query_id, m.mode, g.episode_id, {feature} AS feature, round({shape}, 12) AS shape, CASE WHEN g.asset <> m.asset THEN 0.35 ELSE 0.0 END AS o_asset, CASE WHEN g.direction <> m.direction THEN 0.1 ELSE 0.0 END AS o_direction FROM moments m JOIN seen_by g ON g.query_id = m.query_id {scales}",
+        "fairs": "SELECT query_id, greatest(quantile_cont(feature, 0.5), 1e-12) / greatest(quantile_cont(shape, 0.5), 1e-12) AS fair FROM pair_rows GROUP BY 1",
+        "signal_rows": f"SELECT p.query_id, episode_id, CASE mode WHEN 'adaptive' THEN 0.5 * feature + o_asset + o_direction WHEN 'blended' THEN 0.5 * (0.7 * feature + 0.3 * shape * fair) + 0.7 * o_asset ELSE 0.75 * shape END AS signal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shape, episode_id) AS place FROM pair_rows) p JOIN fairs f ON f.query_id = p.query_id WHERE mode <> 'archetype' OR place <= {SHAPE_POOL}",
+        **{k: q for k, q in base.items() if k not in ("moments", "seen_by") and not k.startswith("z_")},
+    }
+    head, _, rest = out["aligned"].partition(" + 0.5 * (")
+    out["aligned"] = f"{head} + g.signal AS match_score FROM moments m JOIN signal_rows g ON g.query_id = m.query_id JOIN states s{rest.partition(' JOIN states s')[2]}"
+    out["told"] = out["told"].replace("SELECT f.query_id,", "SELECT f.query_id, n.episode_id AS normal_episode_id, n.offset_bars AS normal_offset_bars, n.scale AS normal_scale,")
+    out["cases"] = out["cases"].replace("SELECT m.query_id,", "SELECT m.query_id, m.moment_id, m.mode,").replace("FROM seen_by g", "FROM signal_rows g")
+    out["route_steps"] = f"""SELECT c.query_id, CASE WHEN h >= c.normal_remaining_bars THEN 0.0 ELSE greatest(n.current_move_pct * c.normal_scale, 0.0) END AS told, CASE WHEN h >= c.actual_remaining_bars THEN 0.0 ELSE greatest(a.current_move_pct, 0.0) END AS actual
+      FROM cases c CROSS JOIN (VALUES {', '.join(f'({h})' for h in replay.CHECKPOINTS)}) t(h) LEFT JOIN states n ON n.episode_id = c.normal_episode_id AND n.offset_bars = c.normal_offset_bars + h LEFT JOIN states a ON a.episode_id = c.episode_id AND a.offset_bars = c.offset_bars + h WHERE c.status = 'evaluated'"""
+    out["route_errors"] = "SELECT query_id, avg(abs(told - actual)) AS path_error_pct FROM route_steps GROUP BY 1"
+    out["shape_cases"] = "SELECT c.*, duration_covered AND excursion_covered AS joint_covered, path_error_pct, reference_distance FROM cases c LEFT JOIN route_errors r ON r.query_id = c.query_id JOIN alike a ON a.episode_id = c.episode_id"
+    return out
+
+
+def _shape_replayed(spark: SparkSession, d: str) -> DataFrame:
+    e = cat.hourly(spark, d)
+    t = cat.traced(e)
+    paths, episodes = stored(library.paths(t, e), "paths"), stored(library.episodes(t, e), "episodes")
+    states = stored(library.states(paths, episodes), "states")
+    pinned = episodes.orderBy(F.desc("signal_open_ms"), F.desc("episode_id")).limit(1)
+    return stored(replay.shape_replay(paths, states, episodes, pinned, OFFSETS, ALIKE, MATCH_K, LEAST_MATCHED, SHAPE_POOL), "shape-replay")
+
+
+_case_numbers = ("reference_distance", "actual_future_pct", "path_error_pct", "duration_log_error", "excursion_error_pct")
+
+
+@query(sql(f"SELECT moment_id, mode, episode_id, asset, direction, offset_bars, status, eligible, actual_remaining_bars, normal_episode_id, {', '.join(map(r, _case_numbers))}, duration_covered, excursion_covered, joint_covered FROM shape_cases", **_shape_replay_sql()))
+def shape_replay(spark, d):
+    """Moments of candles like the newest one, answered by features, by features and shape, and by shape alone: whose route was nearer."""
+    return _shape_replayed(spark, d)
+
+
+def _mode_report_sql() -> str:
+    share = lambda c: r(f"avg(CAST({c} AS DOUBLE))", c.replace("covered", "coverage"))
+    mid = lambda c: r(f"quantile_cont({c}, 0.5)", f"median_{c}")
+    columns = [r("avg(path_error_pct)", "mean_path_error_pct"), *map(mid, ("path_error_pct", "duration_log_error", "excursion_error_pct")), *map(share, ("duration_covered", "excursion_covered", "joint_covered"))]
+    return sql(f"SELECT mode, offset_bars, count(*) AS cases, count(DISTINCT episode_id) AS episodes, {', '.join(columns)} FROM shape_cases WHERE status = 'evaluated' GROUP BY GROUPING SETS ((mode), (mode, offset_bars))", **_shape_replay_sql())
+
+
+@query(_mode_report_sql())
+def shape_replay_report(spark, d):
+    return replay.mode_report(_shape_replayed(spark, d))
+
+
+def _mode_gains_sql() -> str:
+    value = lambda m: f"min(CASE WHEN mode = '{m}' THEN path_error_pct END) AS {m}"
+    first, *others = replay.MODES
+    each = " UNION ALL ".join(f"SELECT '{m}' AS mode, episode_id, {first} AS a, {m} AS b FROM mode_paths" for m in others)
+    factors = ", ".join(f"({k}, {f})" for k, f in enumerate(evaluate.draw_factors(cat.DRAWS), 1))
+    weight = " + ".join(f"CAST(spot >= {p!r} AS INT)" for p in evaluate._POISSON)
+    tables = {
+        "mode_paths": f"SELECT * FROM (SELECT moment_id, episode_id, {', '.join(map(value, replay.MODES))} FROM shape_cases WHERE status = 'evaluated' GROUP BY 1, 2) WHERE {' AND '.join(f'{m} IS NOT NULL' for m in replay.MODES)}",
+        "mode_pairs": each,
+        "mode_episodes": f"SELECT mode, CAST('0x' || substr(md5('7:' || episode_id), 1, 12) AS BIGINT) % {evaluate.PRIME - 1} + 1 AS h, avg(a) AS a, avg(b) AS b FROM mode_pairs GROUP BY mode, episode_id",
+        "mode_draws": f"SELECT mode, 0 AS draw, 1 AS w, a, b FROM mode_episodes UNION ALL SELECT mode, draw, {weight}, a, b FROM (SELECT mode, draw, a, b, (h * f % {evaluate.PRIME}) / {evaluate.PRIME}.0 AS spot FROM mode_episodes, (VALUES {factors}) t(draw, f))",
+        "mode_sums": "SELECT mode, draw, 1.0 - sum(w * b) / sum(w * a) AS gain FROM mode_draws GROUP BY 1, 2",
+        "mode_counts": "SELECT mode, count(*) AS paired_moments, avg(CAST(round(b, 9) < round(a, 9) AS DOUBLE)) AS lower_error_share FROM mode_pairs GROUP BY 1",
+    }
+    return sql(f"SELECT mode, paired_moments, {r('lower_error_share')}, {r('max(CASE WHEN draw = 0 THEN gain END)', 'gain')}, {r('quantile_cont(CASE WHEN draw > 0 THEN gain END, 0.025)', 'low')}, {r('quantile_cont(CASE WHEN draw > 0 THEN gain END, 0.975)', 'high')} FROM mode_sums JOIN mode_counts USING (mode) GROUP BY 1, 2, 3", **_shape_replay_sql(), **tables)
+
+
+@query(_mode_gains_sql())
+def shape_replay_gains(spark, d):
+    """How much nearer the routes of the other two modes come than the adaptive one's, and how sure that is."""
+    return replay.mode_gains(_shape_replayed(spark, d), cat.DRAWS)
+
+
 # Many settings in one scan
 
 TESTED_HORIZONS, NEAREST = (6, 12, 24), 25
