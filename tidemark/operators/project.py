@@ -91,6 +91,17 @@ def candles(chosen: DataFrame, path_rows: DataFrame, live: DataFrame, digits: in
     return rows.select("scenario", "step", (F.col("q_start") + (F.col("step") - 1) * F.col("q_interval")).alias("open_time"), F.bround("_open", digits).alias("open"), F.bround(F.greatest(*four), digits).alias("high"), F.bround(F.least(*four), digits).alias("low"), F.bround("_close", digits).alias("close"))
 
 
+def joined_to_live(drawn: DataFrame, live: DataFrame, digits: int = 6) -> DataFrame:
+    """drawn (`candles`) whose first candle of each scenario opens where the live series stands; its range takes that in.
+
+    live: one row with wick_target, direction_sign, current_move_pct.
+    """
+    close = F.bround(F.col("wick_target") * (1.0 + F.col("direction_sign") * F.col("current_move_pct") / 100.0), digits)
+    rows = drawn.crossJoin(F.broadcast(single(live.select(close.alias("_close")), "live state")))
+    first = lambda c, value: F.when(F.col("step") == 1, value).otherwise(F.col(c))
+    return rows.withColumns({"open": first("open", F.col("_close")), "high": first("high", F.greatest("high", "_close")), "low": first("low", F.least("low", "_close"))}).drop("_close")
+
+
 def path_metrics(projected: DataFrame, live: DataFrame) -> DataFrame:
     """Peak and loss of the candles as they are shown. live: one row with wick_target, direction_sign, current_move_pct."""
     one = live.select(F.col("wick_target").alias("t"), F.col("direction_sign").alias("s"), F.col("current_move_pct").alias("m"))

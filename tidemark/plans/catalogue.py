@@ -721,6 +721,21 @@ def median_duration_scenario(spark, d):
     return project.median_duration_pick(Study(spark, d).cohort()).select("episode_id", "remaining_bars", "match_score")
 
 
+_median_sql = {
+    "middle": "SELECT * FROM cohort ORDER BY abs(remaining_bars - (SELECT quantile_cont(remaining_bars, 0.5) FROM cohort)), match_score, episode_id LIMIT 1",
+    "drawn": f"SELECT p.offset_bars - k.offset_bars AS step, q.signal_open_ms + (p.offset_bars - k.offset_bars - 1) * {HOUR} AS open_time, q.wick_target * (1.0 + q.direction_sign * l.current_move_pct / 100.0) AS now, {', '.join(f'{_project(c)} AS {c}_' for c in ('open', 'high', 'low', 'close'))} FROM middle k JOIN paths p ON p.episode_id = k.episode_id AND p.offset_bars > k.offset_bars, q, live l",
+}
+
+
+@query(sql(f"SELECT step, open_time, {r('CASE WHEN step = 1 THEN now ELSE open_ END', 'open')}, {r('greatest(open_, high_, low_, close_, CASE WHEN step = 1 THEN now END)', 'high')}, {r('least(open_, high_, low_, close_, CASE WHEN step = 1 THEN now END)', 'low')}, {r('close_', 'close')} FROM drawn", **_median_sql))
+def median_duration_candles(spark, d):
+    """The route of usual length, drawn on from the live close."""
+    s = Study(spark, d)
+    chosen = project.median_duration_pick(s.cohort()).withColumn("scenario", F.lit("usual"))
+    live = s.query.select("wick_target", "direction_sign", F.col("signal_open_ms").alias("start_ms"), F.lit(HOUR).alias("interval_ms")).crossJoin(s.live.select("current_move_pct"))
+    return project.joined_to_live(project.candles(chosen, s.paths, live), live).drop("scenario")
+
+
 @query()
 def forecast_routes(spark, d):
     wanted = spark.createDataFrame([("early", 0, 3.0, 5.0, False), ("usual", 1, 8.0, 10.0, False), ("late", 2, 20.0, 20.0, False), ("against_first", 3, 12.0, 40.0, True)], "route string, order int, wait_bars double, adverse_pct double, adverse_first boolean")
