@@ -736,9 +736,25 @@ def median_duration_candles(spark, d):
     return project.joined_to_live(project.candles(chosen, s.paths, live), live).drop("scenario")
 
 
-@query()
+#: (route, order, wait in bars, adverse move in percent, whether it must go against first)
+ROUTES = (("early", 0, 3.0, 5.0, False), ("usual", 1, 8.0, 10.0, False), ("late", 2, 20.0, 20.0, False), ("against_first", 3, 12.0, 40.0, True))
+
+
+def _routes_sql() -> str:
+    tables = {
+        "wanted": f"SELECT * FROM (VALUES {', '.join(map(str, ROUTES))}) t(route, place, w, a, adverse_first)",
+        "route_pairs": "SELECT route, episode_id, offset_bars, remaining_bars, projected_adverse_pct, 0.5 * abs(ln((remaining_bars + 1.0) / (w + 1.0))) + 0.5 * abs(projected_adverse_pct - a) / greatest(a, 0.25) + 0.1 * match_score / (SELECT greatest(quantile_cont(match_score, 0.5), 1e-9) FROM cohort) + CASE WHEN adverse_first AND remaining_bars <= 1 THEN 100.0 ELSE 0.0 END AS route_score FROM cohort, wanted",
+    }
+    for route, place, *_ in ROUTES:
+        taken = " AND ".join(f"episode_id NOT IN (SELECT episode_id FROM route_{k})" for k in range(place)) or "true"
+        tables[f"route_{place}"] = f"SELECT * FROM route_pairs WHERE route = '{route}' AND {taken} ORDER BY route_score, episode_id LIMIT 1"
+    every = " UNION ALL ".join(f"SELECT * FROM route_{k}" for k in range(len(ROUTES)))
+    return sql(f"SELECT route, episode_id, offset_bars, remaining_bars, {r('projected_adverse_pct')}, {r('route_score')} FROM ({every})", **tables)
+
+
+@query(_routes_sql())
 def forecast_routes(spark, d):
-    wanted = spark.createDataFrame([("early", 0, 3.0, 5.0, False), ("usual", 1, 8.0, 10.0, False), ("late", 2, 20.0, 20.0, False), ("against_first", 3, 12.0, 40.0, True)], "route string, order int, wait_bars double, adverse_pct double, adverse_first boolean")
+    wanted = spark.createDataFrame(list(ROUTES), "route string, order int, wait_bars double, adverse_pct double, adverse_first boolean")
     return project.routes(Study(spark, d).cohort(), wanted)
 
 
