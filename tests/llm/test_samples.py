@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import SCHEMA, made
+from tests.llm.test_operators import SCHEMA, PlainKneserNey, made
 from tidemark.llm import langid, quality, toxicity
 
 
@@ -60,3 +60,16 @@ def test_quality_limits_are_quantiles(spark):
     assert all(abs(math.log10(r.limit) - want[r.lang]) <= 1.001 * quality.STEP for r in found.values())
     kept = [r for r in found.values() if r.keep]
     assert 0 < len(kept) and all((math.log10(r.perplexity) * (r.n_tokens + 1) + quality.PULL * usual[r.lang]) / (r.n_tokens + 1 + quality.PULL) <= math.log10(r.limit) + 1e-9 for r in kept)
+
+
+def test_quality_learns_from_all_trusted_rows(spark):
+    """Long texts among many languages, and all the texts of an id: counts are those of every trusted row that is not left for the limits."""
+    rows = [(k, f"alpha beta w{k} gamma alpha", f"l{k}", "s", 1) for k in range(150)] + [(500 + k, " ".join(f"r{k}x{j % 700}" for j in range(1800)), "l1", "s", 1) for k in range(8)]
+    rows += [(i, f"beta gamma v{k}", "l1", "s", 1) for i in range(8) for k in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).distinct()
+    taught = [r.text for r in docs.where(F.pmod(F.xxhash64(F.lit("limits"), "doc_id"), F.lit(quality.LEFT_ONE_IN)) != 0).collect()]
+    assert any(len(t) > 5_000 for t in taught)
+    plain = PlainKneserNey(taught)
+    got = sorted((r.doc_id, r.n_tokens, round(math.log10(r.perplexity), 9)) for r in quality.run(docs, labels).collect())
+    assert got == sorted((i, len(t.split()), round(plain.mean(t), 9)) for i, t, *_ in rows)

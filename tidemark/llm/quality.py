@@ -1,8 +1,9 @@
 """Quality by an interpolated modified Kneser-Ney trigram model of trusted text.
 
-The model is fitted to a bounded sample of trusted rows (see `trusted_sample`: MODEL_TOKENS and MOST_DOCUMENTS). Its
-counts, continuation counts, discounts and probabilities are Spark tables sharded by the hash of the n-gram: a trigram
-meets its context's totals and its suffix's lower-order probability by joins of equally sharded tables.
+The model is fitted to all trusted rows but every third, by a hash of the id, which is left for the limits (see
+`trusted_sample`). Its counts, continuation counts, discounts and probabilities are Spark tables sharded by the hash of
+the n-gram: a trigram meets its context's totals and its suffix's lower-order probability by joins of equally sharded
+tables.
 
 Scoring is a count join too. With back-off weights w and probabilities p in log10, a token's log probability is
     u(word) + w(before) + w(context)  +  [pair known] (p(pair) - w(before) - u(word))  +  [triple known] (p(triple) - w(context) - p(pair)),
@@ -28,14 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.storage import discard
-from tidemark.llm.common import Shipped, byte_texts, few, map_batches, smallest_by_hash, stored, tokens
+from tidemark.llm.common import Shipped, byte_texts, few, map_batches, slices, smallest_by_hash, stored, tokens
 
-#: bounds of the sample: words of all languages together, and rows of one
-MODEL_TOKENS, MOST_DOCUMENTS = 1_200_000, 2_000
-#: a trusted text with more than this share of its language's words would be the sample alone: it is not taken
+#: where the sample is bound: a trusted text with more than this share of its language's words would be the sample alone, and is not taken
 LARGEST_SHARE = 1 / 8
 FREQUENT_GRAMS = 1_250_000
-FILTER_BITS = 1 << 25
+FILTER_BITS = 1 << 27
 KEPT_SHARE = 0.99
 PULL = 20.0
 LEAST_TRUSTED = 50
@@ -153,8 +152,10 @@ def fit(sample: DataFrame, frequent_grams: int = FREQUENT_GRAMS, filter_bits: in
     """A model of the texts of `sample` (column text); None without any row. Repeated rows count as often as they stand."""
 
     def count(batches):
+        import pyarrow.compute  # noqa: F401  (slices uses pa.compute)
+
         cache: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches, "text", 8 << 20):
             s = Sequence(byte_texts(batch.column(0)), cache)
             _, first, n = np.unique(s.triple, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([*(_signed(x[first]) for x in (s.earlier, s.before, s.word)), pa.array(n)], ["w1", "w2", "w3", "n"])
@@ -255,25 +256,26 @@ def surprise(docs: DataFrame, model: Model | None, id_col: str, text_col: str, l
     return found.drop("grams").join(added, "n", "left").select("id", "lang", "n_tokens", mean(F.col("total") + F.coalesce("added", F.lit(0.0))))
 
 
-def trusted_sample(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, model_tokens: int | None = MODEL_TOKENS, most_documents: int | None = MOST_DOCUMENTS) -> DataFrame:
+def trusted_sample(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, model_tokens: int | None = None, most_documents: int | None = None) -> DataFrame:
     """(id, lang, text) of the sample that the model is fitted to; trusted: ids (column id).
 
-    With None for a bound it does not hold; with None for both the sample is all trusted rows but those left for the
-    limits. An id gives one row, the text with the smallest hash, so the bounds hold for rows too.
+    Without bounds the sample is all trusted rows but those left for the limits, each row as often as it stands. With a
+    bound an id gives one row, the text with the smallest hash, so that it holds for rows too.
 
-    Languages have equal shares of model_tokens words. A language's trusted rows come in the order of a hash of their
+    With model_tokens, languages have equal shares of model_tokens words. A language's trusted rows come in the order of a hash of their
     id, at most most_documents of them, as long as the words of all together are within its share. A text with more
     than LARGEST_SHARE of a share is passed over, so no long text ends the sample for those after it; if all are that
     long, the shortest alone is taken, the one case in which a language goes beyond its share.
     """
-    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit(UNKNOWN_LANGUAGE)).alias("lang"))
-    known = named.join(trusted, "id", "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit(UNKNOWN_LANGUAGE)).alias("lang"), F.col(text_col).alias("text"))
     # the others are left for the limits
-    known = known.where(F.pmod(F.xxhash64(F.lit("limits"), "id"), F.lit(LEFT_ONE_IN)) != 0)
+    trusted = trusted.where(F.pmod(F.xxhash64(F.lit("limits"), "id"), F.lit(LEFT_ONE_IN)) != 0)
+    if model_tokens is None and most_documents is None:
+        return texts.join(few(trusted, "kn-taught"), "id", "left_semi")
+    known = texts.select("id", "lang").join(trusted, "id", "left_semi")
     if most_documents is not None:
         known = smallest_by_hash(known, "lang", most_documents, "id", "quality")
     chosen = stored(known.distinct(), "kn-chosen")
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit(UNKNOWN_LANGUAGE)).alias("lang"), F.col(text_col).alias("text"))
     met = texts.join(F.broadcast(chosen) if most_documents is not None else chosen, ["id", "lang"])
     first = met.groupBy("id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("id", "lang", "first.text")
     if model_tokens is None:
@@ -286,11 +288,10 @@ def trusted_sample(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: s
     return stored(ranked.where((~F.col("long") & (F.col("upto") <= share)) | (F.col("rank") == 1)).select("id", "lang", "text"), "kn-sample")
 
 
-def run(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", model_tokens: int | None = MODEL_TOKENS, most_documents: int | None = MOST_DOCUMENTS) -> DataFrame:
+def run(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", model_tokens: int | None = None, most_documents: int | None = None) -> DataFrame:
     """(id, lang, n_tokens, perplexity, limit, keep), one row per input row.
 
-    model_tokens, most_documents: bounds of the model's sample as in `trusted_sample`; None for both trains on all
-    trusted rows.
+    model_tokens, most_documents: bounds of the model's sample as in `trusted_sample`; by default there are none.
 
     Texts without words and NULL ones have no perplexity and are not kept. Without trusted rows beyond the model's
     sample there is no limit and all others are kept. NULL labels trust nothing; a NULL language is `und`. Repeated
