@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, hmm, langid, mixing, near, pii, quality, simhash, sketch, toxicity, urlfilter
@@ -281,6 +282,30 @@ def test_hmm_scores_do_not_depend_on_layout(spark, docs):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-6)
 
 
+def test_hmm_learns_from_every_document_in_every_sweep(spark, docs, monkeypatch):
+    """Early rounds, against plain ones over parts that together are all training documents."""
+    monkeypatch.setattr(hmm, "EARLY_TOKENS", 500)
+    blocks, corpus = hmm.counted(docs.repartition(3), train=~hmm.held_out())
+    got = hmm.trained(blocks, corpus, rounds=0)
+    taught = []
+    for r in blocks.collect():
+        classes, begin = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.classes)), "<u2").astype(int), 0
+        for n, train, spot in zip(r.sizes, r.train, r.spots):
+            taught += [(classes[begin : begin + n], spot)] if train else []
+            begin += n
+    assert len(taught) == corpus.documents
+    parts = min(32, corpus.n // 500)
+    assert parts > 3
+    model = hmm.Model.begun(corpus.shares, hmm.STATES)
+    for t in range(parts * -(-hmm.EARLY_ROUNDS // parts)):
+        own = [c for c, spot in taught if spot % parts == t % parts]
+        if own:
+            counts, _ = hmm.expected_counts(model, np.concatenate(own), np.array([len(c) for c in own]))
+            model = model.updated(counts, corpus.shares)
+    for a, b in ((got.start, model.start), (got.move, model.move), (got.emit, model.emit)):
+        np.testing.assert_allclose(a, b, rtol=1e-6)
+
+
 def test_hmm_counts_equal_plain_forward_backward():
     rng = np.random.default_rng(0)
     k, c = 3, 7

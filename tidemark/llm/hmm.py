@@ -13,8 +13,9 @@ Steps:
    class back, frequent words from a table of at most MOST_FREQUENT rows, so no word has many rows in one task.
 3. Each block becomes its documents as classes, with the counted part of every document's score.
 4. Baum-Welch: each round, every task turns its blocks into expected counts, which are summed over tasks. Where EM
-   begins decides which optimum it finds, so the first EARLY_ROUNDS rounds run over a share of the training documents,
-   those with the smallest hash of id and text, wherever they are; the last ROUNDS rounds run over all of them.
+   begins decides which optimum it finds, and that takes many small steps: the training documents are dealt by a hash
+   of id and text to at most PARTS parts, and each early round runs over the next part, in whole sweeps of at least
+   EARLY_ROUNDS rounds, so every document is learnt from in every sweep. The last ROUNDS rounds run over all of them.
 5. Forward recursion over every document.
 
 Blocks only say what is worked on together: results do not depend on how the documents are laid out.
@@ -34,6 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.storage import discard
 from tidemark.llm.common import Shipped, byte_texts, remainder, slices, stored, tokens
 
 STATES = 4
@@ -46,8 +48,8 @@ SCALED = 8
 BLOCK_BYTES = 6 << 20
 #: how much the corpus's class shares weigh in each state's emissions, in tokens
 EMISSION_PRIOR = 50.0
-#: rounds over a share of the documents, which is at least EARLY_SHARE and, if that is more, that of EARLY_TOKENS
-EARLY_ROUNDS, EARLY_SHARE, EARLY_TOKENS = 20, 1 / 32, 150_000
+#: the least number of rounds over one part after the other; a part has EARLY_TOKENS tokens or more
+EARLY_ROUNDS, PARTS, EARLY_TOKENS = 20, 32, 150_000
 _SPOTS = 1 << 16
 
 _BLOCK = "block long, ids array<{kind}>, train array<boolean>, spots array<int>, sizes array<int>, codes binary, words array<binary>, counts array<int>"
@@ -350,7 +352,9 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tra
 
     left = classed.groupBy("block")
     right = blocks.select(F.col("block").alias("of"), "ids", "train", "spots", "sizes", "codes").groupBy("of")
-    return stored(left.cogroup(right).applyInArrow(score, schema), "hmm-classes"), corpus
+    out = stored(left.cogroup(right).applyInArrow(score, schema), "hmm-classes")
+    discard(blocks, counts)
+    return out, corpus
 
 
 def _rows(batch: pa.RecordBatch):
@@ -364,50 +368,62 @@ def _list(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
     return batch.column(name)[k].values.to_numpy(zero_copy_only=False)
 
 
-_LEARNT = ("classes", "sizes", "train", "spots")
+def _together(batch: pa.RecordBatch, most: int = 1 << 20):
+    """(classes, sizes) of rows one after the other, as many at once as have about `most` tokens: a step over few chunks costs as much as one over many."""
+    held, n = [], 0
+    for _, classes, sizes in _rows(batch):
+        if held and n + len(classes) > most:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+        held.append((classes, sizes))
+        n += len(classes)
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
-def _chosen(batch: pa.RecordBatch, below: int):
-    """(classes, sizes) of the training documents of each block whose spot is under `below`."""
+def _taught(batch: pa.RecordBatch):
+    """(classes, sizes, spots) of the training documents of each block."""
     for k, classes, sizes in _rows(batch):
-        kept = _list(batch, "train", k).astype(bool) & (_list(batch, "spots", k) < below)
+        kept = _list(batch, "train", k).astype(bool)
         if kept.any():
-            yield classes[np.repeat(kept, sizes)], sizes[kept]
+            yield classes[np.repeat(kept, sizes)], sizes[kept], _list(batch, "spots", k)[kept]
 
 
-def _early(blocks: DataFrame, below: int) -> DataFrame:
-    """The chosen documents of all blocks, as blocks: small, and read in every early round."""
+def _dealt(blocks: DataFrame, parts: int) -> DataFrame:
+    """The training documents of every block as one row (classes, sizes, part) for each part that it has documents of."""
 
-    def choose(batches):
+    def deal(batches):
         for batch in batches:
-            for classes, sizes in _chosen(batch, below):
-                part = zstandard.ZstdCompressor(level=1).compress(classes.astype("<u2").tobytes())
-                n = len(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary()), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([[True] * n], pa.list_(pa.bool_())), pa.array([[0] * n], pa.list_(pa.int32()))], list(_LEARNT))
+            for classes, sizes, spots in _taught(batch):
+                for part in np.unique(spots % parts):
+                    own = spots % parts == part
+                    packed = zstandard.ZstdCompressor(level=1).compress(classes[np.repeat(own, sizes)].astype("<u2").tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary()), pa.array([sizes[own].tolist()], pa.list_(pa.int32())), pa.array([part], pa.int32())], ["classes", "sizes", "part"])
 
-    return blocks.select(*_LEARNT).mapInArrow(choose, "classes binary, sizes array<int>, train array<boolean>, spots array<int>")
+    return blocks.select("classes", "sizes", "train", "spots").mapInArrow(deal, "classes binary, sizes array<int>, part int")
 
 
 def trained(blocks: DataFrame, corpus: Corpus, states: int = STATES, rounds: int = ROUNDS, early_rounds: int = EARLY_ROUNDS) -> Model:
-    """Baum-Welch over the training documents of all blocks: early_rounds over a share of them, then `rounds` over all."""
+    """Baum-Welch over the training documents of all blocks: early_rounds or more, in whole sweeps over their parts, then `rounds` over all."""
     spark = blocks.sparkSession
     shares = corpus.shares
     model = Model.begun(shares, states)
-    early = int(_SPOTS * min(1.0, max(EARLY_SHARE, EARLY_TOKENS / max(corpus.n, 1))))
+    if not corpus.documents:
+        return model
+    parts = min(PARTS, max(1, corpus.n // EARLY_TOKENS))
+    held_parts = stored(_dealt(blocks, parts), "hmm-parts", "part")
+    sweep = [held_parts.where(F.col("part") == k) for k in range(parts)]
 
     # sums travel as rows: class numbers for emissions, negative numbers for the start and the moves
     values = [f"v{j}" for j in range(states)]
     schema = ", ".join(["key int", *(f"{v} double" for v in values)])
-    turns = []
-    if corpus.documents:
-        turns = [stored(_early(blocks, early), "hmm-early")] * early_rounds + [blocks.select(*_LEARNT)] * rounds
-    for learnt in turns:
+    for learnt in sweep * -(-early_rounds // parts) + [held_parts] * rounds:
         held = Shipped(spark, model)
 
         def count(batches, held=held):
             total = None
             for batch in batches:
-                for classes, sizes in _chosen(batch, _SPOTS):
+                for classes, sizes in _together(batch):
                     found, _ = expected_counts(held.value, classes, sizes)
                     total = found if total is None else Counts(total.start + found.start, total.move + found.move, total.emit + found.emit)
             if total is not None:
@@ -416,14 +432,18 @@ def trained(blocks: DataFrame, corpus: Corpus, states: int = STATES, rounds: int
                 rows = np.vstack([total.emit[:, full].T, total.start[None], total.move])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(pa.array(rows[:, j]) for j in range(states))], ["key", *values])
 
-        sums = learnt.mapInArrow(count, schema).groupBy("key").agg(*(F.sum(v).alias(v) for v in values)).toArrow()
+        sums = learnt.select("classes", "sizes").mapInArrow(count, schema).groupBy("key").agg(*(F.sum(v).alias(v) for v in values)).toArrow()
         keys, rows = sums.column("key").to_numpy(), np.column_stack([sums.column(v).to_numpy() for v in values])
+        if not len(keys):
+            # a part without documents: with few of them the hash can leave one empty
+            continue
         counts = Counts(np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit))
         counts.emit[:, keys[keys >= 0]] = rows[keys >= 0].T
         counts.start = rows[keys == -1].sum(axis=0)
         for j in range(states):
             counts.move[j] = rows[keys == -2 - j].sum(axis=0)
         model = model.updated(counts, shares)
+    discard(held_parts)
     return model
 
 
