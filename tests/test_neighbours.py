@@ -37,3 +37,16 @@ def test_more_queries_than_a_driver_took(spark):
     c = q.where("query_id % 5000 = 0").select(F.col("query_id").alias("candidate_id"), F.lit(0).alias("group_id"), "vector")
     assert knn.distances(q, c, 1).agg(F.count("*")).first()[0] == 20_500
     assert knn.distances(q.limit(0), c, 1).count() == knn.distances(q.limit(5), c.limit(0), 1).count() == 0
+
+
+def test_a_task_keeps_few_rows_whatever_the_depth(spark, monkeypatch):
+    dealt, blocks = knn._dealt, []
+    monkeypatch.setattr(knn, "_dealt", lambda rows, own, *rest: (blocks.append(rest[1]) if own == "_q" else None, dealt(rows, own, *rest))[1])
+    monkeypatch.setattr(knn, "_CELLS", 4096)
+    q = spark.range(3000).select(F.col("id").alias("query_id"), F.array((F.col("id") % 3).cast("double")).alias("vector"))
+    c = spark.range(30).select(F.col("id").alias("candidate_id"), F.lit(0).alias("group_id"), F.array((F.col("id") % 2).cast("double")).alias("vector"))
+    found = knn.distances(q, c, 512)
+    assert -(-3000 // blocks[0]) * 512 <= 1 << 19
+    # all are ties of a few distances: every candidate but the query's own, by distance and id
+    got = [r.candidate_id for r in found.where("query_id = 7").orderBy("place").collect()]
+    assert got == sorted((k for k in range(30) if k != 7), key=lambda k: (abs(k % 2 - 1), k))
