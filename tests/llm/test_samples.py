@@ -1,6 +1,10 @@
 """Bounded samples are bound by rows, whatever stands under one id; limits are plain quantiles."""
 
 import math
+import os
+import random
+import threading
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,3 +77,61 @@ def test_quality_learns_from_all_trusted_rows(spark):
     plain = PlainKneserNey(taught)
     got = sorted((r.doc_id, r.n_tokens, round(math.log10(r.perplexity), 9)) for r in quality.run(docs, labels).collect())
     assert got == sorted((i, len(t.split()), round(plain.mean(t), 9)) for i, t, *_ in rows)
+
+
+def test_quality_deals_hot_words_in_turns(spark, monkeypatch):
+    """Many parts in three turns, words dealt to several parts, words and long words that no task knows by number, and rows as often as they stand."""
+    monkeypatch.setattr(quality, "PART_WORDS", 60)
+    monkeypatch.setattr(quality, "LOT_BYTES", 2_000)
+    rng = random.Random(5)
+    words = ["the"] * 12 + ["of"] * 6 + [f"w{k}" for k in range(40)] + ["x" * 64, "x" * 65, "y" * 300, "\u00c9t\u00e9"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))), "en", "s", 1) for i in range(150)] + [(3, "the of the of", "en", "s", 1)] * 3 + [(7, None, "de", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(150)], "doc_id long, quality int")
+    taught = {r.doc_id for r in labels.where("quality = 1").where(F.pmod(F.xxhash64(F.lit("limits"), "doc_id"), F.lit(quality.LEFT_ONE_IN)) != 0).collect()}
+    plain = PlainKneserNey([t or "" for i, t, *_ in rows if i in taught])
+    lower = lambda t: "".join(c.lower() if c < "\x80" else c for c in t)
+    for known in (quality.FREQUENT_GRAMS, 5):
+        words = quality._frequent(docs.select("text"), known)
+        assert words.turns == quality.TURNS and (words.dealt > 1).sum() > 1
+    plain = PlainKneserNey([lower(t or "").replace("\u00c9", "\u0178\u0178") for i, t, *_ in rows if i in taught])
+    want = sorted((i, len((t or "").split()), round(plain.mean(lower(t or "").replace("\u00c9", "\u0178\u0178")), 8)) for i, t, *_ in rows if (t or "").split())
+    got = sorted((r.doc_id, r.n_tokens, round(math.log10(r.perplexity), 8)) for r in quality.run(docs, labels).collect() if r.n_tokens)
+    assert got == want
+
+
+def test_quality_stays_within_its_disk(spark):
+    """Shuffle files and written tables at any moment are less than three times the text; a row for each trigram took twelve times."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{int(4_000 * rng.random() ** 3)}" for _ in range(600)), "en", "s", 1) for i in range(500)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2).cache()
+    text = docs.agg(F.sum(F.length("text"))).first()[0]
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()] + [quality.stored(docs.limit(1), "probe").__dict__["_stored_at"].removeprefix("file:").rsplit("/", 1)[0]]
+    most, ended = [], threading.Event()
+
+    def used():
+        total = 0
+        for top in dirs:
+            for d, _, names in os.walk(top):
+                for x in names:
+                    try:
+                        total += os.lstat(os.path.join(d, x)).st_size
+                    except FileNotFoundError:
+                        pass
+        return total
+
+    def watch():
+        while not ended.is_set():
+            most.append(used())
+            time.sleep(0.1)
+
+    before = used()
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert quality.run(docs, docs.select("doc_id", F.lit(1).alias("quality"))).count() == len(rows)
+    finally:
+        ended.set()
+        watcher.join()
+        docs.unpersist()
+    assert max(most) - before < 3 * text, (max(most) - before) / text

@@ -29,10 +29,10 @@ def remainder(id_col: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(modulus))
 
 
-def few(df: DataFrame, name: str) -> DataFrame:
-    """df, stored; with a broadcast hint if it has at most MOST_BROADCAST rows. For tables of a few columns by label, language or source."""
+def few(df: DataFrame, name: str, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, stored; with a broadcast hint if it has at most `most` rows. For tables of a few columns by label, language or source."""
     held = stored(df, name)
-    return F.broadcast(held) if held.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else held
+    return F.broadcast(held) if held.limit(most + 1).count() <= most else held
 
 
 def smallest_by_hash(rows: DataFrame, group: str, per_group: int, id_col: str, salt: str = "") -> DataFrame:
