@@ -40,11 +40,11 @@ from tidemark.llm.common import Shipped, few, slices, smallest_by_hash, stored
 LARGEST_SHARE = 1 / 8
 FREQUENT_GRAMS = 1_250_000
 #: turns in which documents are scored, where the sample has more than PART_WORDS words; parts of a turn, at least; the sample's words of a part, about
-TURNS, PARTS, PART_WORDS = 3, 64, 500_000
+TURNS, PARTS, PART_WORDS = 3, 64, 250_000
 #: a word that is more than this share of the sample, and more than PART_WORDS, is dealt to several parts
 HOT_SHARE = 1 / 1024
 #: bytes of text of which a task has the n-grams at once
-LOT_BYTES = 3 << 20
+LOT_BYTES = 2 << 20
 #: ids that are broadcast to mark trusted rows; beyond it texts are moved to them
 MOST_TAUGHT = 4_000_000
 KEPT_SHARE = 0.99
@@ -285,7 +285,7 @@ class Grams:
 
 def _parts(batches) -> Iterator[tuple[int, Iterator[tuple]]]:
     """Rows of _ROWS as tuples, part by part; batches come sorted by part and role."""
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    rows = (r for b in batches for k in range(0, b.num_rows, 64) for r in zip(*(c.to_pylist() for c in b.slice(k, 64).columns)))
     return itertools.groupby(rows, key=lambda r: r[0])
 
 
